@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.decontaminate import contamination_report
+
+    found = contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.sharding import shard_by_bytes
 
@@ -32,6 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
@@ -78,3 +86,30 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY rn) - 1 AS slot, NULL::INTEGER AS grown_shard
 FROM s JOIN crcs USING (t)
 """
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLE_SQL["op1_decontamination"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(8, len(w)) AS n, array_to_string(w[k:k + 7], ' ') AS g
+  FROM i, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS t(k) WHERE len(w) > 0
+), dw AS (
+  SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) AS t(k)
+), hit AS (
+  SELECT rid, k, n, item_id FROM dw JOIN win USING (n, g)
+), words AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM hit, unnest(range(k, k + n)) AS t(p) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
