@@ -24,6 +24,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.warc import archive_and_read
 
@@ -41,6 +47,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op4_toxicity": op4_toxicity,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
 }
