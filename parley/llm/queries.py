@@ -30,6 +30,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.jpeg import media_report
+
+    return media_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.secrets import secret_report
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
     "op6_secrets": op6_secrets,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
