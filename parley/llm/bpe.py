@@ -13,8 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -26,28 +25,34 @@ from pyspark.sql import DataFrame
 CHUNK_CHARS, CACHE_WORDS = 3_000_000, 500_000
 #: Words of more bytes are merged with a heap instead, because rounds of one merge each would take quadratic time.
 LONG_WORD = 256
+#: Words that one recursive query encodes.
+ENCODE_WORDS = 100_000
 
+#: Rows are (spot, sym): a spot is word << 16 | position. A round finds the next symbol of every row, the best pair of
+#: every word, and keeps the rows of words that had one, without the pair's second row.
 ENCODE = """
-WITH RECURSIVE s(word, pos, sym, it) AS (
-  SELECT word, pos, sym, 0 FROM symbols
+WITH RECURSIVE s(spot, sym, round) AS (
+  SELECT spot, sym, 0 FROM symbols
   UNION ALL
   (WITH p AS MATERIALIZED (
-     SELECT s.*, lead(pos) OVER w AS npos, lead(sym) OVER w AS nsym FROM s WINDOW w AS (PARTITION BY word ORDER BY pos)
+     SELECT s.*, lead(spot) OVER w AS nspot, lead(sym) OVER w AS nsym FROM s WINDOW w AS (ORDER BY spot)
    ), b AS MATERIALIZED (
-     SELECT p.word AS bword, min(m.id::BIGINT * 65536 + p.pos) AS best, arg_min(p.npos, m.id::BIGINT * 65536 + p.pos) AS gone
-     FROM p JOIN merges m ON m.l = p.sym AND m.r = p.nsym GROUP BY p.word
+     SELECT p.spot >> 16 AS word, min(m.id::BIGINT << 16 | (p.spot & 65535)) AS best,
+            arg_min(p.nspot, m.id::BIGINT << 16 | (p.spot & 65535)) AS gone
+     FROM p JOIN merges m ON m.l = p.sym AND m.r = p.nsym WHERE p.spot >> 16 = p.nspot >> 16 GROUP BY 1
    )
-   SELECT word, pos, CASE WHEN pos = best % 65536 THEN (best // 65536)::INTEGER ELSE sym END, it + 1
-   FROM p JOIN b ON word = bword WHERE pos <> gone)
+   SELECT spot, CASE WHEN spot & 65535 = best & 65535 THEN (best >> 16)::INTEGER ELSE sym END, round + 1
+   FROM p JOIN b ON spot >> 16 = word WHERE spot <> gone)
 )
-SELECT word, list(sym ORDER BY pos) AS ids
-FROM s JOIN (SELECT word AS lword, max(it) AS last FROM s GROUP BY word) ON word = lword AND it = last
-GROUP BY word
+SELECT (spot >> 16)::INTEGER AS word, list(sym ORDER BY spot) AS ids
+FROM s JOIN (SELECT spot >> 16 AS lword, max(round) AS last FROM s GROUP BY 1) ON spot >> 16 = lword AND round = last
+GROUP BY spot >> 16
 """
 
+#: One thread aggregates the rows in the order of the subquery.
 DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY pos) AS body
-FROM (SELECT doc, pos, piece FROM tokens JOIN vocab USING (id)) GROUP BY doc
+SELECT doc, string_agg(piece, '') AS body
+FROM (SELECT doc, piece FROM tokens JOIN vocab USING (id) ORDER BY doc, pos) GROUP BY doc
 """
 
 
@@ -71,7 +76,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.names = {rank: str(rank) for rank in ranks.values()}
+        self.cache: dict[str, tuple[bytes, str]] = {}
         get, pairs = ranks.get, []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -106,46 +112,50 @@ class Codec:
                     heapq.heappush(heap, (ranks[part[x] + part[y]], x, part[x], part[y]))
         return [ranks[p] for p in part if p]
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encodes words that the cache doesn't hold."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         queue: list[tuple[str, bytes]] = []
-        for w in set(words) - self.cache.keys():
+        for w in words:
             body = w.encode()
             if (whole := self.ranks.get(body)) is not None:
-                self.cache[w] = (whole,), str(whole)
+                self._keep(w, np.array([whole], np.int32))
             elif len(body) > LONG_WORD:
-                self._keep(w, self._merge_long(body))
+                self._keep(w, np.array(self._merge_long(body), np.int32))
             else:
                 queue.append((w, body))
-        for at in range(0, len(queue), 20_000):
-            part = queue[at : at + 20_000]
+        for at in range(0, len(queue), ENCODE_WORDS):
+            part = queue[at : at + ENCODE_WORDS]
             sizes = np.array([len(b) for _, b in part])
-            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            starts = np.cumsum(sizes) - sizes
+            n = int(sizes.sum())
             symbols = pa.table({  # noqa: F841
-                "word": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                "pos": (np.arange(sizes.sum()) - starts).astype(np.int32),
+                "spot": (np.repeat((np.arange(len(part)) << 16) - starts, sizes) + np.arange(n)).astype(np.int64),
                 "sym": self.single[np.frombuffer(b"".join(b for _, b in part), np.uint8)],
             })
-            done = self.db.sql(ENCODE).to_arrow_table()
-            for word, ids in zip(done["word"].to_pylist(), done["ids"].to_pylist()):
-                self._keep(part[word][0], ids)
+            done = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
+            lists = done["ids"].chunk(0)
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for word, a, b in zip(done["word"].to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+                self._keep(part[word][0], flat[a:b])
 
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.cache[word] = tuple(ids), ",".join(map(str, ids))
+    def _keep(self, word: str, ids: np.ndarray) -> None:
+        self.cache[word] = ids.tobytes(), ",".join(map(self.names.__getitem__, ids.tolist()))
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids of each text, and the same as decimal text."""
         words = [self.split(t) for t in texts]
-        self.learn(chain.from_iterable(words))
-        get, out = self.cache.__getitem__, []
-        for ws in words:
-            found = list(map(get, ws))
-            out.append((list(chain.from_iterable(f[0] for f in found)), ",".join([f[1] for f in found])))
-        return out
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        known = self.cache.get
+        found = [list(map(known, ws)) for ws in words]
+        new = {w for ws, fs in zip(words, found) if None in fs for w, f in zip(ws, fs) if f is None}
+        if new:
+            self.learn(new)
+            get = self.cache.__getitem__
+            found = [list(map(get, ws)) if None in fs else fs for ws, fs in zip(words, found)]
+        return [(np.frombuffer(b"".join([f[0] for f in fs]), np.int32), ",".join([f[1] for f in fs])) for fs in found]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -153,7 +163,7 @@ class Codec:
         tokens = pa.table({  # noqa: F841
             "doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
             "pos": (np.arange(n) - starts).astype(np.int32),
-            "id": np.fromiter(chain.from_iterable(ids), np.int32, n),
+            "id": np.concatenate([np.zeros(0, np.int32), *ids]),
         })
         out = [b""] * len(ids)
         done = self.db.sql(DECODE).to_arrow_table()
@@ -195,7 +205,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            ids = [x or [] for x in batch.column("ids").to_pylist()]
+            ids = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
             for at in range(0, len(ids), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(at, 500), pa.array(codec.decode(ids[at : at + 500]), pa.binary())], [id_col, "body"])
 
