@@ -56,6 +56,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.hmm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
+    "op10_hmm": op10_hmm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
