@@ -42,6 +42,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.ngram_join import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.warc import archive_and_read
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_secrets": op6_secrets,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_hmm": op10_hmm,
@@ -141,3 +148,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
+
+ORACLE_SQL["op7_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT rid, array_to_string(w[k:k + 4], ' ') AS s FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(k) WHERE len(w) > 0
+), n AS (
+  SELECT rid, count(*) AS n FROM g GROUP BY rid
+), p AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), r(rid, other) AS (
+  SELECT rid, rid FROM d UNION SELECT r.rid, e.b FROM r JOIN e ON r.other = e.a
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM r JOIN d USING (rid) JOIN d o ON o.rid = r.other LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id
+"""
