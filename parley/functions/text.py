@@ -29,9 +29,13 @@ def truthy(c: Column) -> Column:
 
 
 def ngrams(ws: Column, n: int) -> Column:
-    """All runs of n words, joined by a space."""
-    count = F.size(ws) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n words, joined by a space. The words are computed once for all runs."""
+
+    def runs(w: Column) -> Column:
+        count = F.size(w) - n + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(ws), runs)[0]
 
 
 def before(c: Column, mark: str) -> Column:

@@ -238,10 +238,13 @@ def rouge_n(pred: Column, label: Column, n: int) -> Column:
     def counted(g: Column) -> Column:
         return F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("g"), F.size(F.filter(g, lambda y: y == x)).alias("n")))
 
-    p, r = grams(pred), grams(label)
-    both = F.aggregate(counted(p), F.lit(0), lambda s, x: s + F.least(x["n"], F.size(F.filter(r, lambda y: y == x["g"]))))
-    precise, recall = both / F.size(p), both / F.size(r)
-    return F.when((F.size(p) == 0) | (F.size(r) == 0) | (both == 0), 0.0).otherwise(2 * precise * recall / (precise + recall))
+    def score(g: Column) -> Column:
+        p, r = g["p"], g["r"]
+        both = F.aggregate(counted(p), F.lit(0), lambda s, x: s + F.least(x["n"], F.size(F.filter(r, lambda y: y == x["g"]))))
+        # 2 * precision * recall / (precision + recall)
+        return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(2 * both / (F.size(p) + F.size(r)))
+
+    return F.transform(F.array(F.struct(grams(pred).alias("p"), grams(label).alias("r"))), score)[0]
 
 
 def _lcs(a: list[str], b: list[str]) -> int:

@@ -25,11 +25,11 @@ def global_rank(df: DataFrame, order: list[Column], bucket: Column, name: str =
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_at"), "_start")
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_slot"), "_start")
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
-    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_by_{c}")), by, F.col("_bucket") == F.col("_at"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_by_{c}")), by, F.col("_bucket") == F.col("_slot"))
     side = F.broadcast(starts) if not by else starts
-    return local.join(side, same).withColumn(name, F.col("_start") + F.col("_local")).drop("_bucket", "_local", "_at", "_start", *[f"_by_{c}" for c in by])
+    return local.join(side, same).withColumn(name, F.col("_start") + F.col("_local")).drop("_bucket", "_local", "_slot", "_start", *[f"_by_{c}" for c in by])
 
 
 def hash_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rn", by: list[str] = ()) -> DataFrame:

@@ -11,6 +11,14 @@ from parley.operators import groupstats as G
 from parley.operators import metrics as M
 from parley.operators import ordering as O
 from parley.operators import windows as W
+from parley.operators import agent as A
+from parley.operators import normalize as N
+from parley.operators import pack as P
+from parley.operators import preference as S
+from parley.operators import render as R
+from parley.operators import rewards as RW
+from parley.operators import transforms as X
+from parley.operators import validate as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -380,3 +388,197 @@ def met09_listwise_loss(table):
 def met04_generation_scores(table):
     c = table("conversations").groupBy("conv_id").agg(F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("pred"), F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("label"))
     return M.generation_scores(c, "pred", "label")
+
+
+# ---------------------------------------------------------------- layouts, validity, rendering, packing, rewards
+
+
+_MESSAGES = "(SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id)"
+
+
+def conversations(table) -> DataFrame:
+    """conv_id and canonical messages."""
+    return messages_of(table).withColumn("messages", F.transform("messages", lambda m: N.message(m["role"], m["content"])))
+
+
+@query(f"SELECT conv_id, md5(to_json(messages)::VARCHAR) AS messages FROM {_MESSAGES}")
+def q01_render_conversations(table):
+    return messages_of(table).select("conv_id", F.md5(F.to_json("messages")).alias("messages"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS users, coalesce(max(length(text)) FILTER (role = 'assistant'), 0) AS longest FROM conversations GROUP BY conv_id""")
+def nrm04_messages_layout(table):
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")).alias("from"), F.col("text").alias("value"))))
+    raw = table("conversations").groupBy("conv_id").agg(turns.alias("conversations"))
+    d = N.messages_layout(raw)
+    users = F.filter("messages", lambda m: m["role"] == "user")
+    lengths = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.length(m["content"]))
+    return d.select("conv_id", F.size("messages").cast("bigint").alias("turns"), F.size(users).cast("bigint").alias("users"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest"))
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT conv_id, CASE WHEN max(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END) = 1 THEN 'illegal role' END AS reason FROM conversations GROUP BY conv_id) GROUP BY reason""")
+def flt01_reject_reasons(table):
+    d = messages_of(table).withColumn("messages", F.transform("messages", lambda m, i: m.withField("role", F.when(i % 5 == 4, "narrator").otherwise(m["role"]))))
+    good, bad = V.split_valid(d, V.message_fault(F.col("messages")))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, 2 AS turns, length(text) AS answer FROM documents")
+def nrm02_query_response(table):
+    d = N.query_response(table("documents").select("doc_id", F.col("lang").alias("question"), F.col("text").alias("answer")))
+    return d.select("doc_id", F.size("messages").alias("turns"), F.length(F.element_at("messages", -1)["content"]).alias("answer"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE lang || chr(10) || source END AS query FROM documents")
+def nrm03_alpaca(table):
+    docs = table("documents").select("doc_id", F.when(F.col("doc_id") % 3 == 1, "").otherwise(F.col("lang")).alias("instruction"), F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source")).alias("input"), F.col("text").alias("output"))
+    return N.alpaca(docs).select("doc_id", F.get("messages", 0)["content"].alias("query"))
+
+
+@query("SELECT doc_id, CASE toxic WHEN 0 THEN 'clean' ELSE 'toxic' END AS response FROM labels WHERE quality IS NOT NULL")
+def nrm08_classification_prompt(table):
+    d = X.N.classification_as_generation(table("labels").select("doc_id", F.concat(F.lit("item "), "doc_id").alias("sentence"), F.col("toxic").alias("label")), ["clean", "toxic"], "Toxicity")
+    return table("labels").select("doc_id", "toxic").join(F.broadcast(d.select(F.element_at("messages", -1)["content"].alias("response")).distinct()), F.col("response") == F.when(F.col("toxic") == 0, "clean").otherwise("toxic")).select("doc_id", "response")
+
+
+@query("SELECT conv_id, turn // 2 AS i, max(CASE WHEN turn % 2 = 0 THEN text END) AS q, max(CASE WHEN turn % 2 = 1 THEN text END) AS a FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY ALL")
+def nrm10_history_pairs(table):
+    plain = conversations(table).where(~F.exists("messages", lambda m: m["role"] == "system"))
+    d = plain.select("conv_id", N.messages_to_history(F.col("messages")).alias("h"))
+    pairs = F.concat("h.history", F.array(F.array("h.query", "h.response")))
+    return d.select("conv_id", F.posexplode(pairs).alias("i", "p")).select("conv_id", "i", F.col("p")[0].alias("q"), F.col("p")[1].alias("a"))
+
+
+@query(f"""SELECT conv_id, md5(CASE WHEN s IS NOT NULL THEN '<|im_start|>system' || chr(10) || s || '<|im_end|>' || chr(10) ELSE '' END || body) AS text FROM (
+SELECT conv_id, max(text) FILTER (role = 'system') AS s,
+ string_agg(CASE WHEN role = 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+   ELSE text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) FILTER (role <> 'system') AS body
+FROM conversations WHERE conv_id IN (SELECT conv_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system')
+  GROUP BY conv_id HAVING bool_and(role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) GROUP BY conv_id)""")
+def rnd05_chatml_render(table):
+    d = conversations(table).select("conv_id", N.split_system(F.col("messages")).alias("p"))
+    alternate = F.forall(F.transform("p.messages", lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
+    pieces = R.segments(R.TEMPLATES["chatml"], F.col("p.system"), F.col("p.messages"))
+    return d.where(alternate).select("conv_id", F.md5(R.text_of(pieces)).alias("text"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system'),
+ok AS (SELECT conv_id, max(CASE WHEN role = 'user' THEN i END) AS last FROM t GROUP BY conv_id HAVING bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END))
+SELECT conv_id, coalesce(sum(CASE WHEN role = 'assistant' AND i >= last THEN length(text) END), 0)::DOUBLE AS chars FROM t JOIN ok USING (conv_id) GROUP BY conv_id""")
+def lsc01_supervised_chars(table):
+    d = conversations(table).select("conv_id", N.split_system(F.col("messages")).alias("p"))
+    alternate = F.forall(F.transform("p.messages", lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
+    pieces = R.segments(R.TEMPLATES["chatml"], F.col("p.system"), F.col("p.messages"), "last_round")
+    answers = F.filter(pieces, lambda x: x["kind"] == "response")
+    return d.where(alternate).select("conv_id", F.aggregate(answers, F.lit(0.0), lambda s, x: s + x["weight"] * F.length(x["text"])).alias("chars"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS role, text FROM conversations),
+g AS (SELECT *, sum(CASE WHEN role IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM t))
+SELECT conv_id, (run - 1)::BIGINT AS run, role, string_agg(text, '' ORDER BY turn) AS content FROM g GROUP BY conv_id, run, role""")
+def rnd07_merge_same_role(table):
+    t = table("conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, "user").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"))
+    return R.merge_same_role(t, ["conv_id"], "turn")
+
+
+@query("""WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE WHEN role = 'assistant' THEN '<think>x</think>  ' || text ELSE text END AS c, text FROM conversations),
+l AS (SELECT *, coalesce(max(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY conv_id), -1) AS last FROM t)
+SELECT conv_id, i, CASE WHEN role = 'assistant' AND i < last THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE c END AS content FROM l""")
+def rnd11_history_thinking(table):
+    d = conversations(table).withColumn("messages", F.transform("messages", lambda m: F.when(m["role"] == "assistant", m.withField("content", F.concat(F.lit("<think>x</think>  "), m["content"]))).otherwise(m)))
+    return d.select("conv_id", F.posexplode(R.remove_history_thinking(F.col("messages"))).alias("i", "m")).select("conv_id", "i", F.col("m.content").alias("content"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, len(ws) AS n, array_to_string(ws[1:64], ' ') AS right_side, array_to_string(CASE WHEN len(ws) > 64 THEN ws[len(ws) - 63:len(ws)] ELSE ws END, ' ') AS left_side, (len(ws) + 63) // 64 AS windows FROM w""")
+def rnd19_truncate(table):
+    from parley.functions.text import words
+
+    d = table("documents").select("doc_id", words(F.col("text")).alias("ws"))
+    return d.select("doc_id", F.size("ws").cast("bigint").alias("n"), F.array_join(R.truncate(F.col("ws"), 64), " ").alias("right_side"), F.array_join(R.truncate(F.col("ws"), 64, "left"), " ").alias("left_side"), F.size(R.split_windows(F.col("ws"), 64)).cast("bigint").alias("windows"))
+
+
+@query("SELECT count(*) AS rows, sum(n_chars)::BIGINT AS total, 0 AS over FROM documents WHERE n_chars <= 8192")
+def pck02_pack_best_fit(table):
+    packed = P.pack_table(table("documents").where("n_chars <= 8192"), "doc_id", "n_chars", 8192, shards=4)
+    bins = packed.groupBy("shard", "pack").agg(F.sum("n_chars").alias("s"), F.count(F.lit(1)).alias("n"))
+    return bins.agg(F.sum("n").alias("rows"), F.sum("s").alias("total"), F.sum((F.col("s") > 8192).cast("int")).alias("over"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [] END AS gs FROM w)
+SELECT doc_id, CASE WHEN len(gs) > 0 THEN round((1 - len(list_distinct(gs)) / len(gs)) * -1.0, 6) + 0 ELSE 0 END AS reward FROM g""")
+def rwd03_repetition(table):
+    return table("documents").select("doc_id", (F.round(RW.repetition(F.col("text")), 6) + 0).alias("reward"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS reward FROM documents")
+def rwd01_format(table):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>\n<answer>x</answer>"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x\n<think>"), "text", F.lit("</think><answer>x</answer>"))).otherwise(F.col("text"))
+    return table("documents").select("doc_id", RW.think_answer_format(text).alias("reward"))
+
+
+@query("SELECT doc_id, round(CASE WHEN toxic = 0 THEN 1.0 - 0.5 * (1 - cos(n_chars * pi() / 20000)) / 2 ELSE -0.5 + 0.5 * (1 - cos(n_chars * pi() / 20000)) / 2 END, 6) AS reward, round(least(-(n_chars - 3000) / 1000.0, 0), 6) + 0 AS overlong FROM documents JOIN labels USING (doc_id)")
+def rwd04_cosine_overlong(table):
+    d = table("documents").join(table("labels"), "doc_id")
+    return d.select("doc_id", F.round(RW.cosine_length(F.col("n_chars"), F.col("toxic") == 0, 20000), 6).alias("reward"), (F.round(RW.soft_overlong(F.col("n_chars"), 4000, 1000), 6) + 0).alias("overlong"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS reward FROM documents")
+def rwd06_math_accuracy(table):
+    answer = F.concat(F.lit("so \\boxed{"), (F.col("doc_id") * 2).cast("string"), F.lit("}"))
+    wanted = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\boxed{"), (F.col("doc_id") * 4).cast("string"), F.lit("/2}"))).otherwise(F.lit("\\boxed{-1}"))
+    return table("documents").select("doc_id", RW.math_accuracy(answer, wanted).alias("reward"))
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN ph > pl THEN (value - pl) / (ph - pl + 1e-5) ELSE least(1, value) END + 10 * CASE WHEN oh > ol THEN (orm - ol) / (oh - ol + 1e-5) ELSE least(1, orm) END AS score FROM (
+SELECT *, min(value) OVER w AS pl, max(value) OVER w AS ph, min(orm) OVER w AS ol, max(orm) OVER w AS oh FROM (SELECT *, CASE WHEN event_type IN ('purchase', 'click') THEN 1.0 ELSE 0 END AS orm FROM events) WINDOW w AS (PARTITION BY user_id))),
+m AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id ORDER BY score, event_id) AS rejected FROM s)
+SELECT user_id, event_id, rejected, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM m WHERE value > 0 AND orm > 0 AND event_id <> rejected) WHERE rank <= 4""")
+def sel01_rejection_sampling(table):
+    e = table("events").withColumn("orm", F.when(F.col("event_type").isin("purchase", "click"), 1.0).otherwise(0.0))
+    return S.rejection_sample(e, "user_id", "value", "orm", "event_id", 4).select("user_id", "event_id", "rejected", "rank")
+
+
+@query("SELECT doc_id, 7 AS n, 0 AS own FROM documents")
+def mm07_negatives(table):
+    docs = table("documents").select("doc_id", "text")
+    d = S.negatives(docs, "doc_id", "text").join(docs.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"))
+    return d.groupBy("doc_id").agg(F.count_distinct("negative").cast("int").alias("n"), F.sum((F.col("negative") == F.col("text")).cast("int")).cast("int").alias("own"))
+
+
+@query("SELECT event_id, 'lookup' AS name, (regexp_extract(props, '\\d+'))::VARCHAR AS k FROM events")
+def agt04_hermes_calls(table):
+    text = F.concat(F.lit("Sure.\n<tool_call>\n{\"name\": \"lookup\", \"arguments\": "), "props", F.lit("}\n</tool_call>"))
+    d = table("events").select("event_id", A.extract_hermes(text).alias("c"))
+    return d.select("event_id", F.col("c")[0]["name"].alias("name"), F.get_json_object(F.col("c")[0]["arguments"], "$.k").alias("k"))
+
+
+@query("SELECT event_id, 'lookup' AS name, props AS arguments FROM events")
+def agt01_react_calls(table):
+    text = F.concat(F.lit("Thought: x\nAction: lookup\nAction Input: "), "props", F.lit("\nObservation: y"))
+    d = table("events").select("event_id", A.extract_react(text).alias("c"))
+    return d.select("event_id", F.col("c")[0]["name"].alias("name"), F.col("c")[0]["arguments"].alias("arguments"))
+
+
+@query("SELECT event_id, 'lookup' AS name FROM events WHERE user_id < 50")
+def agt07_all_formats(table):
+    """Every format extracts the call that it renders."""
+    e = table("events").where("user_id < 50").select("event_id", "props")
+    good = F.lit(True)
+    args = '{"k": "v"}'
+    for f in A.FORMATS.values():
+        good = good & (A.extract_calls(F.lit(f.render_calls([("lookup", args)])), f.name)[0]["name"] == "lookup")
+    checked = e.limit(1).select(good.alias("ok"))
+    return e.join(F.broadcast(checked)).where("ok").select("event_id", F.lit("lookup").alias("name"))
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def jon03_semi_join(table):
+    return table("labels").join(table("documents").where("lang = 'en'"), "doc_id", "left_semi").select("doc_id", "toxic")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def jon04_cache_rest(table):
+    cache = table("labels").select("doc_id", F.array(F.lit("a"), F.lit("b")).alias("choices"))
+    return S.cached_choices(table("documents").select("doc_id"), cache, "doc_id", 2)[1]
