@@ -111,13 +111,10 @@ def first_block_calls(text: str) -> Calls | None:
     m = re.search(r"\[TOOL_CALLS\]\s*\[(.*?)\]\s*</s>", text, re.S)
     if not m:
         return None
-    out = []
-    for line in [m[1], *m[1].splitlines()][(1 if parse_value(f"[{m[1]}]") is None else 0) :][: None if parse_value(f"[{m[1]}]") is None else 1]:
-        value = parse_value(f"[{line.strip().rstrip(',')}]")
-        for item in value if isinstance(value, list) else []:
-            if isinstance(item, dict) and "name" in item:
-                out.append((str(item["name"]), dump(item.get("arguments", {}))))
-    return out
+    whole = parse_value(f"[{m[1]}]")
+    values = [whole] if whole is not None else [parse_value(f"[{line.strip().rstrip(',')}]") for line in m[1].splitlines()]
+    items = [i for v in values if isinstance(v, list) for i in v]
+    return [(str(i["name"]), dump(i.get("arguments", {}))) for i in items if isinstance(i, dict) and "name" in i]
 
 
 @dataclass(frozen=True)

@@ -186,11 +186,10 @@ def jensen_shannon(df: DataFrame, token: str, cls: str, student: str, teacher: s
     d = df
     if topk:
         d = d.withColumn("_r", F.row_number().over(Window.partitionBy(token).orderBy(F.desc(teacher), cls))).where(F.col("_r") <= topk)
-    d = d.select(token, (F.col(student) / temperature).alias("s"), (F.col(teacher) / temperature).alias("t"))
-    top = d.groupBy(token).agg(F.max("s").alias("ms"), F.max("t").alias("mt"))
-    d = d.join(top, token)
-    norm = d.groupBy(token).agg(F.ln(F.sum(F.exp(F.col("s") - F.col("ms")))).alias("zs"), F.ln(F.sum(F.exp(F.col("t") - F.col("mt")))).alias("zt"))
-    d = d.join(norm, token).select(token, (F.col("s") - F.col("ms") - F.col("zs")).alias("ls"), (F.col("t") - F.col("mt") - F.col("zt")).alias("lt"))
+    d = d.select(F.col(token).alias("_k"), (F.col(student) / temperature).alias("_s"), (F.col(teacher) / temperature).alias("_t"))
+    d = d.join(d.groupBy("_k").agg(F.max("_s").alias("ms"), F.max("_t").alias("mt")), "_k")
+    norm = d.groupBy("_k").agg(F.ln(F.sum(F.exp(F.col("_s") - F.col("ms")))).alias("zs"), F.ln(F.sum(F.exp(F.col("_t") - F.col("mt")))).alias("zt"))
+    d = d.join(norm, "_k").select("_k", (F.col("_s") - F.col("ms") - F.col("zs")).alias("ls"), (F.col("_t") - F.col("mt") - F.col("zt")).alias("lt"))
     if beta == 0:
         term = F.exp("lt") * (F.col("lt") - F.col("ls"))
     elif beta == 1:
@@ -198,7 +197,7 @@ def jensen_shannon(df: DataFrame, token: str, cls: str, student: str, teacher: s
     else:
         mix = F.ln((1 - beta) * F.exp("ls") + beta * F.exp("lt"))
         term = beta * F.exp("lt") * (F.col("lt") - mix) + (1 - beta) * F.exp("ls") * (F.col("ls") - mix)
-    return d.groupBy(token).agg(F.sum(term).alias("_t")).agg(F.avg("_t").alias("jsd"))
+    return d.groupBy("_k").agg(F.sum(term).alias("_d")).agg(F.avg("_d").alias("jsd"))
 
 
 def token_loss_variants(loss: Column, other: Column | None = None, mu: float = 0.0) -> dict[str, Column]:

@@ -8,10 +8,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Marks nothing that a CSV cell can hold, so that empty cells stay empty texts.
-_NEVER = "\x00null\x00"
-
-
 def read_file(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """A table by its extension: jsonl and json (an array of objects), csv with empty cells as empty texts, txt, parquet and
     whatever else Spark reads by name."""
@@ -21,7 +17,8 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     if kind == "json":
         return spark.read.option("multiLine", True).json(path)
     if kind in ("csv", "tsv"):
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if kind == "tsv" else ",").option("nullValue", _NEVER).option("emptyValue", "").csv(path)
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if kind == "tsv" else ",").csv(path)
+        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])  # a cell is never null
     if kind == "txt":
         return spark.read.text(path).withColumnRenamed("value", "text")
     return spark.read.format(kind).load(path)
