@@ -4,12 +4,15 @@ set-relation skipping, and the classes of linked documents.
 1. A text becomes the set of 64-bit hashes of its shingles. Equal sets are one set, named by its own hash, from here on.
 2. Shingles are ordered globally: those that no task has seen in several documents first, by hash, then the frequent ones
    by their count. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each: its prefix.
-3. Prefixes are dealt by shingle into index lists. A list is read in blocks of positions. Within short lists every pair is
-   a candidate. Long lists are mostly many relatives of one set, so there answers are derived from a similar set's:
-   members join a leader's answer if their sketches say so, and only members whose components still differ after these
-   links are verified need be paired - whole blocks whose members share a component are skipped.
-4. Candidates pass a size bound and a bound on the overlap from 512-bit parity sketches (the symmetric difference of two
-   sets is never less than the distance of their sketches); what is left is verified on the whole sets.
+3. Prefixes are dealt by shingle into index lists. Within a short list every pair is a candidate. Candidates pass a size
+   bound and a bound on the overlap from parity sketches of about a bit a shingle (the symmetric difference of two sets
+   is never less than the distance of their sketches). Of what is left each set is first verified with one partner.
+4. Long lists are mostly many relatives of one set. Members that may link by sketch, directly or through others, form a family, whose
+   members are dealt in blocks; a task takes a pair of blocks with their whole sets and derives a set's answers from those of similar ones:
+   partners are tried nearest first, all of a component that is reached are skipped at once, and only the links that
+   join components leave the task, fewer than there are members.
+5. Candidates whose ends these links have joined are skipped, and only the others are verified. Whole sets are made once,
+   for those sets that are still wanted.
 
 No pair is lost: filters are upper bounds, and a pair that is skipped is in one component already. Copies are never
 expanded into pairs. Sets of different contents that have the same 64-bit hash and size would be taken for equal; among
@@ -32,12 +35,15 @@ from parley.llm.components import connected_components
 SHINGLE, PERCENT = 5, 75
 #: Documents of one task that have a shingle before it counts as frequent there; most frequent shingles that are broadcast
 #: (16 bytes each; those beyond it keep the order of rare ones, which costs time but loses nothing).
-LOCAL_DF, MOST_FREQUENT = 4, 500_000
-#: Members of a short list; members of a block of a long list; size of the map of wanted sets, in bits.
-SHORT, BLOCK, WANTED_BITS = 48, 2048, 1 << 22
+LOCAL_DF, MOST_FREQUENT = 3, 500_000
+#: Members of a short list; members of a block of a family; size of the map of wanted sets, in bits.
+SHORT, BLOCK, WANTED_BITS = 16, 1024, 1 << 22
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 3_000_000
-SKETCH_WORDS = 8
+CHUNK_BYTES = 1_000_000
+#: Shingles that a task counts at once.
+COUNT_SHINGLES = 3_000_000
+#: Least and most bits of a sketch.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -57,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, CHUNK_BYTES + 300_000), base, np.uint64)
+            steps = np.full(max(n, CHUNK_BYTES + 150_000), base, np.uint64)
             steps[0] = 1
             _POWERS[i] = np.cumprod(steps)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -103,8 +109,10 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in each of 512 buckets, as 8 numbers."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1
+    """Parities of the shingles in each of 2 ** k buckets, at least as many as shingles within the bounds, as numbers of
+    64 bits. Halves of a sketch add up, without carry, to the sketch of half as many buckets."""
+    bits = min(max(1 << max(0, len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -132,7 +140,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         for _, sets in _texts(batches):
             held += [s for s in sets if len(s)]
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > COUNT_SHINGLES:
                 yield out()
         if held:
             yield out()
@@ -206,13 +214,24 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
 
 def short_pairs(sid: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Distinct pairs (a < b) within the lists of at most SHORT members."""
-    found = [np.zeros((0, 2), np.int64)]
+    found, held = np.zeros((0, 2), np.int64), []
     size = np.diff(edges)
+
+    def join(parts: list[np.ndarray]) -> np.ndarray:
+        pairs = np.concatenate(parts)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+
     for n in np.unique(size[size <= SHORT]).tolist():
-        lists = sid[edges[:-1][size == n][:, None] + np.arange(n)]
+        begin = edges[:-1][size == n]
         i, j = np.triu_indices(n, 1)
-        found.append(np.stack([lists[:, i].ravel(), lists[:, j].ravel()], 1))
-    return np.unique(np.concatenate(found), axis=0)
+        step = max(1, 500_000 // len(i))
+        for at in range(0, len(begin), step):
+            lists = sid[begin[at : at + step, None] + np.arange(n)]
+            held.append(np.stack([lists[:, i].ravel(), lists[:, j].ravel()], 1))
+            if sum(map(len, held)) > 1_000_000:
+                found, held = join([found, *held]), []
+    return join([found, *held])
 
 
 def _postings_to_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,91 +249,154 @@ def _postings_to_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield whole.slice(at, 100_000)
 
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
-
-
 def _may_link(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """Whether sets of n and m shingles can link when their symmetric difference is at least distance."""
     overlap = np.minimum((n + m - distance) // 2, np.minimum(n, m))
     return (100 + PERCENT) * overlap >= PERCENT * (n + m)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The long lists of a task, one after another: sid, n, comp and sketch of their members."""
+def family_links(sets: list[np.ndarray], comps: list[int], block: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that join the components of sorted sets, as pairs of places. With block, the sets' blocks, only pairs of
+    different blocks are tried."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    bits = 4096
+    sketches = np.stack([np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    links = []
+    for at, i in enumerate(order.tolist()):
+        rest = order[at + 1 :]
+        rest = rest[PERCENT * sizes[rest] <= 100 * sizes[i]]
+        if block is not None:
+            rest = rest[block[rest] != block[i]]
+        distance = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(1, dtype=np.int64)
+        may = _may_link(sizes[rest], sizes[i], distance)
+        for j in rest[may][np.argsort(distance[may], kind="stable")].tolist():
+            a, b = root(comps[i]), root(comps[j])
+            if a == b:
+                continue
+            k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * k >= PERCENT * (sizes[i] + sizes[j] - k):
+                parent[a] = b
+                links.append((i, j))
+    return links
+
+
+def _family(table: pa.Table) -> pa.Table:
+    sid, lists = table["sid"].to_numpy(), table["body"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+    sets = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    within = table["i"][0].as_py() == table["j"][0].as_py()
+    links = family_links(sets, table["comp"].to_pylist(), None if within else table["own"].to_numpy())
+    pairs = np.sort(sid[np.array(links, np.int64).reshape(-1, 2)], axis=1)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _distances(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Distance of one sketch to each of others, at the smaller size of the two."""
+
+    def fold(rows: np.ndarray, words: int) -> np.ndarray:
+        while rows.shape[-1] > words:
+            half = rows.shape[-1] // 2
+            rows = rows[..., :half] ^ rows[..., half:]
+        return rows
+
+    out = np.zeros(len(others), np.int64)
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    for words in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == words)
+        size = min(words, len(lead))
+        rows = fold(np.stack([others[i] for i in at.tolist()]), size) ^ fold(lead, size)
+        out[at] = np.bitwise_count(rows.view(np.uint64)).sum(1, dtype=np.int64)
+    return out
+
+
+def relatives(n: np.ndarray, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest over sets, as pairs of places, whose trees are the components of `may link by sketch`."""
+    left, queue, found = np.arange(len(n)), [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        if len(left):
+            may = _may_link(n[left], n[i], _distances(sketches[i], [sketches[k] for k in left.tolist()]))
+            queue += left[may].tolist()
+            found += [(i, k) for k in left[may].tolist()]
+            left = left[~may]
+    return found
+
+
+def _list_relatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The relatives within each long list of a task, fewer pairs than the list has members."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    token = table["token"].to_numpy()
-    sketches = np.array(table["sketch"].combine_chunks().flatten().to_numpy()).reshape(-1, SKETCH_WORDS).view(np.uint64)
-    cols = {c: table[c].to_numpy() for c in ("sid", "n", "comp")}
-    order = np.lexsort((cols["sid"], token))
+    token, sid, n = (table[c].to_numpy() for c in ("token", "sid", "n"))
+    lists = table["sketch"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    order = np.lexsort((sid, token))
     edges = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0, [True]]))
-    for a, b in zip(edges[:-1], edges[1:]):
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         own = order[a:b]
-        yield {c: v[own] for c, v in cols.items()} | {"sketch": sketches[own]}
-
-
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member with one leader: the first member left leads, and those whose sketches may link with it follow. A list
-    of L members gives fewer than L pairs for each of two orders."""
-    for m in _members(batches):
-        for order in (np.arange(len(m["sid"])), np.arange(len(m["sid"]))[::-1]):
-            left = order
-            while len(left) > 1:
-                lead, rest = left[0], left[1:]
-                follow = _may_link(m["n"][lead], m["n"][rest], _distance(m["sketch"][lead], m["sketch"][rest]))
-                if follow.any():
-                    yield _pair_batch(np.full(int(follow.sum()), m["sid"][lead]), m["sid"][rest[follow]])
-                left = rest[~follow]
-
-
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that may link, block by block; blocks of one and the same component are skipped."""
-    for m in _members(batches):
-        order = np.lexsort((m["n"], m["comp"]))
-        m = {c: v[order] for c, v in m.items()}
-        starts = range(0, len(order), BLOCK)
-        for i in starts:
-            x = {c: v[i : i + BLOCK] for c, v in m.items()}
-            for j in range(i, len(order), BLOCK):
-                y = {c: v[j : j + BLOCK] for c, v in m.items()}
-                if x["comp"][0] == x["comp"][-1] == y["comp"][0] == y["comp"][-1]:
-                    continue
-                for k in range(len(x["sid"])):
-                    ok = (y["comp"] > x["comp"][k]) if i == j else (y["comp"] != x["comp"][k])
-                    ok &= (100 * np.minimum(y["n"], x["n"][k]) >= PERCENT * np.maximum(y["n"], x["n"][k]))
-                    at = np.flatnonzero(ok)
-                    at = at[_may_link(y["n"][at], x["n"][k], _distance(y["sketch"][at], x["sketch"][k]))]
-                    if len(at):
-                        yield _pair_batch(np.full(len(at), x["sid"][k]), y["sid"][at])
+        pairs = np.array(relatives(n[own], [flat[ends[i - 1] if i else 0 : ends[i]] for i in own.tolist()]), np.int64).reshape(-1, 2)
+        ids = np.sort(sid[own][pairs], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0], pa.int64()), pa.array(ids[:, 1], pa.int64())], ["a", "b"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link, decided on whole sets.
+def families(long: DataFrame, info: DataFrame) -> DataFrame:
+    """(node, component): members of long lists (token, sid) that may link, directly or by others, in some list."""
+    members = long.join(info, "sid").select("token", "sid", "n", "sketch").repartition("token")
+    return connected_components(members.mapInArrow(_list_relatives, "a bigint, b bigint"))
 
-    pairs are first bounded by size and sketch. The sets of those left are made again where their texts lie and only
-    they are shuffled; which ones is told to the tasks by a map of WANTED_BITS hashed bits, so its size is fixed and a
-    set too many costs time only.
-    """
-    spark = docs.sparkSession
+
+def link_families(family: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of the members of families."""
+    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = family.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("family"), "blocks")
+    own = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = own.join(comps.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    dealt = named.join(sets.select("sid", "body"), "sid").select("sid", "comp", "own", "body", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.groupBy("family", "i", "j").applyInArrow(_family, "a bigint, b bigint")
+
+
+def bound(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that the bounds on size and overlap leave."""
     left = info.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     right = info.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    distance = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both, overlap = F.col("na") + F.col("nb"), F.least(F.floor((F.col("na") + F.col("nb") - F.col("distance")) / 2), F.col("na"), F.col("nb"))
+    words = F.least(F.size("ka"), F.size("kb"))
+
+    def folded(c: str):
+        # word i of the smaller sketch is the sum without carry of words i, i + words, ... of the larger one
+        steps = F.sequence(F.lit(0), (F.size(c) / words - 1).cast("int"))
+        at = lambda i: F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.get(c, i + k * words)))
+        return F.when(F.size(c) == words, F.col(c)).otherwise(F.transform(F.sequence(F.lit(0), words - 1), at))
+
+    distance = F.aggregate(F.zip_with(folded("ka"), folded("kb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("na") + F.col("nb")
+    overlap = F.least(F.floor((both - F.col("distance")) / 2), F.col("na"), F.col("nb"))
     pairs = pairs.distinct().join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    pairs = pairs.withColumn("distance", distance).where((100 + PERCENT) * overlap >= PERCENT * both).select("a", "b", "na", "nb")
-    pairs = stage(pairs, "join-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    wanted = ends.select(F.pmod("sid", F.lit(WANTED_BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    return pairs.withColumn("distance", distance).where((100 + PERCENT) * overlap >= PERCENT * both).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, n, body) of the sets whose sid is in wanted, each once.
+
+    Sets are made again where their texts lie, and only wanted ones are shuffled. Which ones these are is told to the
+    tasks by a map of WANTED_BITS hashed bits, so its size is fixed, and a set too many costs time only.
+    """
+    wanted = wanted.distinct()
+    on = wanted.select(F.pmod("sid", F.lit(WANTED_BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
     bits = np.zeros(WANTED_BITS, bool)
-    bits[wanted] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    bits[on] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(shared.value).view(bool), set()
@@ -323,14 +405,25 @@ def verify(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
             for s in sets:
                 if len(s) and bits[(sid := set_hash(s)) % WANTED_BITS] and sid not in seen:
                     seen.add(sid)
-                    kept.append((sid, s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], ["sid", "body"])
+                    kept.append((sid, len(s), s.view(np.int64)))
+            cols = [[k[i] for k in kept] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["sid", "n", "body"])
+
+    sets = docs.select("text").mapInArrow(run, "sid bigint, n bigint, body array<bigint>")
+    return sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, decided on whole sets."""
+    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("body").alias("xa"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("body").alias("xb"))
+    whole = pairs.join(left, "a").join(right, "b").withColumn("k", F.size(F.array_intersect("xa", "xb")))
+    return whole.where(100 * F.col("k") >= PERCENT * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+
 
-    sets = docs.select("text").mapInArrow(run, "sid bigint, body array<bigint>")
-    sets = stage(sets.join(ends.distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "join-sets")
-    whole = pairs.join(sets.select(F.col("sid").alias("a"), F.col("body").alias("xa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("body").alias("xb")), "b")
-    shared_n = F.size(F.array_intersect("xa", "xb"))
-    return whole.withColumn("k", shared_n).where(100 * F.col("k") >= PERCENT * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+def one_partner(pairs: DataFrame) -> DataFrame:
+    """For each set the pair with its least partner."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
 
 
 def link_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
@@ -338,20 +431,20 @@ def link_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     info = stage(described.where("sketch is not null").select("sid", "n", "sketch").dropDuplicates(["sid"]), "join-info")
     postings = described.select(F.explode("prefix").alias("token"), "sid").repartition("token")
     found = stage(postings.mapInArrow(_postings_to_candidates, "a bigint, b bigint, token bigint"), "join-candidates")
-    links = stage(verify(docs, found.where("token is null").select("a", "b"), info), "join-links")
+    pairs = stage(bound(found.where("token is null").select("a", "b"), info), "join-pairs")
     long = found.where("token is not null").select("token", F.col("b").alias("sid"))
-    if long.isEmpty():
-        return connected_components(links)
-
-    def members(components: DataFrame) -> DataFrame:
-        named = info.join(components, info["sid"] == components["node"], "left").select(info["sid"], "n", "sketch", F.coalesce("component", "sid").alias("comp"))
-        return long.join(named, "sid").select("token", "sid", "n", "comp", "sketch").repartition("token")
-
-    pairs = "a bigint, b bigint"
-    led = verify(docs, members(connected_components(links)).mapInArrow(_leader_pairs, pairs), info)
-    links = stage(links.union(led), "join-links")
-    crossed = verify(docs, members(connected_components(links)).mapInArrow(_cross_pairs, pairs), info)
-    return connected_components(links.union(crossed))
+    family = families(long, info)
+    sets = stage(whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(family.select("node"))), "join-sets")
+
+    first = stage(one_partner(pairs), "join-first")
+    links = stage(verify(first, sets), "join-links")
+    joined = connected_components(links)
+    if not family.isEmpty():
+        links = stage(links.union(link_families(family, sets, joined)), "join-links")
+        joined = connected_components(links)
+    left, right = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = pairs.join(left, "a", "left").join(right, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+    return connected_components(links.union(verify(apart.join(first, ["a", "b"], "left_anti"), sets)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

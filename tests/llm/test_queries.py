@@ -1,0 +1,39 @@
+"""The registered queries on the smallest given tables, against their SQL, and the pipeline."""
+
+import os
+from pathlib import Path
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables aren't here")
+
+
+def test_sql(spark):
+    import duckdb
+
+    from parley.llm.queries import ORACLE_SQL, QUERIES
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        at = Path(SF, f"{t}.parquet")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}{'/*.parquet' if at.is_dir() else ''}'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, SF)
+        result = db.execute(sql)
+        names = sorted(c[0] for c in result.description)
+        place = {c[0]: i for i, c in enumerate(result.description)}
+        want = sorted(str([row[place[c]] for c in names]) for row in result.fetchall())
+        assert sorted(df.columns) == names
+        assert sorted(str([row[c] for c in names]) for row in df.collect()) == want, name
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        assert 0 < kept.count() <= docs.count()
+    assert corpus_pipeline.run(spark, SF).count() <= docs.count()
