@@ -102,12 +102,18 @@ def manhattan(a: Column, b: Column) -> Column:
 SIMILARITIES = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b), "manhattan": lambda a, b: -manhattan(a, b)}
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks with ties averaged: distinct values are ranked, so ties are aggregated before any window."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(value, "_v")
-    counts = counts.withColumn("_part", F.lit(0))
-    w = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_part", "_n")
+def average_rank(df: DataFrame, value: str, out: str, buckets: int = 4096) -> DataFrame:
+    """Ranks with ties averaged. Ties are aggregated first; running counts are taken within buckets of the value and over
+    the bucket totals, of which there are at most `buckets`."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    span = float(high - low) if low is not None and high > low else 1.0
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_b", F.floor((F.col("_v") - F.lit(low or 0)) / span * (buckets - 1)))
+    so_far = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("_b").agg(F.sum("_n").alias("_t")).select(F.col("_b").alias("_c"), F.coalesce(F.sum("_t").over(so_far), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn("_inside", inside).join(F.broadcast(starts), F.col("_b").eqNullSafe(F.col("_c")))
+    ranks = ranks.select("_v", (F.col("_start") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 

@@ -281,3 +281,46 @@ def response_weights(content: Column, weights: dict[str, list[float]]) -> Column
             yield pd.Series([[{"text": t, "weight": w} for t, w in weighted_parts(x or "", weights)] for x in s])
 
     return run(content)
+
+
+# ---------------------------------------------------------------- token arrays
+
+
+def end_tokens(ids: Column, labels: Column, suffix: list[int], ignore: int = -100) -> Column:
+    """Labels with the suffix's ids unmasked where it directly follows a supervised token."""
+    n = len(suffix)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids) - n, F.lit(1))), lambda i: (i + n <= F.size(ids)) & (F.slice(ids, i + 1, n) == F.array(*map(F.lit, suffix))) & (F.get(labels, i - 1) != ignore))
+    return F.transform(labels, lambda y, i: F.when(F.exists(starts, lambda s: (i >= s) & (i < s + n)), F.get(ids, i)).otherwise(y))
+
+
+def extend_tokens(ids: Column, labels: Column, token: int, by: Column, ignore: int = -100) -> Column:
+    """struct(ids, labels): each occurrence of a token becomes the array `by`, with ignored labels."""
+    pairs = F.zip_with(ids, labels, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.struct(
+        F.flatten(F.transform(pairs, lambda p: F.when(p["x"] == token, by).otherwise(F.array(p["x"])))).alias("ids"),
+        F.flatten(F.transform(pairs, lambda p: F.when(p["x"] == token, F.transform(by, lambda b: F.lit(ignore))).otherwise(F.array(p["y"])))).alias("labels"),
+    )
+
+
+def replace_responses(messages: Column, responses: Column) -> Column:
+    """Assistant turns take the responses from the last one backwards; earlier turns stay where responses run out."""
+    later = lambda i: F.size(F.filter(F.slice(messages, i + 2, F.greatest(F.size(messages) - i - 1, F.lit(0))), lambda m: m["role"] == "assistant"))
+    return F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & (later(i) < F.size(responses)), m.withField("content", F.get(responses, F.size(responses) - 1 - later(i)))).otherwise(m))
+
+
+def decode_classes(logits: Column, multi: bool = False) -> Column:
+    """The best class, or the classes whose sigmoid is a half or more."""
+    if multi:
+        return F.filter(F.transform(logits, lambda x, i: F.when(x >= 0, i).otherwise(-1)), lambda i: i >= 0)
+    return F.array_position(logits, F.array_max(logits)).cast("int") - 1
+
+
+def top_logprobs(logits: Column, k: int) -> Column:
+    """The k best classes as (class, logprob), best first."""
+    def score(x: Column) -> Column:
+        top = F.array_max(x)
+        z = top + F.ln(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+        rows = F.transform(x, lambda v, i: F.struct((z - v).alias("cost"), i.alias("cls")))
+        return F.transform(F.slice(F.array_sort(rows), 1, k), lambda p: F.struct(p["cls"].alias("cls"), (-p["cost"]).alias("logprob")))
+
+    return F.transform(F.array(logits), score)[0]

@@ -149,3 +149,14 @@ def test_streams(spark, tmp_path):
     T.run_to_end(T.pack_stream(T.read_stream(spark, src, schema), "shard", "id", "n", 8, "done"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     out = spark.read.parquet(str(tmp_path / "o2"))
     assert out.count() == 19 and out.groupBy("pack").agg(F.sum("length").alias("s")).agg(F.max("s")).first()[0] <= 8
+
+
+def test_token_arrays(spark):
+    a = lambda *x: F.array(*map(F.lit, x))
+    assert value(spark, R.end_tokens(a(1, 2, 8, 9, 3, 8, 9), a(-100, 2, -100, -100, -100, -100, -100), [8, 9])) == [-100, 2, 8, 9, -100, -100, -100]
+    got = value(spark, R.extend_tokens(a(1, 7, 2), a(1, 7, 2), 7, a(5, 5)))
+    assert got.ids == [1, 5, 5, 2] and got.labels == [1, -100, -100, 2]
+    ms = chat(("user", "u"), ("assistant", "a"), ("user", "v"), ("assistant", "b"))
+    assert [m.content for m in value(spark, R.replace_responses(ms, a("z")))] == ["u", "a", "v", "z"]
+    assert value(spark, R.decode_classes(a(0.1, 0.9, 0.3))) == 1 and value(spark, R.decode_classes(a(0.1, -0.9, 0.3), True)) == [0, 2]
+    assert [p.cls for p in value(spark, R.top_logprobs(a(0.1, 0.9, 0.3), 2))] == [1, 2]
