@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, stage, training_row
+from parley.llm.common import held_out, stage, tidy, training_row
 
 #: Parameters: n-gram lengths in UTF-8 bytes, log2 of hash buckets, expected labelled rows in the sample, tasks that count.
-ORDERS, BUCKET_BITS, SAMPLE_ROWS, TASKS = (4, 5, 6), 20, 12_000, 8
+ORDERS, BUCKET_BITS, SAMPLE_ROWS, TASKS = (4, 5, 6), 20, 8_000, 8
 #: Most features, least z of a log ratio, smoothing in documents, strength of the L2 penalty per document, steps.
-FEATURES, LEAST_Z, SMOOTH, PENALTY, STEPS = 20_000, 3.0, 5.0, 1e-4, 300
+FEATURES, LEAST_Z, SMOOTH, PENALTY, STEPS = 4_000, 3.0, 5.0, 1e-4, 200
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -85,16 +85,26 @@ def log_ratios(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> tuple[np.nda
     return r, r / np.sqrt(1 / a + 1 / b)
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty on rows of feature indices, whose values are r; accelerated descent."""
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    doc, col = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    value, n = r[col], len(rows)
+def regress(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, block: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty on rows of feature indices, whose values are r; accelerated descent. Rows are
+    taken in blocks, so that a step needs little memory beyond the rows themselves."""
+    n, blocks = len(rows), []
+    for at in range(0, n, block):
+        part = rows[at : at + block]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        blocks.append((slice(at, at + len(part)), np.repeat(np.arange(len(part), dtype=np.int32), sizes), np.concatenate(part).astype(np.int32)))
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        scaled = w * r
+        return np.concatenate([np.bincount(doc, scaled[col], minlength=at.stop - at.start) for at, doc, col in blocks])
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        return r * sum(np.bincount(col, g[at][doc], minlength=len(r)) for at, doc, col in blocks)
+
     # a bound of the curvature by power iteration
-    v = np.ones(len(r)) / max(1, len(r)) ** 0.5
-    top = 1.0
+    v, top = np.ones(len(r)) / max(1, len(r)) ** 0.5, 1.0
     for _ in range(12):
-        u = np.bincount(col, value * np.bincount(doc, value * v[col], minlength=n)[doc], minlength=len(r))
+        u = backward(forward(v))
         top = max(np.linalg.norm(u), 1e-12)
         v = u / top
     rate = 1 / (0.25 * (1.2 * top / n + 1) + PENALTY)
@@ -103,10 +113,9 @@ def regress(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.nd
     for t in range(STEPS):
         k = t / (t + 3)
         ahead, ahead_bias = w + k * (w - past), bias + k * (bias - past_bias)
-        z = np.bincount(doc, value * ahead[col], minlength=n) + ahead_bias
-        g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
+        g = 1 / (1 + np.exp(-np.clip(forward(ahead) + ahead_bias, -50, 50))) - y
         past, past_bias = w, bias
-        w = ahead - rate * (np.bincount(col, value * g[doc], minlength=len(r)) / n + PENALTY * ahead)
+        w = ahead - rate * (backward(g) / n + PENALTY * ahead)
         bias = ahead_bias - rate * g.mean()
     return w * r, float(bias)
 
@@ -128,7 +137,7 @@ def train(sample: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]], "counts": [zlib.compress(counts.tobytes(), 1)]})
 
     dealt = sample.repartition(TASKS)
-    parts = dealt.mapInArrow(count, "n0 bigint, n1 bigint, counts binary").collect()  # TASKS rows
+    parts = dealt.mapInArrow(tidy(count), "n0 bigint, n1 bigint, counts binary").collect()  # TASKS rows
     n0, n1 = sum(r["n0"] for r in parts), sum(r["n1"] for r in parts)
     flags, weights = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS)
     if not n0 or not n1:
@@ -146,7 +155,7 @@ def train(sample: DataFrame) -> Model:
         for texts, y in _batches(batches):
             yield pa.RecordBatch.from_pydict({"y": y, "f": [f.astype(np.int32).tobytes() for f in features(texts, shared.value)]})
 
-    rows = dealt.mapInArrow(pick, "y bigint, f binary").toArrow()  # about SAMPLE_ROWS rows
+    rows = dealt.mapInArrow(tidy(pick), "y bigint, f binary").toArrow()  # about SAMPLE_ROWS rows
     y = np.array(rows["y"].to_pylist(), float)
     order = np.searchsorted(chosen, np.arange(1 << BUCKET_BITS))
     w, bias = regress([order[np.frombuffer(f, np.int32)] for f in rows["f"].to_pylist()], y, r[chosen])
@@ -181,7 +190,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, columns:
             scores = shared.value.scores([t or "" for t in batch.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores)], ["_row", "score"])
 
-    return frame.mapInArrow(run, f"_row {frame.schema['_row'].dataType.simpleString()}, score double")
+    return frame.mapInArrow(tidy(run), f"_row {frame.schema['_row'].dataType.simpleString()}, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
