@@ -21,8 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from parley.llm.common import tidy
+
 #: Characters of text per chunk, and words that the cache of a worker holds before it is emptied.
-CHUNK_CHARS, CACHE_WORDS = 3_000_000, 500_000
+CHUNK_CHARS, CACHE_WORDS = 1_500_000, 500_000
 #: Words of more bytes are merged with a heap instead, because rounds of one merge each would take quadratic time.
 LONG_WORD = 256
 #: Words that one recursive query encodes.
@@ -196,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for ids, texts in chunks(batches, id_col, "_text"):
             yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in codec.encode(texts)], pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -209,7 +211,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
             for at in range(0, len(ids), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(at, 500), pa.array(codec.decode(ids[at : at + 500]), pa.binary())], [id_col, "body"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, body binary")
+    return encoded.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, body binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -234,4 +236,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
