@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import tidy
+
 #: The bytes between words, and the word pattern over lower-cased text that they come from.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(
@@ -282,7 +284,7 @@ def _search_block(frame: DataFrame, shared) -> DataFrame:
                     rows, held, start = [], 0, i + 1
 
     row = frame.schema["_row"].dataType.simpleString()
-    return frame.mapInArrow(run, f"_row {row}, _text string, _found {_FOUND}")
+    return frame.mapInArrow(tidy(run), f"_row {row}, _text string, _found {_FOUND}")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", width: int = WINDOW) -> DataFrame:

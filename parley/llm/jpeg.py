@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parley.llm.common import tidy
+
 #: Blocks per restart interval, and payload bytes that are coded at once.
 LANE_BLOCKS, CHUNK_BYTES = 8, 3_000_000
 BIAS = 256
@@ -627,7 +629,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = encode_payloads([payload_of(t)[1] for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(media, pa.binary())], [id_col, "media"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, media binary")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, media binary")
 
 
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -645,7 +647,7 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 row = [None, None, None] if rgb is None else [rgb.shape[0], rgb.shape[1], rgb.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([ident.as_py()], batch.column(id_col).type), *(pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary())))], [id_col, "height", "width", "rgb"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, height int, width int, rgb binary")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, height int, width int, rgb binary")
 
 
 def media_report(docs: DataFrame) -> DataFrame:
@@ -670,4 +672,4 @@ def media_report(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

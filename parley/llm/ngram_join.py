@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import stage
+from parley.llm.common import stage, tidy
 from parley.llm.components import connected_components
 
 #: Words per shingle, and the similarity in hundredths.
@@ -145,7 +145,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     tokens, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
@@ -189,7 +189,7 @@ def describe_sets(docs: DataFrame, id_col: str, shared) -> DataFrame:
                 ["id", "n", "sid", "sketch", "prefix"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, n bigint, sid bigint, sketch array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, n bigint, sid bigint, sketch array<bigint>, prefix array<bigint>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -354,7 +354,7 @@ def _list_relatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def families(long: DataFrame, info: DataFrame) -> DataFrame:
     """(node, component): members of long lists (token, sid) that may link, directly or by others, in some list."""
     members = long.join(info, "sid").select("token", "sid", "n", "sketch").repartition("token")
-    return connected_components(members.mapInArrow(_list_relatives, "a bigint, b bigint"))
+    return connected_components(members.mapInArrow(tidy(_list_relatives), "a bigint, b bigint"))
 
 
 def link_families(family: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cols = [[k[i] for k in kept] for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["sid", "n", "body"])
 
-    sets = docs.select("text").mapInArrow(run, "sid bigint, n bigint, body array<bigint>")
+    sets = docs.select("text").mapInArrow(tidy(run), "sid bigint, n bigint, body array<bigint>")
     return sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -430,7 +430,7 @@ def link_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     """(node, component) of the sets that link with another set, among the described sets of docs."""
     info = stage(described.where("sketch is not null").select("sid", "n", "sketch").dropDuplicates(["sid"]), "join-info")
     postings = described.select(F.explode("prefix").alias("token"), "sid").repartition("token")
-    found = stage(postings.mapInArrow(_postings_to_candidates, "a bigint, b bigint, token bigint"), "join-candidates")
+    found = stage(postings.mapInArrow(tidy(_postings_to_candidates), "a bigint, b bigint, token bigint"), "join-candidates")
     pairs = stage(bound(found.where("token is null").select("a", "b"), info), "join-pairs")
     long = found.where("token is not null").select("token", F.col("b").alias("sid"))
     family = families(long, info)
@@ -461,10 +461,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = described.select("id", "n", "sid")
     rows = rows.join(linked, rows["sid"] == linked["node"], "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
     rows = stage(rows, "join-rows")
-    least = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
-    return rows.join(least, "class", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
-    )
+    # classes of several rows only, staged, so that the join may split a hot class's rows
+    least = stage(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-least")
+    return rows.join(least, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import stage
+from parley.llm.common import stage, tidy
 
 #: Decompressed bytes after which a frame is closed, and compressed bytes after which a bundle is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
@@ -185,13 +185,13 @@ def write_bundles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     A null html is an empty payload, a null url an empty one; rows with the same page_id become records of the same id;
     rows whose page_id is null are written, but never refer to another. Other columns are ignored.
     """
-    return plan_revisits(pages, least_bytes).mapInArrow(_write, BUNDLE_SCHEMA)
+    return plan_revisits(pages, least_bytes).mapInArrow(tidy(_write), BUNDLE_SCHEMA)
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, and stored_sha1, the digest of
     the body as it was read (null for revisits)."""
-    return bundles.mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, stored_sha1 string")
+    return bundles.mapInArrow(tidy(_read), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, stored_sha1 string")
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
