@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import stage, tidy
+from parley.llm.common import release, stage, tidy
 from parley.llm.components import connected_components
 
 #: Words per shingle, and the similarity in hundredths.
@@ -456,6 +456,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     slim = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim))
+    release()
     described = stage(describe_sets(slim, id_col, shared), "join-described")
     linked = link_sets(slim, described)
     rows = described.select("id", "n", "sid")

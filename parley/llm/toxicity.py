@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, stage, tidy, training_row
+from parley.llm.common import held_out, release, stage, tidy, training_row
 
 #: Parameters: n-gram lengths in UTF-8 bytes, log2 of hash buckets, expected labelled rows in the sample, tasks that count.
 ORDERS, BUCKET_BITS, SAMPLE_ROWS, TASKS = (4, 5, 6), 20, 8_000, 8
@@ -183,6 +183,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, columns:
     """
     model = train(stage(sample_of(docs, labels, folds), "toxic-sample"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    release()  # what training took on the driver
     frame = docs.select(F.struct(*[docs[c] for c in columns or ["doc_id"]]).alias("_row"), docs["text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
