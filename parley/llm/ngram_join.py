@@ -90,7 +90,7 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
         words = mix((sums[stop] - sums[start]) * inverse[start])
         first = np.searchsorted(start, np.append(edges, len(raw)))
         grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
-        for k in range(width):
+        for k in range(width if len(grams) else 0):
             grams += words[k : len(words) - width + 1 + k] * _FACTORS[k]
         grams = mix(grams)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

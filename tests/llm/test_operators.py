@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, components, decontaminate, hmm, jpeg, ngram_join, secrets, sharding, toxicity, warc
+from parley.llm import bpe, components, decontaminate, hmm, jpeg, ngram_join, secrets, sharding, substrings, toxicity, warc
 
 ODD = "_id bigint, _text string, _row string, sid string, component string, node string, a string, score string"
 
@@ -131,6 +131,61 @@ def test_hot_text_is_divided(spark):
     assert len(counts) == 40 and max(counts.values()) - min(counts.values()) <= 64
 
 
+# ---------------------------------------------------------------- 3
+
+
+def without_repeats(rows):
+    """Every pair of paragraphs decides; of each component the first by (id, place) stays. Ids are distinct."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    lines = [(d, i, line) for d, t in order for i, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\v\f\r")]
+    component = [c for _, _, c in classes([(k, line) for k, (_, _, line) in enumerate(lines)])]
+    gone = {(d, i) for k, (d, i, _) in enumerate(lines) if component[k] != k}
+    out = []
+    for d, t in rows:
+        own, at, spans = (t or "").split("\n"), 0, []
+        for i, line in enumerate(own):
+            if (d, i) in gone:
+                spans.append(f"{at}:{at + len(line)}")
+            at += len(line) + 1
+        left = "\n".join(line for i, line in enumerate(own) if (d, i) not in gone)
+        out.append((d, sum(1 for x in lines if x[0] == d), len(spans), ",".join(spans), None if t is None else left))
+    return out
+
+
+def test_substring_dedup_is_registered():
+    from parley.llm.queries import QUERIES
+
+    assert [n for n in QUERIES if n.startswith("op3_")] == ["op3_substring_dedup"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup(spark, seed):
+    rng = random.Random(seed)
+    words = lambda n: [f"wé{rng.randrange(400)}" for _ in range(n)]
+    shared = [words(n) for n in (1, 3, 6, 7, 40, 60, 300)]
+    rows = [(None, "\n".join(" ".join(p) for p in shared)), (-1, None), (-2, ""), (-3, " \n\t\n")]
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            p = list(rng.choice(shared)) if rng.random() < 0.6 else words(rng.choice([2, 20, 80]))
+            if len(p) > 20 and rng.random() < 0.5:
+                p[rng.randrange(len(p))] = "changed"
+            lines.append(rng.choice([" ", "  "]).join(p).upper() if rng.random() < 0.2 else " ".join(p))
+        rows.append((i, "\n".join(lines + [""] * (i % 2))))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("rid", F.lit("clash")).repartition(3)
+    got = [tuple(r) for r in substrings.drop_repeats(frame).collect()]
+    same(got, without_repeats(rows))
+    assert sum(r[2] for r in got) > 100
+
+
+def test_substring_dedup_of_odd_rows(spark, docs, none):
+    assert substrings.drop_repeats(none).count() == 0
+    got = substrings.drop_repeats(docs).collect()
+    assert sum(r.text is None for r in got) == docs.where("text IS NULL").count() and len(got) == docs.count()
+    again = spark.createDataFrame([(4, "one line here"), (4, "one line here"), (None, "one line here")], "doc_id bigint, text string")
+    assert sorted(r.text for r in substrings.drop_repeats(again).collect()) == ["", "", "one line here"]
+
+
 # ---------------------------------------------------------------- 4
 
 
