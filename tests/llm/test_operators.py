@@ -364,6 +364,30 @@ def test_secrets(spark, docs, rows, none):
     assert secrets.secret_report(none).count() == 0
 
 
+@pytest.mark.parametrize(("alphabet", "sizes"), [("abcdefghijklmnopqrstuvwxyz", (32, 200)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (32, 200)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", (32,))])
+def test_random_tokens_of_one_class(spark, alphabet, sizes):
+    """Words with numbers of dates and counts; none of the long words is reported, nearly all random tokens are."""
+    rng = random.Random(11)
+    words = "the house of many small windows stands near an old river where people walk every morning and nothing ever changes".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(30)) + f" 19{rng.randrange(50, 99)}-0{rng.randrange(1, 10)}-10 {rng.randrange(1, 10)}000 {rng.randrange(10, 20)}00"
+    rows = [(i, text() + " " + "".join(rng.choice(alphabet) for _ in range(sizes[i % len(sizes)]))) for i in range(200)]
+    rows += [(1000 + i, text() + " " + "".join(rng.choice(words) for _ in range(7))) for i in range(200)]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    found = sum("random" in got[i] for i in range(200))
+    assert found >= 180
+    assert not any("random" in got[1000 + i] for i in range(200))
+
+
+def test_random_decimals_are_tested(spark):
+    """Digits get a p-value against the corpus' own numbers; of 24 digits or more the base pattern for hex has them."""
+    rng = random.Random(12)
+    rows = [(i, f"19{rng.randrange(50, 99)}-0{rng.randrange(1, 10)}-10 " + "".join(rng.choice("0123456789") for _ in range(23))) for i in range(300)]
+    rows = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = secrets.succession_table(secrets.word_pairs(rows, "text"))
+    found = [r.c for r in secrets._scan(rows, [], "text", table).select(F.explode("_cand").alias("c")).collect()]
+    assert len(found) == 300 and sum(c.random and c.bin > 0 for c in found) > 100
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdef0123 x", 5), (2, "nothing", 7), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: tuple(r) for r in secrets.redact_secrets(docs).collect()}
