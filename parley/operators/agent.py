@@ -190,6 +190,18 @@ def extract_calls(text: Column, form: str) -> Column:
     return run(text)
 
 
+def round_trips(name: str, arguments: Column) -> Column:
+    """array<struct<format, name, arguments>>: what each format extracts from its own rendering of a row's call."""
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("format", "name", "arguments")]))
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([[{"format": f.name, "name": n, "arguments": a} for f in FORMATS.values() for n, a in f.calls(f.render_calls([(name, x)]))] if x is not None else None for x in s])
+
+    return run(arguments)
+
+
 def extract_hermes(text: Column) -> Column:
     """The calls of <tool_call> JSON blocks by expressions alone, for responses without other spellings."""
     bodies = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.+?)</tool_call>"), 1)

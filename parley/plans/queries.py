@@ -564,13 +564,20 @@ def agt01_react_calls(table):
 @query("SELECT event_id, 'lookup' AS name FROM events WHERE user_id < 50")
 def agt07_all_formats(table):
     """Every format extracts the call that it renders."""
-    e = table("events").where("user_id < 50").select("event_id", "props")
-    good = F.lit(True)
-    args = '{"k": "v"}'
-    for f in A.FORMATS.values():
-        good = good & (A.extract_calls(F.lit(f.render_calls([("lookup", args)])), f.name)[0]["name"] == "lookup")
-    checked = e.limit(1).select(good.alias("ok"))
-    return e.join(F.broadcast(checked)).where("ok").select("event_id", F.lit("lookup").alias("name"))
+    e = table("events").where("user_id < 50").select("event_id", A.round_trips("lookup", F.col("props")).alias("calls"))
+    names = F.array_join(F.array_distinct(F.transform("calls", lambda c: c["name"])), ",")
+    return e.select("event_id", F.when(F.size("calls") == len(A.FORMATS), names).alias("name"))
+
+
+_TEXT_VALUES = "('glm4_5', 'glm4_7', 'qwen3_coder', 'qwen3_5', 'seed_oss')"
+
+
+@query(f"""SELECT event_id, format, 'lookup' AS name, CASE WHEN format IN {_TEXT_VALUES} THEN regexp_replace(props, ': (-?[0-9.]+)', ': "\\1"', 'g') ELSE props END AS arguments
+FROM events, (SELECT unnest([{", ".join(f"'{f}'" for f in A.FORMATS)}]) AS format)""")
+def agt07_all_events(table):
+    """The call of every event, rendered and extracted in every format; some formats have all values as texts."""
+    calls = table("events").select("event_id", F.explode(A.round_trips("lookup", F.col("props"))).alias("c"))
+    return calls.select("event_id", "c.format", "c.name", "c.arguments")
 
 
 @query("SELECT doc_id, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")

@@ -160,3 +160,13 @@ def test_token_arrays(spark):
     assert [m.content for m in value(spark, R.replace_responses(ms, a("z")))] == ["u", "a", "v", "z"]
     assert value(spark, R.decode_classes(a(0.1, 0.9, 0.3))) == 1 and value(spark, R.decode_classes(a(0.1, -0.9, 0.3), True)) == [0, 2]
     assert [p.cls for p in value(spark, R.top_logprobs(a(0.1, 0.9, 0.3), 2))] == [1, 2]
+
+
+def test_round_trips_of_own_arguments(spark):
+    """Each row's own call goes through every format; a null has none."""
+    d = spark.createDataFrame([(1, '{"k": 7}'), (2, '{"k": 88}'), (3, None)], "i int, a string")
+    got = {r.i: r.c for r in d.select("i", A.round_trips("lookup", F.col("a")).alias("c")).collect()}
+    for i, k in ((1, 7), (2, 88)):
+        assert [c.format for c in got[i]] == list(A.FORMATS) and {c.name for c in got[i]} == {"lookup"}
+        assert {c.arguments for c in got[i]} == {f'{{"k": {k}}}', f'{{"k": "{k}"}}'}
+    assert got[3] is None
