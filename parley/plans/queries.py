@@ -437,8 +437,20 @@ def nrm03_alpaca(table):
 
 @query("SELECT doc_id, CASE toxic WHEN 0 THEN 'clean' ELSE 'toxic' END AS response FROM labels WHERE quality IS NOT NULL")
 def nrm08_classification_prompt(table):
-    d = X.N.classification_as_generation(table("labels").select("doc_id", F.concat(F.lit("item "), "doc_id").alias("sentence"), F.col("toxic").alias("label")), ["clean", "toxic"], "Toxicity")
-    return table("labels").select("doc_id", "toxic").join(F.broadcast(d.select(F.element_at("messages", -1)["content"].alias("response")).distinct()), F.col("response") == F.when(F.col("toxic") == 0, "clean").otherwise("toxic")).select("doc_id", "response")
+    return _toxicity_prompts(table).select("doc_id", "response")
+
+
+def _toxicity_prompts(table) -> DataFrame:
+    """doc_id, prompt and response of every label's own messages; the id is read from the prompt."""
+    d = N.classification_as_generation(table("labels").select("doc_id", F.concat(F.lit("item "), "doc_id").alias("sentence"), F.col("toxic").alias("label")), ["clean", "toxic"], "Toxicity")
+    prompt = F.element_at("messages", -2)["content"]
+    return d.select(F.regexp_extract(prompt, "item (-?[0-9]+)", 1).cast("bigint").alias("doc_id"), prompt.alias("prompt"), F.element_at("messages", -1)["content"].alias("response"))
+
+
+@query("""SELECT doc_id, concat('Task: Toxicity', chr(10), 'Sentence: item ', doc_id, chr(10), 'Category: clean, toxic', chr(10), 'Output:') AS prompt,
+CASE toxic WHEN 0 THEN 'clean' ELSE 'toxic' END AS response FROM labels WHERE toxic IS NOT NULL""")
+def nrm08_prompts(table):
+    return _toxicity_prompts(table)
 
 
 @query("SELECT conv_id, turn // 2 AS i, max(CASE WHEN turn % 2 = 0 THEN text END) AS q, max(CASE WHEN turn % 2 = 1 THEN text END) AS a FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY ALL")
