@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parley.llm.common import tidy
 
@@ -283,8 +284,7 @@ def _search_block(frame: DataFrame, shared) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_text"), pa.array(finish(rows, phrases), kind)], ["_row", "_text", "_found"])
                     rows, held, start = [], 0, i + 1
 
-    row = frame.schema["_row"].dataType.simpleString()
-    return frame.mapInArrow(tidy(run), f"_row {row}, _text string, _found {_FOUND}")
+    return frame.mapInArrow(tidy(run), StructType([frame.schema["_row"], *StructType.fromDDL(f"_text string, _found {_FOUND}").fields]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -298,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_c
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
-    frame = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs[text_col].alias("_text"), F.lit(None).cast(_FOUND).alias("_found"))
+    frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), docs[f"`{text_col}`"].alias("_text"), F.lit(None).cast(_FOUND).alias("_found"))
     for k in range(n_blocks):
         block = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).toArrow()
         frame = _search_block(frame, spark.sparkContext.broadcast(phrases_of(list(zip(block["item_id"].to_pylist(), block["text"].to_pylist())), width)))
@@ -326,7 +326,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, te
     Keeps docs' columns. Where a text is cut, n_chars, if docs has it, becomes its new length.
     """
     found = find_leaks(docs, benchmark, docs.columns, text_col).where(F.size("_found.items") < least_items)
-    text = F.col(f"_row.{text_col}")
+    text = F.col(f"_row.`{text_col}`")
     ends = F.concat(F.transform("_found.cuts", lambda s: s["a"]), F.array(F.length(text).cast("bigint")))
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_found.cuts", lambda s: s["b"]))
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")

@@ -155,7 +155,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def describe_sets(docs: DataFrame, id_col: str, shared) -> DataFrame:
     """id, n, sid, sketch and prefix of every row; sketch and prefix are null where the task has given them for an equal
     set before, or the set is empty."""
-    rows = docs.select(docs[id_col].alias("id"), docs["text"].alias("text"))
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs["text"].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +454,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     a null id is smaller than none, so a class of null ids only has a null component. An empty table gives an empty
     result; other columns are ignored.
     """
-    slim = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
+    slim = docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim))
     release()
     described = stage(describe_sets(slim, id_col, shared), "join-described")

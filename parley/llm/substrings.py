@@ -117,7 +117,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their own; a null text stays null; an empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    held = stage(docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("id"), docs[text_col].alias("text")), "paragraph-docs")
+    held = stage(docs.select(F.monotonically_increasing_id().alias("rid"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), "paragraph-docs")
     rows = held.join(repeats(held).hint("shuffle_hash"), "rid", "left").select("id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

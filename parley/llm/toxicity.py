@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parley.llm.common import held_out, release, stage, tidy, training_row
 
@@ -184,14 +185,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, columns:
     model = train(stage(sample_of(docs, labels, folds), "toxic-sample"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     release()  # what training took on the driver
-    frame = docs.select(F.struct(*[docs[c] for c in columns or ["doc_id"]]).alias("_row"), docs["text"].alias("_text"))
+    frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns or ["doc_id"]]).alias("_row"), docs["text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.scores([t or "" for t in batch.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores)], ["_row", "score"])
 
-    return frame.mapInArrow(tidy(run), f"_row {frame.schema['_row'].dataType.simpleString()}, score double")
+    return frame.mapInArrow(tidy(run), StructType([frame.schema["_row"], StructField("score", DoubleType())]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:

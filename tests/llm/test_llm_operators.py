@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import bpe, components, decontaminate, hmm, jpeg, ngram_join, secrets, sharding, substrings, toxicity, warc
 
-ODD = "_id bigint, _text string, _row string, sid string, component string, node string, a string, score string"
+ODD = "_id bigint, _text string, _row string, sid string, component string, node string, a string, score string, a.b string, text.x int"
 
 
 def documents(spark):
@@ -391,9 +391,25 @@ def test_random_decimals_are_tested(spark):
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdef0123 x", 5), (2, "nothing", 7), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: tuple(r) for r in secrets.redact_secrets(docs).collect()}
+    assert secrets.redact_secrets(docs.where("false")).count() == 0
     assert got == {1: (1, "é [SECRET] x", 12), 2: (2, "nothing", 7), 3: (3, None, None)}
 
 
+def test_redaction_keeps_odd_rows_and_columns(docs):
+    got = secrets.redact_secrets(docs)
+    assert got.columns == docs.columns and got.count() == docs.count()
+    before, after = (sorted(map(tuple, f.where("text IS NULL OR NOT text LIKE '%password%'").collect()), key=key) for f in (docs, got))
+    assert [r for r in after if "[SECRET]" not in (r[1] or "")] == [r for r in before if r in after]
+
+
+def test_columns_with_dots_and_many_columns_pass_the_stages(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    wide = docs.select("*", *[F.lit(i).alias(f"extra{i}") for i in range(30)])
+    for frame in (toxicity.drop_toxic(wide, labels.where("toxic < 0")), decontaminate.remove_leaks(wide, bench), ngram_join.keep_one(wide)):
+        assert frame.columns == wide.columns and frame.count() >= 0
+
+
 def test_thresholds_follow_the_step_up_rule():
     assert secrets.thresholds([(0, 8, 10, True, 5), (0, 8, 0, True, 5)], 0.01) == {8: 10}
     assert secrets.thresholds([(0, 8, 2, True, 1), (0, 8, 0, False, 1000)], 0.01) == {}
