@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.common import tidy
+from parley.llm.common import HELD, tidy
 
 #: Characters of text per chunk, and words that the cache of a worker holds before it is emptied.
 CHUNK_CHARS, CACHE_WORDS = 1_500_000, 500_000
@@ -67,13 +67,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one vocabulary; one per worker and vocabulary."""
 
-    made: dict[tuple[str, str], Codec] = {}
-
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls.made:
-            cls.made[path, pattern] = cls(load_ranks(path), pattern)
-        return cls.made[path, pattern]
+        made = HELD.setdefault("bpe", {})
+        if (path, pattern) not in made:
+            made[path, pattern] = cls(load_ranks(path), pattern)
+        return made[path, pattern]
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
@@ -198,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for ids, texts in chunks(batches, id_col, "_text"):
             yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in codec.encode(texts)], pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return rows.mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(run, "bpe"), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -211,7 +210,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
             for at in range(0, len(ids), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(at, 500), pa.array(codec.decode(ids[at : at + 500]), pa.binary())], [id_col, "body"])
 
-    return encoded.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, body binary")
+    return encoded.select(id_col, "ids").mapInArrow(tidy(run, "bpe"), f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, body binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -236,4 +235,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "bpe"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -57,11 +57,21 @@ def release() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What a worker process keeps for its next task, by the operator that keeps it.
+HELD: dict[str, dict] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that gives freed memory back to the system when a task ends. Python workers are kept for later
-    tasks, also of other stages, and would hold on to it beside the executor's heap."""
+    tasks, also of other stages, and would hold on to it beside the executor's heap. What other operators than `keeps` have
+    left in HELD goes when a task begins."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [name for name in HELD if name != keeps]
+        for name in others:
+            del HELD[name]
+        if others:
+            release()
         try:
             yield from run(batches)
         finally:

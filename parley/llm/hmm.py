@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, stage, tidy
+from parley.llm.common import HELD, held_out, stage, tidy
 
 #: Parameters: states, words that are symbols, rounds of Baum-Welch, tokens per training segment.
 STATES, SYMBOL_WORDS, ROUNDS, SEGMENT = 8, 4096, 4, 128
@@ -59,7 +59,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(tidy(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run, "hmm"), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -74,12 +74,11 @@ class Head:
     total: int  # training tokens, ends included
     distinct: int  # distinct training tokens, the end included
 
-    made = None  # the worker's dictionary
-
     def index(self) -> dict[bytes, int]:
-        if Head.made is None or Head.made[0] is not self:
-            Head.made = self, {w: i for i, w in enumerate(self.words)}
-        return Head.made[1]
+        held = HELD.setdefault("hmm", {})
+        if held.get("head") is not self:
+            held["head"], held["index"] = self, {w: i for i, w in enumerate(self.words)}
+        return held["index"]
 
     @property
     def spread(self) -> float:
@@ -139,7 +138,7 @@ def encode(docs: DataFrame, shared, folds: int) -> DataFrame:
             types = (pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), rest_kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "train")), *(pa.array(c, t) for c, t in zip(cols, types))], ["rid", "doc_id", "train", "ids", "n_known", "log_sum", "n_rare", "rare_log", "rest"])
 
-    return rows.mapInArrow(tidy(run), _CODED)
+    return rows.mapInArrow(tidy(run, "hmm"), _CODED)
 
 
 @dataclass
@@ -252,7 +251,7 @@ def train(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> Model:
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["i", "v"])
 
-        found = sequences.mapInArrow(tidy(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # one row a parameter
+        found = sequences.mapInArrow(tidy(run, "hmm"), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # one row a parameter
         sums = np.zeros(STATES * (2 + STATES + n))
         sums[found["i"].to_numpy()] = found["v"].to_numpy()
         start, middle, step, emit = np.split(sums, np.cumsum([STATES, STATES, STATES * STATES]))
@@ -284,7 +283,7 @@ def score_documents(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> D
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], [*names, "n_tokens", "forward"])
 
     kept = coded.select("rid", "doc_id", "train", "n_known", "log_sum", "n_rare", "rare_log", "ids")
-    scored = kept.mapInArrow(tidy(run), "rid bigint, doc_id bigint, train boolean, n_known bigint, log_sum double, n_rare bigint, rare_log double, n_tokens bigint, forward double")
+    scored = kept.mapInArrow(tidy(run, "hmm"), "rid bigint, doc_id bigint, train boolean, n_known bigint, log_sum double, n_rare bigint, rare_log double, n_tokens bigint, forward double")
     # words beyond the head are rare, so no key of this join is hot
     rest = coded.select("rid", F.explode("rest").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.m").alias("m"))
     rest = rest.join(vocab, "word", "left").select("rid", "m", F.coalesce("n", F.lit(0)).alias("c"))

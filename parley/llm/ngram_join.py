@@ -4,13 +4,16 @@ set-relation skipping, and the classes of linked documents.
 1. A text becomes the set of 64-bit hashes of its shingles. Equal sets are one set, named by its own hash, from here on.
 2. Shingles are ordered globally: those that no task has seen in several documents first, by hash, then the frequent ones
    by their count. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each: its prefix.
-3. Prefixes are dealt by shingle into index lists. Within a short list every pair is a candidate. Candidates pass a size
-   bound and a bound on the overlap from parity sketches of about a bit a shingle (the symmetric difference of two sets
-   is never less than the distance of their sketches). Of what is left each set is first verified with one partner.
+3. Prefixes are dealt by shingle into index lists, whose entries are in blocks of one set size, by position. Within a short
+   list a set meets the blocks that its size and position allow, and of each the entries up to the last position that
+   allows it; the rest is skipped unread. Candidates pass a bound on the overlap from parity sketches of about a bit a
+   shingle (the symmetric difference of two sets is never less than the distance of their sketches). Of what is left each
+   set is first verified with one partner.
 4. Long lists are mostly many relatives of one set. Members that may link by sketch, directly or through others, form a family, whose
-   members are dealt in blocks; a task takes a pair of blocks with their whole sets and derives a set's answers from those of similar ones:
-   partners are tried nearest first, all of a component that is reached are skipped at once, and only the links that
-   join components leave the task, fewer than there are members.
+   members are dealt in blocks; a task takes a pair of blocks with their whole sets and derives a set's answers from the
+   overlaps of the most similar set before it: partners are tried nearest first, overlaps are intersected only where that
+   set's leave it open, all of a component that is reached are skipped at once, and only the links that join components
+   leave the task, fewer than there are members.
 5. Candidates whose ends these links have joined are skipped, and only the others are verified. Whole sets are made once,
    for those sets that are still wanted.
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import release, stage, tidy
+from parley.llm.common import HELD, release, stage, tidy
 from parley.llm.components import connected_components
 
 #: Words per shingle, and the similarity in hundredths.
@@ -50,7 +53,6 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _FACTORS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,17 +63,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
+    held = HELD.setdefault("shingles", {})
+    if len(held.get("powers", ((),))[0]) < n:
+        made = []
+        for base in (_BASE, _INVERSE):
             steps = np.full(max(n, CHUNK_BYTES + 150_000), base, np.uint64)
             steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            made.append(np.cumprod(steps))
+        held["powers"] = made
+    return held["powers"][0][:n], held["powers"][1][:n]
 
 
-def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. A text of fewer words, but some, has one shingle of all of them."""
-    out: list[np.ndarray] = []
+def hashed_words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, edges, start, hash) over runs of texts: the run's bytes, where each of its texts begins in them,
+    and where each word begins, with its hash."""
     at = 0
     while at < len(texts):
         parts, size, end, edges = [], 0, at, []
@@ -87,12 +92,24 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
         start, stop = turn[0::2], turn[1::2]
         powers, inverse = _powers(len(raw) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        words = mix((sums[stop] - sums[start]) * inverse[start])
+        yield at, end, raw, np.array(edges), start, mix((sums[stop] - sums[start]) * inverse[start])
+        at = end
+
+
+def grams_of(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of width words."""
+    out = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width if len(out) else 0):
+        out += words[k : len(words) - width + 1 + k] * _FACTORS[k]
+    return mix(out)
+
+
+def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text. A text of fewer words, but some, has one shingle of all of them."""
+    out: list[np.ndarray] = []
+    for _, _, raw, edges, start, words in hashed_words(texts):
         first = np.searchsorted(start, np.append(edges, len(raw)))
-        grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
-        for k in range(width if len(grams) else 0):
-            grams += words[k : len(words) - width + 1 + k] * _FACTORS[k]
-        grams = mix(grams)
+        grams = grams_of(words, width)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= width:
                 out.append(np.unique(grams[a : b - width + 1]))
@@ -100,7 +117,6 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
                 out.append(mix((words[a:b] * _FACTORS[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
             else:
                 out.append(np.zeros(0, np.uint64))
-        at = end
     return out
 
 
@@ -145,7 +161,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(tidy(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(run, "shingles"), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     tokens, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
@@ -189,64 +205,92 @@ def describe_sets(docs: DataFrame, id_col: str, shared) -> DataFrame:
                 ["id", "n", "sid", "sketch", "prefix"],
             )
 
-    return rows.mapInArrow(tidy(run), f"id {kind}, n bigint, sid bigint, sketch array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(tidy(run, "shingles"), f"id {kind}, n bigint, sid bigint, sketch array<bigint>, prefix array<bigint>")
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, sid) of a task, sorted, and where each token's list begins; lists of one member are left out."""
-    tokens, sids = [], []
-    for batch in batches:
-        tokens.append(batch.column("token").to_numpy())
-        sids.append(batch.column("sid").to_numpy())
-    if not tokens:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-    token, sid = np.concatenate(tokens), np.concatenate(sids)
-    order = np.lexsort((sid, token))
-    token, sid = token[order], sid[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-    token, sid = token[new], sid[new]
+def _lists(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, sid, n, pos, edges): the distinct entries of a task's index lists, each list in order of set size, then position,
+    and where each begins; lists of one member are left out."""
+    parts = [[batch.column(c).to_numpy() for c in ("token", "sid", "place")] for batch in batches if batch.num_rows]
+    if not parts:
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(1, np.int64))
+    token, sid, place = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((sid, place, token))
+    token, sid, place = token[order], sid[order], place[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (place[1:] != place[:-1]) | (sid[1:] != sid[:-1])])
+    token, sid, place = token[new], sid[new], place[new]
     head = np.concatenate([[True], token[1:] != token[:-1]])
     size = np.diff(np.append(np.flatnonzero(head), len(token)))
     keep = np.repeat(size > 1, size)
     size = size[size > 1]
-    return token[keep], sid[keep], np.concatenate([[0], np.cumsum(size)])
+    return token[keep], sid[keep], place[keep] >> 31, place[keep] & ((1 << 31) - 1), np.concatenate([[0], np.cumsum(size)])
+
+
+def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The least intersection of linked sets of n and m shingles."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def short_pairs(sid: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Distinct pairs (a < b) within the lists of at most SHORT members."""
+def list_pairs(sid: np.ndarray, n: np.ndarray, pos: np.ndarray, edges: np.ndarray, short: int) -> np.ndarray:
+    """Distinct pairs (a < b) within the lists of at most short members that size and position allow.
+
+    A list's entries of one size are a block, in order of position. Blocks of sets too large for a set are skipped, and so is
+    a block for whose size the set's own position is too late; of other blocks, entries behind the last position that leaves
+    enough shingles are skipped. Linked sets are found at the first shingle that they share: none before it is common.
+    """
     found, held = np.zeros((0, 2), np.int64), []
-    size = np.diff(edges)
 
     def join(parts: list[np.ndarray]) -> np.ndarray:
         pairs = np.concatenate(parts)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
 
-    for n in np.unique(size[size <= SHORT]).tolist():
-        begin = edges[:-1][size == n]
-        i, j = np.triu_indices(n, 1)
-        step = max(1, 500_000 // len(i))
-        for at in range(0, len(begin), step):
-            lists = sid[begin[at : at + step, None] + np.arange(n)]
-            held.append(np.stack([lists[:, i].ravel(), lists[:, j].ravel()], 1))
-            if sum(map(len, held)) > 1_000_000:
-                found, held = join([found, *held]), []
-    return join([found, *held])
-
-
-def _postings_to_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of short lists as (a, b, null); members of long lists as (null, sid, token)."""
-    token, sid, edges = _lists(batches)
-    pairs = short_pairs(sid, edges)
     size = np.diff(edges)
-    long = np.repeat(size > SHORT, size)
-    n = int(long.sum())
-    a = pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(n, pa.int64())])
-    b = pa.array(np.concatenate([pairs[:, 1], sid[long]]))
-    t = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(token[long])])
-    whole = pa.RecordBatch.from_arrays([a, b, t], ["a", "b", "token"])
-    for at in range(0, whole.num_rows, 100_000):
-        yield whole.slice(at, 100_000)
+    use = np.flatnonzero(np.repeat(size <= short, size))
+    if not len(use):
+        return found
+    sid, n, pos = sid[use], n[use], pos[use]
+    key = (np.repeat(np.arange(len(size)), size)[use] << 32) | n
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    block_key, block = key[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    within = (block << 32) | pos
+    last = np.searchsorted(block_key, ((key >> 32) << 32) | (100 * n // PERCENT), side="right")
+    for at in range(0, len(use), 100_000):
+        own = np.arange(at, min(at + 100_000, len(use)))
+        blocks = last[own] - block[own]
+        i = np.repeat(own, blocks)
+        b = np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks) + block[i]
+        need = least_overlap(n[i], n[start[b]])
+        far = n[i] - pos[i] >= need
+        i, b, need = i[far], b[far], need[far]
+        begin = np.maximum(start[b], i + 1)
+        end = np.searchsorted(within, (b << 32) | np.maximum(n[start[b]] - need, 0), side="right")
+        count = np.maximum(end - begin, 0)
+        left = np.repeat(i, count)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+        held.append(np.sort(np.stack([sid[left], sid[right]], 1), axis=1))
+        if sum(map(len, held)) > 1_000_000:
+            found, held = join([found, *held]), []
+    pairs = join([found, *held])
+    return pairs[pairs[:, 0] != pairs[:, 1]]
+
+
+def _candidates_of(short: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of short lists as (a, b, null); members of long lists as (null, sid, token)."""
+        token, sid, n, pos, edges = _lists(batches)
+        pairs = list_pairs(sid, n, pos, edges, short)
+        size = np.diff(edges)
+        long = np.repeat(size > short, size)
+        count = int(long.sum())
+        a = pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(count, pa.int64())])
+        b = pa.array(np.concatenate([pairs[:, 1], sid[long]]))
+        t = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(token[long])])
+        whole = pa.RecordBatch.from_arrays([a, b, t], ["a", "b", "token"])
+        for at in range(0, whole.num_rows, 100_000):
+            yield whole.slice(at, 100_000)
+
+    return run
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -257,8 +301,15 @@ def _may_link(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
 
 def family_links(sets: list[np.ndarray], comps: list[int], block: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that join the components of sorted sets, as pairs of places. With block, the sets' blocks, only pairs of
-    different blocks are tried."""
+    different blocks are tried.
+
+    A set's answers are derived from those of the most similar set that was done before it: with a shingles of theirs in
+    common, its overlap with a third set differs from the other's by no more than the shingles of either beyond a. Only where
+    these bounds leave it open are two sets intersected.
+    """
     parent: dict[int, int] = {}
+    done: list[dict[int, int]] = [{} for _ in sets]  # known overlaps with later sets
+    similar: dict[int, tuple[int, int]] = {}  # the most similar set done before, and the overlap with it
 
     def root(x: int) -> int:
         while parent.get(x, x) != x:
@@ -278,12 +329,22 @@ def family_links(sets: list[np.ndarray], comps: list[int], block: np.ndarray | N
             rest = rest[block[rest] != block[i]]
         distance = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(1, dtype=np.int64)
         may = _may_link(sizes[rest], sizes[i], distance)
+        other, shared = similar.get(i, (i, 0))
         for j in rest[may][np.argsort(distance[may], kind="stable")].tolist():
             a, b = root(comps[i]), root(comps[j])
             if a == b:
                 continue
-            k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * k >= PERCENT * (sizes[i] + sizes[j] - k):
+            need = int(least_overlap(sizes[i], sizes[j]))
+            known = done[other].get(j)
+            if known is None or known - (sizes[other] - shared) < need <= known + (sizes[i] - shared):
+                k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                done[i][j] = k
+                if j not in similar or similar[j][1] * sizes[i] < k * sizes[similar[j][0]]:
+                    similar[j] = i, k
+                linked = k >= need
+            else:
+                linked = known - (sizes[other] - shared) >= need
+            if linked:
                 parent[a] = b
                 links.append((i, j))
     return links
@@ -354,12 +415,12 @@ def _list_relatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def families(long: DataFrame, info: DataFrame) -> DataFrame:
     """(node, component): members of long lists (token, sid) that may link, directly or by others, in some list."""
     members = long.join(info, "sid").select("token", "sid", "n", "sketch").repartition("token")
-    return connected_components(members.mapInArrow(tidy(_list_relatives), "a bigint, b bigint"))
+    return connected_components(members.mapInArrow(tidy(_list_relatives, "shingles"), "a bigint, b bigint"))
 
 
-def link_families(family: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+def link_families(family: DataFrame, sets: DataFrame, comps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join the components of the members of families."""
-    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = family.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("family"), "blocks")
     own = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     named = own.join(comps.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -409,7 +470,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cols = [[k[i] for k in kept] for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["sid", "n", "body"])
 
-    sets = docs.select("text").mapInArrow(tidy(run), "sid bigint, n bigint, body array<bigint>")
+    sets = docs.select("text").mapInArrow(tidy(run, "shingles"), "sid bigint, n bigint, body array<bigint>")
     return sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -426,11 +487,13 @@ def one_partner(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
 
 
-def link_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """(node, component) of the sets that link with another set, among the described sets of docs."""
+def link_sets(docs: DataFrame, described: DataFrame, ordered: bool = True, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the sets that link with another set, among the described sets of docs. ordered: prefix has shingles
+    in the global order, so their positions bound the overlap; else it has other keys that linked sets may share."""
     info = stage(described.where("sketch is not null").select("sid", "n", "sketch").dropDuplicates(["sid"]), "join-info")
-    postings = described.select(F.explode("prefix").alias("token"), "sid").repartition("token")
-    found = stage(postings.mapInArrow(tidy(_postings_to_candidates), "a bigint, b bigint, token bigint"), "join-candidates")
+    # size and position in one number, by which a list is ordered
+    postings = described.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n").select("token", "sid", (F.shiftleft("n", 31) + (F.col("pos") if ordered else 0)).alias("place"))
+    found = stage(postings.repartition("token").mapInArrow(tidy(_candidates_of(short), "shingles"), "a bigint, b bigint, token bigint"), "join-candidates")
     pairs = stage(bound(found.where("token is null").select("a", "b"), info), "join-pairs")
     long = found.where("token is not null").select("token", F.col("b").alias("sid"))
     family = families(long, info)
@@ -440,14 +503,14 @@ def link_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     links = stage(verify(first, sets), "join-links")
     joined = connected_components(links)
     if not family.isEmpty():
-        links = stage(links.union(link_families(family, sets, joined)), "join-links")
+        links = stage(links.union(link_families(family, sets, joined, block)), "join-links")
         joined = connected_components(links)
     left, right = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(left, "a", "left").join(right, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
     return connected_components(links.union(verify(apart.join(first, ["a", "b"], "left_anti"), sets)))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """id, n_shingles and component_id, the smallest id that is reachable by links, for every row of docs.
 
     Null and empty texts have no shingles and are linked with nothing, not even each other. Rows of equal texts are linked;
@@ -458,7 +521,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim))
     release()
     described = stage(describe_sets(slim, id_col, shared), "join-described")
-    linked = link_sets(slim, described)
+    linked = link_sets(slim, described, True, short, block)
     rows = described.select("id", "n", "sid")
     rows = rows.join(linked, rows["sid"] == linked["node"], "left").select("id", "n", F.coalesce("component", "sid").alias("class"))
     rows = stage(rows, "join-rows")
@@ -467,7 +530,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.join(least, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is their class's smallest. Of rows with that same id and equal texts all stay."""
-    kept = classes(docs, id_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that a row of their class comes before: one row of each class stays, with all its columns.
+
+    Order is by id, nulls last, then a hash of the text, so repeated rows also leave one. Rows without words are linked with nothing and all
+    stay. Columns may have any names; an empty table gives an empty result.
+    """
+    slim = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")), "join-docs")
+    rows = slim.select("rid", F.col(f"row.`{text_col}`").alias("text"))
+    classed = classes(rows, "rid").select(F.col("rid").alias("of"), F.col("component_id").alias("class"))
+    # classes of several rows: the others keep their one row
+    order = F.struct(F.col(f"row.`{id_col}`").isNull(), F.col(f"row.`{id_col}`"), F.xxhash64(F.col(f"row.`{text_col}`")), F.col("rid"))
+    several = stage(classed.join(classed.groupBy("class").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "class"), "join-several")
+    placed = slim.join(several, slim["rid"] == several["of"]).select("rid", "class", order.alias("order"))
+    kept = placed.groupBy("class").agg(F.min("order").alias("first")).select(F.col("first.rid").alias("rid"))
+    gone = stage(several.join(kept, several["of"] == kept["rid"], "left_anti").select("of"), "join-gone")
+    left = slim.join(gone, slim["rid"] == gone["of"], "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

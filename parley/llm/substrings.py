@@ -1,33 +1,42 @@
-"""Substring dedup: paragraphs that repeat, exactly or nearly, within and across documents, are removed but for one.
-
-1. A text's lines that aren't blank are its paragraphs. A paragraph becomes the set of 64-bit hashes of its word shingles
-   (all its words make one shingle where there are few), and equal sets are one set from here on.
-2. A distinct set has a MinHash signature of BANDS bands of ROWS minima; sets with an equal band collide. Sets of less
-   than three shingles link with equal sets only and have no bands.
-3. Colliding sets are joined and verified exactly on whole sets by the steps of the n-gram Jaccard join: hot bands are
-   dealt in blocks, copies are never expanded into pairs.
-4. Of each component the first paragraph by document id, row and place stays; the others are removed with their line end.
-
-A pair of similarity s collides with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99995 at 0.75. Equal
-sets are always found, and what is reported is always verified.
+"""Substring dedup: passages that repeat, exactly or nearly, within and across documents, are removed but for one.
+
+Paragraphs are of two kinds, both of LEAST_WORDS words at least:
+
+- A text's lines. A line becomes the set of 64-bit hashes of its word shingles, and equal sets are one set from here on. A
+  distinct set has a MinHash signature of BANDS bands of ROWS minima; sets with an equal band collide. Colliding sets are
+  joined and verified exactly on whole sets by the steps of the n-gram Jaccard join, and their components are taken.
+- Passages that no line break marks: the LEAST_WORDS words behind each anchor, a place whose hash of two words is the least
+  among REACH places to either side. What is an anchor depends on the words around it only, so a passage that repeats has
+  the same anchors in it wherever it stands: about one every 2 * REACH + 1 words. Equal passages are one component.
+
+Of each component the first by document id, row and place stays; the others are removed, lines with their line end. Words of
+a passage that stays aren't removed by one that overlaps it.
+
+A pair of lines of similarity s collides with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.75. Equal lines are always
+found, and what is reported is always verified; equal passages are told by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from parley.llm.common import stage, tidy
-from parley.llm.ngram_join import _texts, link_sets, mix, set_hash, sketch
+from parley.llm.ngram_join import _FACTORS, _powers, grams_of, hashed_words, link_sets, mix, set_hash, sketch
 
 #: Bands and minima per band; shingles whose minima are taken at once.
 BANDS, ROWS, AT_ONCE = 12, 2, 20_000
+#: Least words of a paragraph: what is shorter is common speech. Places to either side that an anchor is less than.
+LEAST_WORDS, REACH = 20, 5
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def bands(sets: list[np.ndarray]) -> np.ndarray:
@@ -47,97 +56,189 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, id, pos and text of every line, in batches of few documents."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            of, places, lines = [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                own = (text or "").split("\n")
-                of += [i] * len(own)
-                places += range(len(own))
-                lines += own
-            of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("rid").take(of), part.column("id").take(of), pa.array(places, pa.int32()), pa.array(lines, pa.string())], ["rid", "id", "pos", "text"])
-
-
-def describe_paragraphs(docs: DataFrame) -> DataFrame:
-    """rid, id, pos, n, sid, sketch and bands (as prefix) of every paragraph of docs (rid, id, text); sketch and bands are null
-    where the task has given them for an equal set before, or the set can only link with equal ones."""
-    kind = docs.schema["id"].dataType.simpleString()
+def line_sets(raw: np.ndarray, edges: np.ndarray, start: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text, number within it, shingle set) of the lines of least words or more, from hashed words."""
+    begin = np.sort(np.concatenate([edges, np.flatnonzero(raw == 10) + 1]))
+    text = np.searchsorted(edges, begin, side="right") - 1
+    number = np.arange(len(begin)) - np.searchsorted(begin, edges)[text]
+    first = np.searchsorted(start, np.append(begin, len(raw)))
+    full = np.flatnonzero(np.diff(first) >= max(1, least))
+    grams, sets = grams_of(words), []
+    for a, b in zip(first[full].tolist(), first[full + 1].tolist()):
+        sets.append(np.unique(grams[a : b - 4]) if b - a >= 5 else mix((words[a:b] * _FACTORS[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+    return text[full], number[full], sets
+
+
+def passages(words: np.ndarray, first: np.ndarray, least: int = LEAST_WORDS, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the least words behind each anchor; first has each text's first word and their number."""
+    most = np.uint64((1 << 64) - 1)
+    sizes = np.diff(first)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    two = grams_of(words, 2)
+    # texts are set apart by reach places that are greater than all others
+    spread = np.full(len(words) + reach * (len(sizes) + 1), most)
+    at = np.arange(len(words)) + reach * (text + 1)
+    inner = np.flatnonzero(text[:-1] == text[1:])
+    spread[at[inner]] = np.minimum(two[inner], most - np.uint64(1))
+    left = np.flatnonzero(first[1:][text] - np.arange(len(words)) >= least)
+    for j in range(1, reach + 1):
+        here = spread[at[left]]
+        left = left[(here < spread[at[left] - j]) & (here <= spread[at[left] + j])]
+    powers, inverse = _powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1])])
+    return text[left], left - first[text[left]], mix((sums[left + least] - sums[left]) * inverse[left])
+
+
+def describe_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """rid, id, pos, n, sid, sketch and bands (as prefix) of every paragraph of docs (rid, id, text). Lines have n, the size of
+    their set; sketch and bands are null where the task has given them for an equal set before, or the set is of one or two
+    shingles and can only link with equal ones. Passages have a null n and their hash as sid."""
+    lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, sets in _texts(_lines(batches)):
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sids = [set_hash(sets[i]) for i in full]
-            new = []
-            for k, i in enumerate(full):
-                if len(sets[i]) > 2 and sids[k] not in seen:
-                    seen.add(sids[k])
-                    new.append(k)
-            sketches, keys = [None] * len(full), [None] * len(full)
-            for k, row in zip(new, bands([sets[full[k]] for k in new])):
-                sketches[k], keys[k] = sketch(sets[full[k]]), row
-            kept = batch.take(pa.array(full, pa.int64()))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(kept.column(c) for c in ("rid", "id", "pos")), pa.array([len(sets[i]) for i in full], pa.int64()), pa.array(sids, pa.int64()), pa.array(sketches, lists), pa.array(keys, lists)],
-                ["rid", "id", "pos", "n", "sid", "sketch", "prefix"],
-            )
-
-    return docs.select("rid", "id", "text").mapInArrow(tidy(run), f"rid bigint, id {kind}, pos int, n bigint, sid bigint, sketch array<bigint>, prefix array<bigint>")
-
-
-def repeats(held: DataFrame) -> DataFrame:
-    """rid and the places of the lines to remove, for the rows of held (rid, id, text) that have some."""
-    rows = stage(describe_paragraphs(held), "paragraphs")
-    linked = link_sets(held.select(F.explode(F.split("text", "\n", -1)).alias("text")), rows)
-    placed = rows.select("rid", "pos", "sid")
-    # aggregated where the rows lie, so that a hot paragraph leaves a task once
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                for at, _, raw, edges, start, words in hashed_words(batch.column("text").to_pylist()):
+                    of, number, sets = line_sets(raw, edges, start, words, least)
+                    sids = [set_hash(s) for s in sets]
+                    new = []
+                    for k, s in enumerate(sets):
+                        if len(s) > 2 and sids[k] not in seen:
+                            seen.add(sids[k])
+                            new.append(k)
+                    sketches, keys = [None] * len(sets), [None] * len(sets)
+                    for k, row in zip(new, bands([sets[k] for k in new])):
+                        sketches[k], keys[k] = sketch(sets[k]), row
+                    text, place, h = passages(words, np.searchsorted(start, np.append(edges, len(raw))), max(1, least))
+                    rows = pa.array(np.concatenate([of, text]) + at)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("rid").take(rows),
+                            batch.column("id").take(rows),
+                            pa.array(np.concatenate([number, place]).astype(np.int32)),
+                            pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(h), pa.int64())]),
+                            pa.concat_arrays([pa.array(sids, pa.int64()), pa.array(h.view(np.int64))]),
+                            pa.concat_arrays([pa.array(sketches, lists), pa.nulls(len(h), lists)]),
+                            pa.concat_arrays([pa.array(keys, lists), pa.nulls(len(h), lists)]),
+                        ],
+                        ["rid", "id", "pos", "n", "sid", "sketch", "prefix"],
+                    )
+
+    kind = StructType([docs.schema["rid"], docs.schema["id"], *StructType.fromDDL("pos int, n bigint, sid bigint, sketch array<bigint>, prefix array<bigint>").fields])
+    return docs.select("rid", "id", "text").mapInArrow(tidy(run, "shingles"), kind)
+
+
+def repeats(held: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """rid with lines, the numbers of the lines to remove, and gone and kept, the places of repeated passages to remove and to
+    keep, for the rows of held (rid, id, text) that have some."""
+    rows = stage(describe_paragraphs(held, least), "paragraphs")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "pos")
-    firsts = rows.groupBy("sid").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("times"))
-    firsts = stage(firsts, "paragraph-firsts")
-    classed = firsts.join(linked, firsts["sid"] == linked["node"], "left").select("sid", "first", "times", F.coalesce("component", "sid").alias("class"))
-    classed = stage(classed, "paragraph-classes")
-    least = classed.groupBy("class").agg(F.min("first").alias("least"), F.sum("times").alias("times")).where("times > 1")
-    several = classed.select("sid", "class").join(stage(least, "paragraph-least"), "class")
-    several = stage(several.select("sid", F.col("least.rid").alias("keep_rid"), F.col("least.pos").alias("keep_pos")), "paragraph-several")
-    # staged, so that the join may split a hot paragraph's rows
-    gone = placed.join(several, "sid").where("rid <> keep_rid OR pos <> keep_pos").select("rid", "pos")
-    return stage(gone, "paragraphs-gone").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
-
-
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_paragraphs, n_removed, removed and the text that is left, for every row of docs.
+    # aggregated where the rows lie, so that a hot paragraph leaves a task once
+    firsts = F.min(first).alias("first"), F.count(F.lit(1)).alias("times")
 
-    removed has start:end in code points of the text as it was, end exclusive, without line ends. Blank lines aren't
-    paragraphs and stay. Null ids come last in the order that decides which paragraph stays; repeated rows are rows of
-    their own; a null text stays null; an empty table gives an empty result; other columns are ignored.
+    lines = rows.where("n is not null")
+    linked = link_sets(held.select(F.explode(F.split("text", "\n", -1)).alias("text")), lines, ordered=False)
+    each = stage(lines.groupBy("sid").agg(*firsts), "paragraph-firsts")
+    classed = each.join(linked, each["sid"] == linked["node"], "left").select("sid", "first", "times", F.coalesce("component", "sid").alias("class"))
+    classed = stage(classed, "paragraph-classes")
+    several = classed.groupBy("class").agg(F.min("first").alias("least"), F.sum("times").alias("times")).where("times > 1")
+    several = classed.select("sid", "class").join(stage(several, "paragraph-least"), "class").select("sid", F.col("least.rid").alias("keep_rid"), F.col("least.pos").alias("keep_pos"))
+
+    spots = rows.where("n is null")
+    twice = spots.groupBy("sid").agg(*firsts).where("times > 1").select("sid", F.col("first.rid").alias("keep_rid"), F.col("first.pos").alias("keep_pos"))
+
+    def placed(some: DataFrame, keepers: DataFrame, kind: str) -> DataFrame:
+        # keepers are staged, so that the join may split a hot paragraph's rows
+        met = some.select("rid", "pos", "sid").join(stage(keepers, f"{kind}-keepers"), "sid")
+        return met.select("rid", "pos", F.lit(kind).alias("kind"), ((F.col("rid") == F.col("keep_rid")) & (F.col("pos") == F.col("keep_pos"))).alias("keep"))
+
+    found = stage(placed(lines, several, "line").where("NOT keep").union(placed(spots, twice, "passage")), "paragraphs-found")
+
+    def places(test: str, name: str):
+        return F.collect_list(F.when(F.expr(test), F.col("pos"))).alias(name)
+
+    return found.groupBy("rid").agg(places("kind = 'line'", "lines"), places("kind = 'passage' AND NOT keep", "gone"), places("kind = 'passage' AND keep", "kept"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans (start, end), in order; spans that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(spans: list[tuple[int, int]], keep: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of merged spans isn't in the merged spans of keep."""
+    out, k = [], 0
+    for a, b in spans:
+        while k < len(keep) and keep[k][1] <= a:
+            k += 1
+        i = k
+        while a < b and i < len(keep) and keep[i][0] < b:
+            if keep[i][0] > a:
+                out.append((a, keep[i][0]))
+            a, i = keep[i][1], i + 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def cut(text: str, lines: list[int], gone: list[int], kept: list[int], least: int) -> tuple[list[tuple[int, int]], str]:
+    """The spans that go, none across lines, and the text that is left."""
+    spans: list[tuple[int, int]] = []
+    if gone:
+        words = [m.span() for m in _WORD.finditer(text)]
+        runs = without(merged([(g, g + least) for g in gone]), merged([(k, k + least) for k in kept]))
+        spans = [(words[a][0], words[b - 1][1]) for a, b in runs]
+    out, left, at, k, whole = [], [], 0, 0, set(lines)
+    for i, line in enumerate(text.split("\n")):
+        end = at + len(line)
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        if i in whole:
+            out.append((at, end))
+        else:
+            own, j, pieces, here = [], k, [], at
+            while j < len(spans) and spans[j][0] < end:
+                own.append((max(at, spans[j][0]), min(end, spans[j][1])))
+                j += 1
+            for a, b in own:
+                pieces.append(text[here:a])
+                here = b
+            left.append("".join([*pieces, text[here:end]]))
+            out += own
+        at = end + 1
+    return out, "\n".join(left)
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """id, n_paragraphs (lines that aren't blank), n_removed (spans), chars_removed, removed and the text that is left, for every
+    row of docs.
+
+    removed has start:end in code points of the text as it was, end exclusive, without line ends. Null ids come last in the
+    order that decides which paragraph stays, ties go by row and place; repeated rows are rows of their own; a null text
+    stays null, an empty one empty, a long one is searched whole; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     held = stage(docs.select(F.monotonically_increasing_id().alias("rid"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), "paragraph-docs")
-    rows = held.join(repeats(held).hint("shuffle_hash"), "rid", "left").select("id", "text", "gone")
+    rows = held.join(repeats(held, least).hint("shuffle_hash"), "rid", "left").select("id", "text", "lines", "gone", "kept")
+    fields = [StructField(c, t()) for c, t in (("n_paragraphs", LongType), ("n_removed", LongType), ("chars_removed", LongType), ("removed", StringType), (text_col, StringType))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, spans, texts = [], [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-                lines, gone, at, out, left = (text or "").split("\n"), set(gone or ()), 0, [], []
-                for i, line in enumerate(lines):
-                    if i in gone:
-                        out.append(f"{at}:{at + len(line)}")
-                    else:
-                        left.append(line)
-                    at += len(line) + 1
-                counts.append(sum(bool(line.strip(" \t\n\v\f\r")) for line in lines))
-                removed.append(len(out))
-                spans.append(",".join(out))
-                texts.append("\n".join(left) if text is not None else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string()), pa.array(texts, pa.string())],
-                [id_col, "n_paragraphs", "n_removed", "removed", text_col],
-            )
-
-    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_paragraphs bigint, n_removed bigint, removed string, `{text_col}` string")
+            cols: list[list] = [[], [], [], [], []]
+            for text, *places in zip(*(batch.column(c).to_pylist() for c in ("text", "lines", "gone", "kept"))):
+                spans, left = ([], text) if not any(places[:2]) else cut(text, *places, least)
+                own = sum(1 for line in (text or "").split("\n") if line.strip(" \t\n\v\f\r"))
+                for c, v in zip(cols, (own, len(spans), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), left)):
+                    c.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types))], [id_col, *(f.name for f in fields)])
+
+    return rows.mapInArrow(tidy(run), StructType([StructField(id_col, held.schema["id"].dataType), *fields]))

@@ -134,22 +134,38 @@ def test_hot_text_is_divided(spark):
 # ---------------------------------------------------------------- 3
 
 
-def without_repeats(rows):
-    """Every pair of paragraphs decides; of each component the first by (id, place) stays. Ids are distinct."""
+def repeated_lines(rows):
+    """Every pair of lines decides; of each component the first by (id, place) stays. Ids are distinct. The (id, number) to go."""
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    lines = [(d, i, line) for d, t in order for i, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\v\f\r")]
+    lines = [(d, i, line) for d, t in order for i, line in enumerate((t or "").split("\n")) if len(line.split()) >= substrings.LEAST_WORDS]
     component = [c for _, _, c in classes([(k, line) for k, (_, _, line) in enumerate(lines)])]
-    gone = {(d, i) for k, (d, i, _) in enumerate(lines) if component[k] != k}
-    out = []
-    for d, t in rows:
-        own, at, spans = (t or "").split("\n"), 0, []
-        for i, line in enumerate(own):
-            if (d, i) in gone:
-                spans.append(f"{at}:{at + len(line)}")
-            at += len(line) + 1
-        left = "\n".join(line for i, line in enumerate(own) if (d, i) not in gone)
-        out.append((d, sum(1 for x in lines if x[0] == d), len(spans), ",".join(spans), None if t is None else left))
-    return out
+    return {(d, i) for k, (d, i, _) in enumerate(lines) if component[k] != k}
+
+
+def repeated_passages(rows):
+    """Anchors and passages by their definition, with plain loops; the (id, character) that go, by the first of each passage."""
+    least, reach = substrings.LEAST_WORDS, substrings.REACH
+    first, met = {}, {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        words = [(t[a:b]).encode().lower() for a, b in spans]
+        if len(words) < least:
+            continue
+        hashes = np.array([next(ngram_join.hashed_words([w.decode()]))[5][0] for w in words])
+        two = [int(x) for x in ngram_join.grams_of(hashes, 2)]
+        for k in range(len(words) - least + 1):
+            near = lambda j: two[j] if 0 <= j < len(two) else 1 << 64
+            if all(two[k] < near(k - j) and two[k] <= near(k + j) for j in range(1, reach + 1)):
+                own = tuple(words[k : k + least])
+                first.setdefault(own, (d, k))
+                met.setdefault(own, []).append((d, k, spans))
+    gone, kept = set(), set()
+    for own, places in met.items():
+        for d, k, spans in places:
+            if len(places) > 1:
+                to = kept if (d, k) == first[own] else gone
+                to |= {(d, w, spans[w]) for w in range(k, k + least)}
+    return {(d, c) for d, _, (a, b) in gone - kept for c in range(a, b)}
 
 
 def test_substring_dedup_is_registered():
@@ -161,8 +177,8 @@ def test_substring_dedup_is_registered():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup(spark, seed):
     rng = random.Random(seed)
-    words = lambda n: [f"wé{rng.randrange(400)}" for _ in range(n)]
-    shared = [words(n) for n in (1, 3, 6, 7, 40, 60, 300)]
+    words = lambda n: [f"wé{rng.randrange(4000)}" for _ in range(n)]
+    shared = [words(n) for n in (1, 3, 19, 20, 25, 40, 60, 300)]
     rows = [(None, "\n".join(" ".join(p) for p in shared)), (-1, None), (-2, ""), (-3, " \n\t\n")]
     for i in range(150):
         lines = []
@@ -170,12 +186,53 @@ def test_substring_dedup(spark, seed):
             p = list(rng.choice(shared)) if rng.random() < 0.6 else words(rng.choice([2, 20, 80]))
             if len(p) > 20 and rng.random() < 0.5:
                 p[rng.randrange(len(p))] = "changed"
+            if rng.random() < 0.2:
+                p = words(30) + p + words(30)  # within a line
             lines.append(rng.choice([" ", "  "]).join(p).upper() if rng.random() < 0.2 else " ".join(p))
         rows.append((i, "\n".join(lines + [""] * (i % 2))))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("rid", F.lit("clash")).repartition(3)
-    got = [tuple(r) for r in substrings.drop_repeats(frame).collect()]
-    same(got, without_repeats(rows))
-    assert sum(r[2] for r in got) > 100
+    got = {r.doc_id: r for r in substrings.drop_repeats(frame).collect()}
+    lines, passages = repeated_lines(rows), repeated_passages(rows)
+    assert len(got) == len(rows) and len(lines) > 50 and passages
+    for d, t in rows:
+        at, spots, gone = 0, set(), {i for e, i in lines if e == d}
+        for i, line in enumerate((t or "").split("\n")):
+            spots |= {c for c in range(at, at + len(line)) if i in gone or ((d, c) in passages and line)}
+            at += len(line) + 1
+        spans = [tuple(map(int, x.split(":"))) for x in got[d].removed.split(",") if x]
+        told = {c for a, b in spans for c in range(a, b)}
+        assert {c for c in spots if not t[c].isspace()} == {c for c in told if not t[c].isspace()}, d
+        assert got[d].n_removed == len(spans) and got[d].chars_removed == len(told)
+        left = "\n".join("".join(c for k, c in enumerate(line, begin) if k not in told) for i, (begin, line) in enumerate(starts(t or "")) if i not in gone)
+        assert got[d].text == (None if t is None else left)
+
+
+def starts(text):
+    at, out = 0, []
+    for line in text.split("\n"):
+        out.append((at, line))
+        at += len(line) + 1
+    return out
+
+
+def test_repeated_passages_within_lines_are_found(spark):
+    """Passages of 51 words or more at any place of otherwise different texts: nearly all copies but the first are found, most of
+    each, and nothing else."""
+    rng = random.Random(5)
+    words = lambda n: [f"x{rng.randrange(300)}" for _ in range(n)]
+    rows, planted = [], {}
+    for p in range(60):
+        passage = words(rng.choice([51, 55, 60, 90]))
+        for c in range(3):
+            lead, tail = words(rng.randrange(0, 200)), words(rng.randrange(0, 200))
+            rows.append((3 * p + c, " ".join(lead + passage + tail)))
+            if c:
+                planted[3 * p + c] = len(" ".join(passage))
+    rows += [(1000 + i, " ".join(words(200))) for i in range(100)]
+    got = {r.doc_id: r.chars_removed for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[d] > 0 for d in planted) >= 0.98 * len(planted)
+    assert sum(got[d] for d in planted) >= 0.6 * sum(planted.values())
+    assert not any(n for d, n in got.items() if d not in planted)
 
 
 def test_substring_dedup_of_odd_rows(spark, docs, none):
@@ -183,7 +240,10 @@ def test_substring_dedup_of_odd_rows(spark, docs, none):
     got = substrings.drop_repeats(docs).collect()
     assert sum(r.text is None for r in got) == docs.where("text IS NULL").count() and len(got) == docs.count()
     again = spark.createDataFrame([(4, "one line here"), (4, "one line here"), (None, "one line here")], "doc_id bigint, text string")
-    assert sorted(r.text for r in substrings.drop_repeats(again).collect()) == ["", "", "one line here"]
+    assert sorted(r.text for r in substrings.drop_repeats(again, least=1).collect()) == ["", "", "one line here"]
+    assert sorted(r.text for r in substrings.drop_repeats(again).collect()) == ["one line here"] * 3
+    same_words = spark.createDataFrame([(1, "a " * 5000)], "doc_id bigint, text string")
+    assert substrings.drop_repeats(same_words).first().text == "a " * 5000
 
 
 # ---------------------------------------------------------------- 4
@@ -448,13 +508,15 @@ def test_jaccard_join(docs, rows, none):
     assert ngram_join.classes(none).count() == 0
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    want = {d for d, _, c in classes(rows) if d == c and d is not None}
-    assert {r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()} == want
+    component = [c for _, _, c in classes([(k, t) for k, (_, t) in enumerate(rows)])]
+    order = lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] or "")
+    want = [rows[min((k for k in range(len(rows)) if component[k] == c), key=order)] for c in {c for c in component if c is not None}]
+    same([(r.doc_id, r.text) for r in kept.collect()], want)
+    assert ngram_join.keep_one(none).count() == 0
 
 
 @pytest.mark.parametrize(("short", "block", "seed"), [(48, 1024, 1), (3, 5, 2)])
-def test_jaccard_families(spark, monkeypatch, short, block, seed):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+def test_jaccard_families(spark, short, block, seed):
     rng = random.Random(seed)
     base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (3, 40, 60, 600)]
     rows = []
@@ -464,9 +526,60 @@ def test_jaccard_families(spark, monkeypatch, short, block, seed):
             words[rng.randrange(len(words))] = f"w{rng.randrange(300)}"
         rows.append((i, " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    same([tuple(r) for r in ngram_join.classes(frame).collect()], classes(rows))
+    same([tuple(r) for r in ngram_join.classes(frame, short=short, block=block).collect()], classes(rows))
+
+
+def test_block_skipping_loses_no_link():
+    """Over lists of prefixes, every linked pair is met; many pairs that share a shingle aren't."""
+    rng = random.Random(3)
+    base = [rng.sample(range(400), rng.choice([12, 40, 90])) for _ in range(12)]
+    sets = []
+    for _ in range(150):
+        own = set(rng.choice(base))
+        own = {x for x in own if rng.random() > rng.choice([0, 0.1, 0.3])} | set(rng.sample(range(400), rng.choice([0, 1, 3, 20])))
+        sets.append(sorted(own))
+    entries = sorted((x, len(s), k, i) for i, s in enumerate(sets) for k, x in enumerate(s[: ngram_join.prefix_length(len(s))]))
+    tokens = [e[0] for e in entries]
+    edges = [k for k in range(len(tokens)) if k == 0 or tokens[k] != tokens[k - 1]] + [len(tokens)]
+    n, pos, sid = (np.array([e[c] for e in entries], np.int64) for c in (1, 2, 3))
+    got = {tuple(p) for p in ngram_join.list_pairs(sid, n, pos, np.array(edges), 10**6).tolist()}
+    linked, share = set(), set()
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(set(sets[i]) & set(sets[j]))
+            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k) and k:
+                linked.add((j, i))
+            if set(sets[i][: ngram_join.prefix_length(len(sets[i]))]) & set(sets[j][: ngram_join.prefix_length(len(sets[j]))]):
+                share.add((j, i))
+    assert linked <= got <= share and len(got) < len(share) / 2 and len(linked) > 20
+
+
+def test_answers_are_derived_from_a_similar_set(monkeypatch):
+    """Components are those of brute force, with fewer intersections than pairs that the sketches leave."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 60, 1000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, 880, replace=False), rng.integers(0, 1 << 60, 20).astype(np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([base[: 450 + i], rng.integers(0, 1 << 60, 300).astype(np.uint64)])) for i in range(60)]
+    calls, real = [], np.intersect1d
+    monkeypatch.setattr(ngram_join.np, "intersect1d", lambda *a, **k: calls.append(1) or real(*a, **k))
+    links = ngram_join.family_links(sets, list(range(len(sets))), None)
+    monkeypatch.undo()
+    parent, want = list(range(len(sets))), list(range(len(sets)))
+
+    def root(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
 
+    for i, j in links:
+        parent[root(parent, i)] = root(parent, j)
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(real(sets[i], sets[j]))
+            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                want[root(want, i)] = root(want, j)
+    assert all((root(parent, i) == root(parent, j)) == (root(want, i) == root(want, j)) for i in range(len(sets)) for j in range(i))
+    assert len(calls) < len(sets) * (len(sets) - 1) / 2
 
 def test_sketches_never_pass_the_difference():
     rng = np.random.default_rng(0)
