@@ -47,6 +47,28 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
+def most_frequent(counts: DataFrame, key: str, most: int) -> pa.Table:
+    """At most `most` rows of counts (key, n), those of greatest n, in order of falling n, then key. What is collected is bounded.
+
+    Levels of n, eight to a doubling, are counted first; of the level that is too large to be taken whole, as many of 1024
+    parts by hash of the key as there is room for. No task sorts or gathers all rows.
+    """
+    level, part = F.floor(F.log2("n") * 8), F.pmod(F.xxhash64(key), F.lit(1024))
+    room, last, parts = most, None, 0
+    for at, n in sorted((tuple(r) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True):
+        if n > room:
+            last = at
+            break
+        room -= n
+    if last is not None:
+        sizes = {r["part"]: r["count"] for r in counts.where(level == last).groupBy(part.alias("part")).count().collect()}
+        while parts < 1024 and sizes.get(parts, 0) <= room:
+            room -= sizes.get(parts, 0)
+            parts += 1
+        counts = counts.where((level > last) | ((level == last) & (part < parts)))
+    return counts.select(key, "n").toArrow().sort_by([("n", "descending"), (key, "ascending")])
+
+
 def release() -> None:
     """Gives memory that this process has freed back to the system."""
     gc.collect()

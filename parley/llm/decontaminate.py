@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from parley.llm.common import tidy
+from parley.llm.common import stage, tidy
 
 #: The bytes between words, and the word pattern over lower-cased text that they come from.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -301,12 +301,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_c
     frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), docs[f"`{text_col}`"].alias("_text"), F.lit(None).cast(_FOUND).alias("_found"))
     for k in range(n_blocks):
         block = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).toArrow()
-        frame = _search_block(frame, spark.sparkContext.broadcast(phrases_of(list(zip(block["item_id"].to_pylist(), block["text"].to_pylist())), width)))
+        shared = spark.sparkContext.broadcast(phrases_of(list(zip(block["item_id"].to_pylist(), block["text"].to_pylist())), width))
+        frame = _search_block(frame, shared)
+        if n_blocks > 1:  # one block is held at a time
+            frame = stage(frame, "leaks")
+            shared.destroy()
     return frame
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (least_items or more), items and cuts of each row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (least_items or more), items and cuts of each row. Nulls, empty
+    and long texts, ties, repeated rows and empty tables are as in find_leaks; other columns are ignored."""
     f = "_found"
     return find_leaks(docs, benchmark, ["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
@@ -323,7 +328,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, least_items: int
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, text_col: str = "text") -> DataFrame:
     """docs without contaminated rows; from the others the removal spans are cut. Rows without hits stay as they are.
 
-    Keeps docs' columns. Where a text is cut, n_chars, if docs has it, becomes its new length.
+    Keeps docs' columns, whatever their names, and repeated rows; a null text stays null; an empty table gives an empty
+    result, an empty benchmark leaves docs as they are. Where a text is cut, n_chars, if docs has it, becomes its new length.
     """
     found = find_leaks(docs, benchmark, docs.columns, text_col).where(F.size("_found.items") < least_items)
     text = F.col(f"_row.`{text_col}`")

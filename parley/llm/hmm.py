@@ -6,8 +6,9 @@ symbol, within which a word has its smoothed unigram share; so the model gives e
 1. Words are counted in each task, and counts are added by word. The full vocabulary stays a distributed table.
 2. A bounded head of it is broadcast. One pass turns documents into symbols, sums what the head decides, and keeps the
    words beyond the head, whose counts come from a join by word. The result is staged in the shared folder.
-3. Baum-Welch: tasks run scaled forward-backward over segments of the staged sequences and give expected counts, which
-   are added by index; the driver sees one row per parameter of the model.
+3. Baum-Welch: tasks run scaled forward-backward over the staged sequences, whole ones, and give expected counts, which are
+   added by index; the driver sees one row per parameter of the model. A long sequence is cut into segments only to work on
+   them side by side: products of its steps' matrices give the exact messages that pass between them.
 4. Scoring: the scaled forward recursion over whole sequences, plus the shares of rare words.
 """
 
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import HELD, held_out, stage, tidy
+from parley.llm.common import HELD, held_out, most_frequent, stage, tidy
 
-#: Parameters: states, words that are symbols, rounds of Baum-Welch, tokens per training segment.
-STATES, SYMBOL_WORDS, ROUNDS, SEGMENT = 8, 4096, 4, 128
+#: Parameters: states, words that are symbols, rounds of Baum-Welch.
+STATES, SYMBOL_WORDS, ROUNDS = 8, 30_000, 4
+#: Tokens that a segment of a long sequence has, and tokens of a batch of forward-backward, about; neither changes results.
+SEGMENT, BATCH_TOKENS = 512, 300_000
 #: Bounds of the broadcast head: words, bytes of a word, and bytes of a word that is a symbol.
 HEAD_WORDS, HEAD_BYTES, SYMBOL_BYTES = 400_000, 64, 1024
-#: Words that a counting task holds before it passes its counts on, and lanes of forward-backward.
-TABLE_WORDS, LANES = 500_000, 4096
+#: Words that a counting task holds before it passes its counts on.
+TABLE_WORDS = 500_000
 ADD = 0.1  # of the smoothed unigram
 
 
@@ -96,11 +99,12 @@ class Head:
 
 
 def head_of(vocab: DataFrame, docs: int) -> Head:
-    """The head of (word, n): at most HEAD_WORDS words of bounded length, most frequent first."""
+    """The head of (word, n): at most HEAD_WORDS words of bounded length, most frequent first, ties and those of nearly equal
+    counts at its end by hash."""
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = F.octet_length("word")
-    top = vocab.where(size <= SYMBOL_BYTES).orderBy(F.desc("n"), "word").limit(SYMBOL_WORDS).toArrow()
-    rest = vocab.where(size <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
+    top = most_frequent(vocab.where(size <= SYMBOL_BYTES), "word", SYMBOL_WORDS)
+    rest = most_frequent(vocab.where(size <= HEAD_BYTES), "word", HEAD_WORDS)
     words = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     n_symbols = len(words)
     words |= dict(zip(rest["word"].to_pylist(), rest["n"].to_pylist()))
@@ -143,8 +147,7 @@ def encode(docs: DataFrame, shared, folds: int) -> DataFrame:
 
 @dataclass
 class Model:
-    start: np.ndarray  # of a document
-    middle: np.ndarray  # of a segment within a document
+    start: np.ndarray
     step: np.ndarray
     emit: np.ndarray  # (symbols, states)
 
@@ -156,26 +159,24 @@ def first_model(head: Head) -> Model:
     tilt = np.random.default_rng(0).uniform(0.2, 1.8, (n, STATES))
     emit = counts[:, None] * tilt
     step = np.full((STATES, STATES), 0.2 / STATES) + 0.8 * np.eye(STATES)
-    even = np.full(STATES, 1 / STATES)
-    return Model(even, even, step, emit / emit.sum(0))
+    return Model(np.full(STATES, 1 / STATES), step, emit / emit.sum(0))
 
 
-def _layout(ids: list[np.ndarray], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences by falling length: their order, kinds, all symbols, each one's first place, and how many go on at each
-    step."""
+def _layout(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences by falling length: their order, all symbols, each one's first place, and how many go on at each step."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
     flat = np.concatenate([ids[i] for i in order]).astype(np.int64)
     going = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
-    return order, kinds[order], flat, np.cumsum(sizes) - sizes, going
+    return order, flat, np.cumsum(sizes) - sizes, going
 
 
 def forward_log10(ids: list[np.ndarray], model: Model) -> np.ndarray:
     """log10 of the probability of each whole symbol sequence, by the scaled forward recursion."""
     if not ids:
         return np.zeros(0)
-    order, _, flat, first, going = _layout(ids, np.zeros(len(ids), bool))
+    order, flat, first, going = _layout(ids)
     out = np.zeros(len(ids))
     alpha = model.start * model.emit[flat[first]]
     for t, n in enumerate(going):
@@ -189,12 +190,55 @@ def forward_log10(ids: list[np.ndarray], model: Model) -> np.ndarray:
     return back
 
 
-def expected_counts(ids: list[np.ndarray], opens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts of documents, starts of other segments, transitions, and emissions, over segments; opens tells
-    which segments begin a document."""
-    order, opens, flat, first, going = _layout(ids, opens)
+def transfers(ids: list[np.ndarray], model: Model) -> np.ndarray:
+    """For each sequence of symbols the product of its steps' matrices, each a transition and the symbol's emission, up to a
+    positive factor."""
+    order, flat, first, going = _layout(ids)
+    out = np.tile(np.eye(STATES), (len(ids), 1, 1))
+    for t, n in enumerate(going):
+        moved = (out[:n].reshape(-1, STATES) @ model.step).reshape(n, STATES, STATES) * model.emit[flat[first[:n] + t]][:, None, :]
+        out[:n] = moved if t % 8 else moved / moved.sum((1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out / out.sum((1, 2), keepdims=True)
+    return back
+
+
+def messages(whole: list[np.ndarray], model: Model, segment: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of whole sequences, which of them begin one, the probabilities of the states before each of the others,
+    given what precedes it, and in proportion those of what follows each, given the states at its end."""
+    pieces, opens = [], []
+    for ids in whole:
+        for at in range(0, len(ids), segment):
+            pieces.append(ids[at : at + segment])
+            opens.append(at == 0)
+    opens = np.array(opens)
+    before, after = np.full((len(pieces), STATES), 1 / STATES), np.ones((len(pieces), STATES))
+    parts = np.flatnonzero(~opens | np.append(~opens[1:], False))  # segments of sequences of several
+    if len(parts):
+        # the first step of a sequence has the start instead of a transition
+        step = dict(zip(parts.tolist(), transfers([pieces[i][1:] if opens[i] else pieces[i] for i in parts.tolist()], model)))
+        for i in parts.tolist():
+            if opens[i]:
+                own = model.start * model.emit[pieces[i][0]]
+            else:
+                before[i] = own
+            own = own @ step[i]
+            own /= own.sum()
+        for i in parts[::-1].tolist():
+            if not opens[i]:
+                back = step[i] @ after[i]
+                after[i - 1] = back / back.sum()
+    return pieces, opens, before, after
+
+
+def expected_counts(whole: list[np.ndarray], model: Model, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, transitions and emissions over whole sequences, by scaled forward-backward; segment sets how they are
+    cut to be worked on side by side, which doesn't change the result."""
+    pieces, opens, before, after = messages(whole, model, segment)
+    order, flat, first, going = _layout(pieces)
+    opens, before, after = opens[order], before[order], after[order]
     alphas, scales = [], []
-    alpha = np.where(opens[:, None], model.start, model.middle) * model.emit[flat[first]]
+    alpha = np.where(opens[:, None], model.start, before @ model.step) * model.emit[flat[first]]
     for t, n in enumerate(going):
         if t:
             alpha = (alphas[-1][:n] @ model.step) * model.emit[flat[first[:n] + t]]
@@ -204,20 +248,22 @@ def expected_counts(ids: list[np.ndarray], opens: np.ndarray, model: Model) -> t
     steps, emit = np.zeros((STATES, STATES)), np.zeros_like(model.emit)
     beta, gammas, places = np.zeros((0, STATES)), [], []
     for t in range(len(going) - 1, -1, -1):
-        n, after = going[t], len(beta)
-        here = np.ones((n, STATES))
-        if after:
-            right = beta * model.emit[flat[first[:after] + t + 1]] / scales[t + 1]
-            here[:after] = right @ model.step.T
-            steps += alphas[t][:after].T @ right
+        n, inner = going[t], len(beta)
+        # what follows a segment, scaled so that the states at its end have probabilities that add up to 1
+        here = after[:n] / (alphas[t] * after[:n]).sum(1, keepdims=True)
+        if inner:
+            right = beta * model.emit[flat[first[:inner] + t + 1]] / scales[t + 1]
+            here[:inner] = right @ model.step.T
+            steps += alphas[t][:inner].T @ right
         beta = here
         gammas.append(alphas[t] * beta)
         places.append(flat[first[:n] + t])
+    right = (beta * model.emit[flat[first]] / scales[0])[~opens]
+    steps += before[~opens].T @ right  # between segments
     gamma, place = np.concatenate(gammas), np.concatenate(places)
     for s in range(STATES):
         emit[:, s] = np.bincount(place, gamma[:, s], len(emit))
-    begin = gammas[-1]
-    return begin[opens].sum(0), begin[~opens].sum(0), steps * model.step, emit
+    return gammas[-1][opens].sum(0), steps * model.step, emit
 
 
 def train(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> Model:
@@ -229,43 +275,43 @@ def train(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> Model:
         shared = coded.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(STATES * (2 + STATES + n))
-            pieces: list[np.ndarray] = []
-            opens: list[bool] = []
+            sums = np.zeros(STATES * (1 + STATES + n))
+            held: list[np.ndarray] = []
+            tokens = 0
 
             def add() -> None:
-                sums[:] += np.concatenate([x.ravel() for x in expected_counts(pieces, np.array(opens), shared.value)])
-                pieces.clear()
-                opens.clear()
+                sums[:] += np.concatenate([x.ravel() for x in expected_counts(held, shared.value)])
+                held.clear()
 
             for batch in batches:
                 for ids in batch.column("ids"):
-                    whole = np.frombuffer(ids.as_py(), np.int16)
-                    for at in range(0, len(whole), SEGMENT):
-                        pieces.append(whole[at : at + SEGMENT])
-                        opens.append(at == 0)
-                        if len(pieces) == LANES:
-                            add()
-            if pieces:
+                    held.append(np.frombuffer(ids.as_py(), np.int16))
+                    tokens += len(held[-1])
+                    if tokens >= BATCH_TOKENS:
+                        add()
+                        tokens = 0
+            if held:
                 add()
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["i", "v"])
 
         found = sequences.mapInArrow(tidy(run, "hmm"), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # one row a parameter
-        sums = np.zeros(STATES * (2 + STATES + n))
+        sums = np.zeros(STATES * (1 + STATES + n))
         sums[found["i"].to_numpy()] = found["v"].to_numpy()
-        start, middle, step, emit = np.split(sums, np.cumsum([STATES, STATES, STATES * STATES]))
-        step, emit = step.reshape(STATES, STATES) + 1 / STATES, emit.reshape(n, STATES) + unigram[:, None]
-        start, middle = start + 1 / STATES, middle + 1 / STATES
-        model = Model(start / start.sum(), middle / middle.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+        start, step, emit = np.split(sums, np.cumsum([STATES, STATES * STATES]))
+        start, step, emit = start + 1 / STATES, step.reshape(STATES, STATES) + 1 / STATES, emit.reshape(n, STATES) + unigram[:, None]
+        model = Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+        shared.unpersist()
     return model
 
 
 def score_documents(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
 
-    Learns from the rows outside of the held-out fold. A null or empty text is one end; repeated rows count and are scored
-    each; an empty table gives an empty result. Without training rows the unigram gives every token probability 1.
+    Learns from the rows outside of the held-out fold. A null or empty text is one end, a long one a sequence as any other;
+    repeated rows count and are scored each, equal texts have equal scores; a null id counts as the empty text for its fold;
+    an empty table gives an empty result. Without training rows the unigram gives every token probability 1. Other columns
+    are ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")

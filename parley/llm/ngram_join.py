@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import HELD, release, stage, tidy
+from parley.llm.common import HELD, most_frequent, release, stage, tidy
 from parley.llm.components import connected_components
 
 #: Words per shingle, and the similarity in hundredths.
@@ -162,7 +162,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield out()
 
     counts = docs.select("text").mapInArrow(tidy(run, "shingles"), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
+    top = most_frequent(stage(counts, "join-counts"), "token", MOST_FREQUENT)
     tokens, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]

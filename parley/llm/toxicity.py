@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams that are scaled by naive Bayes log-count ratios.
 
-Training takes a sample of labelled rows of bounded expected size. Tasks count, per hashed n-gram, the toxic and the
-other documents that have it; the log ratio r of the smoothed rates scales the feature, and only n-grams whose ratio is
-significant stay. Logistic regression on presence * r gives the weights. Scoring is one pass over all whole texts,
-without a shuffle; the model has at most FEATURES weights.
+Training takes a sample of labelled rows of bounded expected size. Tasks count, per hashed n-gram of characters, the toxic and
+the other documents that have it; the log ratio r of the smoothed rates scales the feature, and the n-grams whose ratio is
+significant stay, however many. Logistic regression on presence * r gives the weights. Scoring is one pass over all whole
+texts, without a shuffle; the model has a weight for each of 2 ** BUCKET_BITS buckets.
 """
 
 from __future__ import annotations
@@ -20,45 +20,46 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parley.llm.common import held_out, release, stage, tidy, training_row
 
-#: Parameters: n-gram lengths in UTF-8 bytes, log2 of hash buckets, expected labelled rows in the sample, tasks that count.
-ORDERS, BUCKET_BITS, SAMPLE_ROWS, TASKS = (4, 5, 6), 20, 8_000, 8
-#: Most features, least z of a log ratio, smoothing in documents, strength of the L2 penalty per document, steps.
-FEATURES, LEAST_Z, SMOOTH, PENALTY, STEPS = 4_000, 3.0, 5.0, 1e-4, 200
-#: Bytes of text that are hashed at once.
-CHUNK_BYTES = 1_000_000
+#: Parameters: n-gram lengths in characters, log2 of hash buckets, expected labelled rows in the sample, tasks that count.
+ORDERS, BUCKET_BITS, SAMPLE_ROWS, TASKS = (4, 5, 6), 20, 12_000, 8
+#: Least z of a log ratio, smoothing in documents, strength of the L2 penalty per document, most steps, and the change of a
+#: score's exponent in a step under which descent ends.
+LEAST_Z, SMOOTH, PENALTY, STEPS, TOLERANCE = 3.0, 5.0, 1e-4, 300, 2e-3
+#: Characters of text that are hashed at once.
+CHUNK_CHARS = 1_000_000
 
 
-def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, starts, buckets of one order) over runs of texts: buckets[i] belongs to the text whose starts
-    are <= i. Texts are lower-cased and set apart by zero bytes, so a text's n-grams don't depend on its neighbours."""
-    pad, at = bytes(ORDERS[-1]), 0
+def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, starts, stops, buckets of one order) over runs of texts: text k of the run has buckets starts[k] up to
+    stops[k]. Texts are lower-cased and set apart by zeros, so a text's n-grams don't depend on its neighbours."""
+    pad, at = "\0" * ORDERS[-1], 0
     while at < len(texts):
         parts, size, end = [pad], len(pad), at
-        starts = []
-        while end < len(texts) and (size < CHUNK_BYTES or end == at):
-            body = texts[end].lower().encode()
-            starts.append(size - 1)  # the zero byte before the text marks its beginning
+        starts, stops = [], []
+        while end < len(texts) and (size < CHUNK_CHARS or end == at):
+            body = texts[end].lower()
+            starts.append(size - 1)  # the zero before the text marks its beginning
             parts += [body, pad]
+            stops.append(size + len(body))
             size += len(body) + len(pad)
             end += 1
-        raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+        raw = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         h, n = np.zeros(len(raw), np.uint32), 0
         for order in ORDERS:
             while n < order:
                 h = h[: len(raw) - n] * np.uint32(0x01000193) + raw[n:]
                 n += 1
-            yield at, end, np.array(starts), ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+            yield at, end, np.array(starts), np.array(stops), ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
         at = end
 
 
 def features(texts: list[str], flags: np.ndarray | None = None) -> list[np.ndarray]:
     """The distinct buckets of each text, of those that are flagged."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
-    for first, last, starts, buckets in grams(texts):
+    for first, last, starts, stops, buckets in grams(texts):
         at = np.flatnonzero(flags[buckets]) if flags is not None else np.arange(len(buckets))
-        edges = np.searchsorted(at, np.append(starts, len(buckets)))
-        for k in range(last - first):
-            found[first + k].append(buckets[at[edges[k] : edges[k + 1]]])
+        for k, (a, b) in enumerate(np.searchsorted(at, np.stack([starts, stops], 1)).tolist()):
+            found[first + k].append(buckets[at[a:b]])
     return [np.unique(np.concatenate(f)) for f in found]
 
 
@@ -86,21 +87,23 @@ def log_ratios(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> tuple[np.nda
     return r, r / np.sqrt(1 / a + 1 / b)
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, block: int = 500) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty on rows of feature indices, whose values are r; accelerated descent. Rows are
-    taken in blocks, so that a step needs little memory beyond the rows themselves."""
-    n, blocks = len(rows), []
-    for at in range(0, n, block):
-        part = rows[at : at + block]
-        sizes = np.fromiter(map(len, part), np.int64, len(part))
-        blocks.append((slice(at, at + len(part)), np.repeat(np.arange(len(part), dtype=np.int32), sizes), np.concatenate(part).astype(np.int32)))
+def regress(col: np.ndarray, sizes: np.ndarray, y: np.ndarray, r: np.ndarray, block: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty; accelerated descent. Row i has the next sizes[i] numbers of col, which name its
+    features; a feature's value is its r. Rows are taken in blocks, so that a step needs little memory beyond col itself."""
+    n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    blocks = [(at, min(at + block, n)) for at in range(0, n, block)]
 
     def forward(w: np.ndarray) -> np.ndarray:
-        scaled = w * r
-        return np.concatenate([np.bincount(doc, scaled[col], minlength=at.stop - at.start) for at, doc, col in blocks])
+        scaled, out = w * r, np.zeros(n)
+        for a, b in blocks:
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), scaled[col[ends[a] : ends[b]]], minlength=b - a)
+        return out
 
     def backward(g: np.ndarray) -> np.ndarray:
-        return r * sum(np.bincount(col, g[at][doc], minlength=len(r)) for at, doc, col in blocks)
+        out = np.zeros(len(r))
+        for a, b in blocks:
+            out += np.bincount(col[ends[a] : ends[b]], np.repeat(g[a:b], sizes[a:b]), minlength=len(r))
+        return r * out
 
     # a bound of the curvature by power iteration
     v, top = np.ones(len(r)) / max(1, len(r)) ** 0.5, 1.0
@@ -111,13 +114,18 @@ def regress(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, block: int = 5
     rate = 1 / (0.25 * (1.2 * top / n + 1) + PENALTY)
     w = past = np.zeros(len(r))
     bias = past_bias = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    last = np.zeros(n)
     for t in range(STEPS):
         k = t / (t + 3)
         ahead, ahead_bias = w + k * (w - past), bias + k * (bias - past_bias)
-        g = 1 / (1 + np.exp(-np.clip(forward(ahead) + ahead_bias, -50, 50))) - y
+        z = forward(ahead) + ahead_bias
+        g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
         past, past_bias = w, bias
         w = ahead - rate * (backward(g) / n + PENALTY * ahead)
         bias = ahead_bias - rate * g.mean()
+        if t > 20 and np.abs(z - last).max() < TOLERANCE:
+            break
+        last = z
     return w * r, float(bias)
 
 
@@ -147,19 +155,21 @@ def train(sample: DataFrame) -> Model:
     for row in parts:
         counts += np.frombuffer(zlib.decompress(row["counts"]), np.uint32).reshape(2, -1)
     r, z = log_ratios(counts[1], counts[0], n1, n0)
-    chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
+    chosen = np.flatnonzero(np.abs(z) >= LEAST_Z)
     flags[chosen] = True
     shared = sample.sparkSession.sparkContext.broadcast(flags)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (np.cumsum(shared.value) - 1).astype(np.int32)
         for texts, y in _batches(batches):
-            yield pa.RecordBatch.from_pydict({"y": y, "f": [f.astype(np.int32).tobytes() for f in features(texts, shared.value)]})
+            yield pa.RecordBatch.from_pydict({"y": y, "f": [number[f].tobytes() for f in features(texts, shared.value)]})
 
     rows = dealt.mapInArrow(tidy(pick), "y bigint, f binary").toArrow()  # about SAMPLE_ROWS rows
-    y = np.array(rows["y"].to_pylist(), float)
-    order = np.searchsorted(chosen, np.arange(1 << BUCKET_BITS))
-    w, bias = regress([order[np.frombuffer(f, np.int32)] for f in rows["f"].to_pylist()], y, r[chosen])
+    y = rows["y"].to_numpy().astype(float)
+    col = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(f.as_py(), np.int32) for f in rows["f"])])
+    sizes = np.array([len(f.as_buffer()) // 4 for f in rows["f"]], np.int64)
+    del rows
+    w, bias = regress(col, sizes, y, r[chosen])
     weights[chosen] = w
     return Model(flags, weights, bias)
 
@@ -179,8 +189,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, columns:
     """Returns _row, a struct of the named columns of docs (doc_id by default), and score, for every row of docs.
 
     Trains on rows of labels (doc_id, toxic) outside of the held-out fold. A null or empty text has no n-grams and the
-    score of the bias. Null ids are scored, never trained on; equal texts have equal scores; a document with several
-    labels counts once for each. An empty table gives an empty result, empty labels a score of 0.5.
+    score of the bias; a text of any length is scored whole. Null ids are scored, never trained on; equal texts have equal
+    scores, whatever their rows; a document with several labels counts once for each, and so does each of several rows of
+    one id. An empty table gives an empty result, empty labels a score of 0.5. Other columns are ignored.
     """
     model = train(stage(sample_of(docs, labels, folds), "toxic-sample"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -202,6 +213,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataF
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """The rows of docs, with their columns, whose score is under 0.5."""
+    """The rows of docs, with their columns, whose score is under 0.5. Nulls, empty and long texts, repeated rows and empty tables
+    are as in score_documents; columns may have any names."""
     kept = score_documents(docs, labels, folds, docs.columns).where(F.col("score") < 0.5)
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

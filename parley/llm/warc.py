@@ -11,12 +11,14 @@ Payloads that occur more than once are written in full once; the others become r
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import stage, tidy
@@ -26,6 +28,10 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
+#: The date of records whose time of capture isn't known.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+_RECORDS = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
 BUNDLE_SCHEMA = "bundle binary, records array<struct<record_id:string,page_id:bigint,frame:int,offset:bigint,length:bigint>>"
 
 
@@ -62,12 +68,13 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def format_record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
+def format_record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None, date: str = NO_DATE) -> bytes:
     """A response record with its payload, or a revisit record without it that names the record it refers to."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{sha1}",
         f"X-Payload-Length: {len(payload)}",
@@ -126,23 +133,24 @@ class BundleWriter:
         return out
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
+def _writer(date: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(writer: BundleWriter) -> pa.RecordBatch:
+            bundle, index = writer.finish()
+            return pa.RecordBatch.from_arrays([pa.array([bundle], pa.binary()), pa.array([index], _RECORDS)], ["bundle", "records"])
 
-    def out(writer: BundleWriter) -> pa.RecordBatch:
-        bundle, index = writer.finish()
-        return pa.RecordBatch.from_arrays([pa.array([bundle], pa.binary()), pa.array([index], kind)], ["bundle", "records"])
+        writer = BundleWriter()
+        for batch in batches:
+            for page, url, html, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to"))):
+                payload = (html.as_py() or "").encode()
+                ident = page.as_py()
+                writer.add(ident, format_record(ident, url.as_py(), payload, hashlib.sha1(payload).hexdigest(), refers.as_py(), date))
+                if writer.bytes >= BUNDLE_BYTES:
+                    yield out(writer)
+        if writer.index:
+            yield out(writer)
 
-    writer = BundleWriter()
-    for batch in batches:
-        for page, url, html, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to"))):
-            payload = (html.as_py() or "").encode()
-            ident = page.as_py()
-            writer.add(ident, format_record(ident, url.as_py(), payload, hashlib.sha1(payload).hexdigest(), refers.as_py()))
-            if writer.bytes >= BUNDLE_BYTES:
-                yield out(writer)
-    if writer.index:
-        yield out(writer)
+    return write
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,30 +178,77 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the largest page_id of equal payloads of least_bytes or more, else null.
 
     Digests are counted with partial aggregation and only those that occur twice are joined back, so a payload that a
-    third of all rows share is reduced before the shuffle; its rows on the probing side may be split by the join.
+    third of all rows share is reduced before the shuffle; its rows on the probing side may be split by the join. Pages with
+    smaller payloads aren't shuffled.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html", F.when(F.length(body) >= least_bytes, F.sha2(body, 256)).alias("_sha"))
     groups = rows.where("_sha is not null").groupBy("_sha").agg(F.max("page_id").alias("_keeper"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     refers = F.when(F.col("page_id") != F.col("_keeper"), F.col("_keeper"))
-    return rows.join(groups, "_sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    large = rows.where("_sha is not null").join(groups, "_sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return large.union(rows.where("_sha is null").select("page_id", "url", "html", F.lit(None).cast(large.schema["refers_to"].dataType)))
 
 
-def write_bundles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def write_bundles(pages: DataFrame, least_bytes: int = 1000, date: str = NO_DATE) -> DataFrame:
     """Bundles with their record index, one row per bundle. A task writes bundles of at most about BUNDLE_BYTES.
 
     A null html is an empty payload, a null url an empty one; rows with the same page_id become records of the same id;
-    rows whose page_id is null are written, but never refer to another. Other columns are ignored.
+    rows whose page_id is null are written, but never refer to another. Long payloads are stored whole; an empty table has no
+    bundles. Other columns are ignored, whatever their names. date is the WARC-Date of all records.
     """
-    return plan_revisits(pages, least_bytes).mapInArrow(tidy(_write), BUNDLE_SCHEMA)
+    return plan_revisits(pages, least_bytes).mapInArrow(tidy(_writer(date)), BUNDLE_SCHEMA)
+
+
+def write_files(bundles: DataFrame, folder: str) -> DataFrame:
+    """Writes each bundle as a file of its own, named by its digest, into a folder that driver and executors have mounted, and
+    returns path, bytes and records. A file appears under its name when it is whole, so a task that runs again does no harm;
+    an empty table writes nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for i, bundle in enumerate(batch.column("bundle")):
+                data = bundle.as_py()
+                path = os.path.join(folder, f"{hashlib.sha256(data).hexdigest()}.warc.zst")
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(data)], pa.int64()), batch.column("records").slice(i, 1)], ["path", "bytes", "records"])
+
+    return bundles.mapInArrow(tidy(run), f"path string, bytes bigint, {BUNDLE_SCHEMA.partition(', ')[2]}")
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The bundles of a folder, with an index made from their records; a file that isn't a bundle fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                data, index = content.as_py(), []
+                unpack = zstandard.ZstdDecompressor()
+                for frame, (start, c, d) in enumerate(read_seek_table(data)):
+                    opened, at = unpack.decompress(data[start : start + c], max_output_size=d), 0
+                    while at < d:
+                        head = opened.index(b"\r\n\r\n", at) + 4
+                        fields = dict(x.split(": ", 1) for x in opened[at : head - 4].decode().split("\r\n")[1:])
+                        length = head - at + int(fields["Content-Length"]) + 4
+                        page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
+                        index.append({"record_id": fields["WARC-Record-ID"], "page_id": int(page) if page else None, "frame": frame, "offset": at, "length": length})
+                        at += length
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([index], _RECORDS)], ["bundle", "records"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    return files.mapInArrow(tidy(run), BUNDLE_SCHEMA)
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
-    """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, and stored_sha1, the digest of
+    """A row per record, repeated ones each; an empty table gives none, a bundle that is cut off fails: page_id, payload_bytes, payload_digest, record_type, refers_to, and stored_sha1, the digest of
     the body as it was read (null for revisits)."""
     return bundles.mapInArrow(tidy(_read), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, stored_sha1 string")
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Writes all pages to bundles in the shared folder and reads them back."""
+    """Writes all pages to bundles in the shared folder and reads them back. Nulls, empty and long payloads, ties, repeated rows,
+    empty tables and other columns are as in write_bundles."""
     return read_bundles(stage(write_bundles(pages), "warc"))

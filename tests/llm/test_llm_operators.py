@@ -271,6 +271,43 @@ def test_toxicity(spark, docs, rows, none):
     assert toxicity.toxicity_report(none, labels).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Model and scores from sets of character n-grams, counted one by one, and the slope of the loss at the weights."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["été", "漢字", "plain", "words", "Ünder"]) + (rng.choice(["bad", ""]) if i % 3 == 0 else "") for _ in range(12)) for i in range(120)]
+    y = np.array([i % 3 == 0 for i in range(120)], float)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+        return (((h ^ (h >> 15)) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - toxicity.BUCKET_BITS)
+
+    def naive(t):
+        low = "\0" + t.lower() + "\0" * 6
+        return {bucket(low[i : i + n]) for n in toxicity.ORDERS for i in range(len(t.lower()) + 1)}
+
+    sets = [naive(t) for t in texts]
+    for got, want in zip(toxicity.features(texts), sets):
+        assert set(got.tolist()) == want
+    sample = spark.createDataFrame([(t, int(v)) for t, v in zip(texts, y)], "text string, y bigint")
+    model = toxicity.train(sample)
+    counts = {b: (sum(b in s for s, v in zip(sets, y) if v), sum(b in s for s, v in zip(sets, y) if not v)) for b in set.union(*sets)}
+    ratio, share = {}, y.mean()
+    for b, (p, q) in counts.items():
+        a, c = p + toxicity.SMOOTH * share, q + toxicity.SMOOTH * (1 - share)
+        r = math.log((a / y.sum()) / (c / (len(y) - y.sum())))
+        if abs(r) / math.sqrt(1 / a + 1 / c) >= toxicity.LEAST_Z:
+            ratio[b] = r
+    assert set(ratio) == set(np.flatnonzero(model.flags).tolist()) and ratio
+    z = np.array([model.bias + sum(model.weights[b] for b in s if model.flags[b]) for s in sets])
+    extra = model.scores(texts)
+    assert np.abs(1 / (1 + np.exp(-z)) - extra).max() < 1e-9
+    g = extra - y
+    slope = [abs(sum(g[i] * ratio[b] for i in range(len(y)) if b in sets[i]) / len(y) + toxicity.PENALTY * model.weights[b] / ratio[b]) for b in ratio]
+    assert max(slope) < 0.02
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -602,7 +639,7 @@ def test_components(spark):
 # ---------------------------------------------------------------- 8
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a", big), (9, "http://b\n", big), (4, None, big), (2, "u", "short"), (3, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (7, "u", "\r\n\r\nWARC/1.1 " * 90)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("refers_to", F.lit("clash")).withColumn("_sha", F.lit(1))
@@ -618,7 +655,13 @@ def test_warc(spark):
         for r in b.records:
             head, _ = warc.parse_record(warc.read_record(b.bundle, r.frame, r.offset, r.length))
             assert head["WARC-Record-ID"] == r.record_id
+            assert head["WARC-Date"] == warc.NO_DATE
     assert warc.archive_and_read(pages.where("false")).count() == 0
+    folder = str(tmp_path / "archives")
+    written = warc.write_files(warc.write_bundles(pages, date="2020-02-02T00:00:00Z"), folder).collect()
+    again = warc.read_files(spark, folder)
+    assert sorted(r.records for r in again.collect()) == sorted(r.records for r in written)
+    assert sorted(map(str, warc.read_bundles(again).collect())) == sorted(map(str, got))
     with pytest.raises(ValueError):
         warc.read_seek_table(b"x" * 40)
 
@@ -655,18 +698,65 @@ def test_long_words_merge_alike():
 # ---------------------------------------------------------------- 10
 
 
-def test_hmm_probabilities_by_enumeration():
+def plain_counts(sequences, model):
+    """Expected counts by unscaled forward-backward, one sequence and one step at a time."""
+    start, steps, emit = np.zeros(8), np.zeros((8, 8)), np.zeros_like(model.emit)
+    for ids in sequences:
+        alpha, beta = [model.start * model.emit[ids[0]]], [np.ones(8)]
+        for x in ids[1:]:
+            alpha.append((alpha[-1][:, None] * model.step).sum(0) * model.emit[x])
+        for x in ids[:0:-1]:
+            beta.insert(0, (model.step * (model.emit[x] * beta[0])[None, :]).sum(1))
+        whole = alpha[-1].sum()
+        start += alpha[0] * beta[0] / whole
+        for t, x in enumerate(ids):
+            emit[x] += alpha[t] * beta[t] / whole
+            if t:
+                steps += alpha[t - 1][:, None] * model.step * (model.emit[x] * beta[t])[None, :] / whole
+    return start, steps, emit
+
+
+def plain_forward(ids, model):
+    alpha, out = model.start * model.emit[ids[0]], 0.0
+    for x in ids[1:]:
+        out += math.log10(alpha.sum())
+        alpha = ((alpha / alpha.sum())[:, None] * model.step).sum(0) * model.emit[x]
+    return out + math.log10(alpha.sum())
+
+
+@pytest.mark.parametrize("segment", [2, 3, 7, 512])
+def test_hmm_counts_by_the_book(segment):
+    """Segments exchange exact messages: expected counts don't depend on where sequences are cut."""
     rng = np.random.default_rng(1)
     step, emit, start = rng.random((8, 8)), rng.random((4, 8)), rng.random(8)
-    model = hmm.Model(start / start.sum(), start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
-    sequences = [rng.integers(0, 4, n).astype(np.int16) for n in (1, 3, 5, 2)]
+    model = hmm.Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+    sequences = [rng.integers(0, 4, n).astype(np.int16) for n in (1, 3, 5, 2, 40, 41, 1, 90)]
     for ids, got in zip(sequences, hmm.forward_log10(sequences, model)):
-        alpha = model.start * model.emit[ids[0]]
-        for x in ids[1:]:
-            alpha = (alpha[:, None] * model.step).sum(0) * model.emit[x]
-        assert math.isclose(got, math.log10(alpha.sum()), rel_tol=1e-9)
-    begin, middle, moves, out = hmm.expected_counts(sequences, np.array([True, False, True, True]), model)
-    assert math.isclose(begin.sum(), 3) and math.isclose(middle.sum(), 1) and math.isclose(moves.sum(), 11 - 4) and math.isclose(out.sum(), 11)
+        assert math.isclose(got, plain_forward(ids, model), rel_tol=1e-9)
+    for got, want in zip(hmm.expected_counts(sequences, model, segment), plain_counts(sequences, model)):
+        assert np.allclose(got, want, rtol=1e-9)
+
+
+def plain_scores(rows, train, symbol_words, head_words):
+    """score by its definition: Baum-Welch over whole training sequences, then the forward recursion and rare words' shares."""
+    words = lambda t: (t or "").encode().lower().split()
+    counts, n = Counter(), 0
+    for i, t in rows:
+        if train(i):
+            counts.update(words(t))
+            n += 1
+    ranked = sorted((w for w in counts if len(w) <= hmm.SYMBOL_BYTES), key=lambda w: (-counts[w], w))[:symbol_words]
+    head = hmm.Head(ranked, np.array([counts[w] for w in ranked], np.int64), len(ranked), n, sum(counts.values()) + n, len(counts) + 1)
+    place = {w: k + 1 for k, w in enumerate(ranked)}
+    code = lambda t: [*(place.get(w, 0) for w in words(t)), len(ranked) + 1]
+    model = hmm.first_model(head)
+    base = hmm.first_model(head).emit.mean(1)
+    for _ in range(2):
+        start, step, emit = plain_counts([code(t) for i, t in rows if train(i)], model)
+        start, step, emit = start + 1 / 8, step + 1 / 8, emit + base[:, None]
+        model = hmm.Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+    rare = lambda t: sum(math.log10((counts[w] + hmm.ADD) / head.rare_spread) for w in words(t) if w not in place)
+    return [plain_forward(code(t), model) + rare(t) for _, t in rows]
 
 
 @pytest.mark.parametrize("head", [400_000, 12])
@@ -689,6 +779,10 @@ def test_hmm(monkeypatch, docs, rows, none, head):
         want.append((i, not train(i), len(ws) + 1, sum(counts[w] > 0 for w in ws) + 1, total, round(score, 6)))
     got = hmm.score_documents(docs, rounds=2).collect()
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], want)
+    scores = plain_scores(rows, train, 10**6 if head > 12 else 0, head)
+    if head > 12:
+        by = lambda pairs: sorted((str(i), round(x, 5)) for i, x in pairs)
+        assert by((r.doc_id, r.score) for r in got) == by((i, x) for (i, _), x in zip(rows, scores))
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert hmm.score_documents(none).count() == 0
