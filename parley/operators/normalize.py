@@ -109,9 +109,7 @@ def messages_to_history(messages: Column) -> Column:
     return F.transform(F.array(parts), split)[0]
 
 
-@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
-def parse_history(text: str | None):
-    """A history written as JSON or as a Python literal; the fallback for rows that from_json can't read."""
+def read_history(text: str | None) -> list[list[str | None]] | None:
     if not text:
         return None
     for read in (json.loads, ast.literal_eval):
@@ -122,6 +120,13 @@ def parse_history(text: str | None):
     return None
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def parse_history(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A history written as JSON or as a Python literal; the fallback for rows that from_json can't read."""
+    for s in parts:
+        yield pd.Series([read_history(x) for x in s], dtype=object)
+
+
 def query_response(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
     """messages from system, history, query and response. A list response gives its first element; null turns are left
     out."""

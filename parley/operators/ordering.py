@@ -2,7 +2,8 @@
 
 Every operator takes an explicit key, because Spark has no row order. Pseudo-random order is the order of md5(key-seed).
 Global ranks are computed in two steps, within buckets of the order and over bucket counts, so that no task sorts the
-whole table; bucket counts are at most BUCKETS rows and are broadcast.
+whole table; bucket counts are at most BUCKETS rows and are broadcast. Rows with a null key are rows as others: null counts
+as the empty text in pseudo-random order and comes first in key order.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+#: Most buckets (a power of two), and rows that a bucket of key order should have at least.
+BUCKETS, BUCKET_ROWS = 4096, 2000
 
 
 def hash_key(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"-{seed}")))
 
 
 def global_rank(df: DataFrame, order: list[Column], bucket: Column, name: str = "rn", by: list[str] = ()) -> DataFrame:
@@ -38,11 +40,23 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rn", by: lis
     return global_rank(df, [digest, F.col(key)], F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"), name, by)
 
 
+def quantile_bucket(df: DataFrame, key: str) -> Column:
+    """The number of the approximate quantile that a numeric key is in: buckets have about equal rows however the keys are
+    spread. Null is before all others. Quantiles come from one pass with mergeable sketches; a row's is found by bisection."""
+    rows = df.count()
+    levels = min(BUCKETS, 1 << max(0, (rows // BUCKET_ROWS).bit_length()))
+    if levels < 2:
+        return F.lit(0)
+    points = df.agg(F.percentile_approx(key, [(i + 1) / levels for i in range(levels - 1)], 4 * levels).alias("p")).first()["p"]
+    kind = df.schema[key].dataType.simpleString()
+    bounds = F.split(F.lit(",".join(map(str, points or []))), ",").cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(levels >> i) for i in range(1, levels.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= F.col(key), F.lit(False)), at + step).otherwise(at))
+
+
 def key_rank(df: DataFrame, key: str, name: str = "rn", by: list[str] = ()) -> DataFrame:
-    """Rank by an integer key."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
-    return global_rank(df, [F.col(key)], F.floor((F.col(key) - F.lit(low or 0)) / width).cast("int"), name, by)
+    """Rank by a numeric key."""
+    return global_rank(df, [F.col(key)], quantile_bucket(df, key), name, by)
 
 
 def sample(df: DataFrame, n: int | None, key: str, seed: int = 42, shuffle: bool = True) -> DataFrame:

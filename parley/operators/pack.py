@@ -61,7 +61,7 @@ def packed_rows(packed: DataFrame, values: DataFrame, key: str, arrays: list[str
     joined = packed.join(values, key)
     items = F.array_sort(F.collect_list(F.struct("pos", *arrays)))
     g = joined.groupBy("shard", "pack").agg(items.alias("_i"))
-    return g.select("shard", "pack", F.transform("_i", lambda x: F.size(x[arrays[0]])).alias("lengths"), *[F.flatten(F.transform("_i", lambda x, a=a: x[a])).alias(a) for a in arrays])
+    return g.select("shard", "pack", F.transform("_i", lambda x: F.size(x[arrays[0]])).alias("lengths"), *[F.flatten(F.col("_i").getField(a)).alias(a) for a in arrays])
 
 
 def pad(values: Column, to: Column, fill, left: bool = False) -> Column:

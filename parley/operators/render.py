@@ -177,7 +177,7 @@ def replace_in_order(text: Column, tag: str, values: Column) -> Column:
 
 def box_text(box: Column) -> Column:
     """[(x1,y1),(x2,y2)]"""
-    points = F.transform(F.sequence(F.lit(0), F.size(box) / 2 - 1), lambda i: F.concat(F.lit("("), F.get(box, (2 * i).cast("int")).cast("string"), F.lit(","), F.get(box, (2 * i + 1).cast("int")).cast("string"), F.lit(")")))
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size(box) / 2).cast("int") - 1), lambda i: F.concat(F.lit("("), F.get(box, 2 * i).cast("string"), F.lit(","), F.get(box, 2 * i + 1).cast("string"), F.lit(")")))
     return F.concat(F.lit("["), F.array_join(points, ","), F.lit("]"))
 
 

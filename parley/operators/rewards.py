@@ -47,7 +47,8 @@ def soft_overlong(length: Column, most: int, cache: int) -> Column:
 
 
 def boxed(text: Column) -> Column:
-    return F.regexp_extract(text, r"\\boxed\{([^}]*)\}", 1)
+    """What the first \\boxed{...} holds, with braces in it two deep at most."""
+    return F.regexp_extract(text, r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", 1)
 
 
 def answer_text(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +17,22 @@ def previous_in_batch(df: DataFrame, value: str, batch: str, order: str, out: st
 
 
 def ema(values: Column, smooth: float = 0.9) -> Column:
-    """Debiased exponential averages of an array: x = x * s + v, n = n * s + 1, x / n."""
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("out"))
-
-    def step(a: Column, v: Column) -> Column:
-        x, n = a["x"] * smooth + v, a["n"] * smooth + 1
-        return F.struct(x.alias("x"), n.alias("n"), F.concat(a["out"], F.array(x / n)).alias("out"))
-
-    return F.aggregate(values, start, step, lambda a: a["out"])
+    """Debiased exponential averages of an array: x = x * s + v, n = n * s + 1, x / n; null of null. One pass over the array."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            rows = []
+            for row in part:
+                x = n = 0.0
+                out = None if row is None else []
+                for v in () if row is None else row:
+                    x, n = x * smooth + v, n * smooth + 1
+                    out.append(x / n)
+                rows.append(out)
+            yield pd.Series(rows, dtype=object)
+
+    return run(values.cast("array<double>"))
 
 
 def last_user_round(messages: Column) -> Column:

@@ -298,10 +298,13 @@ def adv09_sequence_weights(table):
     return d.select("l_orderkey", "l_linenumber", r(F.col("weight")).alias("weight"))
 
 
-@query(f"SELECT round(avg(o - n), 4) AS kl, round(avg(exp(n - o) - (n - o) - 1), 4) AS k3_kl FROM {_TOKENS} WHERE mask = 1")
+@query(f"""WITH t AS (SELECT *, n - o AS d FROM {_TOKENS} WHERE mask = 1), s AS (SELECT avg(n) AS n, avg(o) AS o, sum(n - o) AS r FROM t GROUP BY l_orderkey)
+SELECT round(kl, 4) AS kl, round(k3_kl, 4) AS k3_kl, round(chi2_token, 4) AS chi2_token, round(training_ppl, 4) AS training_ppl, round(rollout_ppl, 4) AS rollout_ppl, round(log_ppl_diff, 4) AS log_ppl_diff, round(ppl_ratio, 4) AS ppl_ratio, round(chi2_seq, 4) AS chi2_seq
+FROM (SELECT avg(-d) AS kl, avg(exp(d) - d - 1) AS k3_kl, avg(exp(2 * d)) - 1 AS chi2_token FROM t),
+(SELECT avg(exp(-n)) AS training_ppl, avg(exp(-o)) AS rollout_ppl, avg(o - n) AS log_ppl_diff, avg(exp(o - n)) AS ppl_ratio, avg(exp(2 * greatest(least(r, 20), -20))) - 1 AS chi2_seq FROM s)""")
 def adv11_off_policy(table):
     d = G.off_policy_metrics(tokens_of(table), "n", "o", "mask", "l_orderkey")
-    return d.select(r(F.col("kl")).alias("kl"), r(F.col("k3_kl")).alias("k3_kl"))
+    return d.select(*[r(F.col(c)).alias(c) for c in ("kl", "k3_kl", "chi2_token", "training_ppl", "rollout_ppl", "log_ppl_diff", "ppl_ratio", "chi2_seq")])
 
 
 @query(f"""SELECT round(avg(x), 4) AS loss FROM (SELECT l_orderkey, avg(-least(exp(lr) * a, greatest(least(exp(lr), 1.2), 0.8) * a)) AS x
@@ -346,13 +349,14 @@ def met07_mrr_ndcg(table):
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (
-SELECT CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS y, list_dot_product(a.e, b.e) AS d, list_cosine_similarity(a.e, b.e) AS c, -list_distance(a.e, b.e) AS u FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
-SELECT round(corr(y, c), 4) AS pearson_cosine, round(corr(y, d), 4) AS pearson_dot, round(corr(y, u), 4) AS pearson_euclidean FROM p""")
+SELECT CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS y, list_dot_product(a.e, b.e) AS d, list_cosine_similarity(a.e, b.e) AS c, -list_distance(a.e, b.e) AS u FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+k AS (SELECT y, d, c, u, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, rank() OVER (ORDER BY d) AS rd FROM p)
+SELECT round(corr(y, c), 4) AS pearson_cosine, round(corr(y, d), 4) AS pearson_dot, round(corr(y, u), 4) AS pearson_euclidean, round(corr(ry, rd), 3) AS spearman_dot FROM k""")
 def met05_paired_similarity(table):
     a = table("embeddings").where("vec_id % 2 = 0")
     b = table("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("label_b"))
     d = M.paired_metrics(a.join(b, "vec_id").withColumn("same", (F.col("label") == F.col("label_b")).cast("int")), "embedding", "other", "same")
-    return d.select(*[r(F.col(c)).alias(c) for c in ("pearson_cosine", "pearson_dot", "pearson_euclidean")])
+    return d.select(*[r(F.col(c)).alias(c) for c in ("pearson_cosine", "pearson_dot", "pearson_euclidean")], r(F.col("spearman_dot"), 3).alias("spearman_dot"))
 
 
 @query("""WITH v AS (SELECT vec_id, vec_id // 32 AS b, embedding::DOUBLE[] AS e FROM embeddings),
@@ -372,9 +376,9 @@ def met14_pairwise_reward(table):
     return d.select(r(F.col("mean_chosen"), 2).alias("mean_chosen"), r(F.col("mean_rejected"), 2).alias("mean_rejected"), r(F.col("accuracy")).alias("accuracy"), r(F.col("mean_margin"), 2).alias("mean_margin"))
 
 
-@query("SELECT sum(toxic)::BIGINT AS desirable, sum(1 - toxic)::BIGINT AS undesirable FROM labels")
+@query("SELECT d AS desirable, u AS undesirable, round(u / d, 2) AS des_low, round(u / d * 1.33, 2) AS des_high, round(d / u / 1.33, 2) AS und_low, round(d / u, 2) AS und_high FROM (SELECT sum(toxic)::BIGINT AS d, sum(1 - toxic)::BIGINT AS u FROM labels)")
 def met12_kto_weights(table):
-    return M.kto_weights(table("labels"), "toxic").select("desirable", "undesirable")
+    return M.kto_weights(table("labels"), "toxic")
 
 
 @query("""WITH g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS grp FROM events)
@@ -401,32 +405,46 @@ def conversations(table) -> DataFrame:
     return messages_of(table).withColumn("messages", F.transform("messages", lambda m: N.message(m["role"], m["content"])))
 
 
-@query(f"SELECT conv_id, md5(to_json(messages)::VARCHAR) AS messages FROM {_MESSAGES}")
+#: Turns in SQL: the leading system turn apart, j the place of a turn where a leading assistant turn follows an empty query.
+_CHAT = """WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM t WHERE NOT (n = 1 AND role = 'system')),
+l AS (SELECT *, i + (arg_min(role, turn) OVER (PARTITION BY conv_id) = 'assistant')::INTEGER AS j, (arg_min(role, turn) OVER (PARTITION BY conv_id) = 'assistant')::INTEGER AS lead, coalesce(max(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY conv_id), -1) AS last FROM b)"""
+_RENDERED = """string_agg(CASE WHEN j % 2 = 0 OR i = 0 THEN '<|im_start|>user' || chr(10) || CASE WHEN j % 2 = 0 THEN text ELSE '' END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE '' END
+ || CASE WHEN j % 2 = 1 THEN text || '<|im_end|>' || chr(10) ELSE '' END, '' ORDER BY i)"""
+_SYSTEMS = "(SELECT conv_id, max(text) FILTER (n = 1 AND role = 'system') AS system FROM t GROUP BY conv_id)"
+
+
+@query(f"""{_CHAT} SELECT conv_id, md5('<|im_start|>system' || chr(10) || coalesce(system, 'You are a helpful assistant.') || '<|im_end|>' || chr(10) || coalesce(body, '')) AS text
+FROM {_SYSTEMS} LEFT JOIN (SELECT conv_id, {_RENDERED} AS body FROM l GROUP BY conv_id) USING (conv_id)""")
 def q01_render_conversations(table):
-    return messages_of(table).select("conv_id", F.md5(F.to_json("messages")).alias("messages"))
+    """Every conversation as the text that a model is trained on."""
+    d = conversations(table).select("conv_id", N.split_system(F.col("messages")).alias("p"))
+    return d.select("conv_id", F.md5(R.text_of(R.segments(R.TEMPLATES["chatml_default"], F.col("p.system"), F.col("p.messages")))).alias("text"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS users, coalesce(max(length(text)) FILTER (role = 'assistant'), 0) AS longest FROM conversations GROUP BY conv_id""")
+@query("SELECT conv_id, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS messages FROM conversations GROUP BY conv_id")
 def nrm04_messages_layout(table):
     turns = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")).alias("from"), F.col("text").alias("value"))))
-    raw = table("conversations").groupBy("conv_id").agg(turns.alias("conversations"))
-    d = N.messages_layout(raw)
-    users = F.filter("messages", lambda m: m["role"] == "user")
-    lengths = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.length(m["content"]))
-    return d.select("conv_id", F.size("messages").cast("bigint").alias("turns"), F.size(users).cast("bigint").alias("users"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest"))
+    d = N.messages_layout(table("conversations").groupBy("conv_id").agg(turns.alias("conversations")))
+    return d.select("conv_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("messages"))
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT conv_id, CASE WHEN max(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END) = 1 THEN 'illegal role' END AS reason FROM conversations GROUP BY conv_id) GROUP BY reason""")
+@query("SELECT conv_id, CASE WHEN bool_or(i % 5 = 4) THEN 'illegal role' WHEN conv_id % 7 = 3 THEN 'null content' END AS reason FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id")
 def flt01_reject_reasons(table):
-    d = messages_of(table).withColumn("messages", F.transform("messages", lambda m, i: m.withField("role", F.when(i % 5 == 4, "narrator").otherwise(m["role"]))))
+    def spoiled(m, i):
+        hidden = F.when((F.col("conv_id") % 7 == 3) & (i == 0), F.lit(None)).otherwise(m["content"])
+        return m.withField("role", F.when(i % 5 == 4, "narrator").otherwise(m["role"])).withField("content", hidden)
+
+    d = messages_of(table).withColumn("messages", F.transform("messages", spoiled))
     good, bad = V.split_valid(d, V.message_fault(F.col("messages")))
-    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("conv_id", "reason")
 
 
-@query("SELECT doc_id, 2 AS turns, length(text) AS answer FROM documents")
+@query("SELECT doc_id, 'user,assistant' AS roles, lang AS query, md5(text) AS response FROM documents")
 def nrm02_query_response(table):
     d = N.query_response(table("documents").select("doc_id", F.col("lang").alias("question"), F.col("text").alias("answer")))
-    return d.select("doc_id", F.size("messages").alias("turns"), F.length(F.element_at("messages", -1)["content"]).alias("answer"))
+    roles = F.array_join(F.transform("messages", lambda m: m["role"]), ",")
+    return d.select("doc_id", roles.alias("roles"), F.col("messages")[0]["content"].alias("query"), F.md5(F.col("messages")[1]["content"]).alias("response"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE lang || chr(10) || source END AS query FROM documents")
@@ -453,36 +471,28 @@ def nrm08_prompts(table):
     return _toxicity_prompts(table)
 
 
-@query("SELECT conv_id, turn // 2 AS i, max(CASE WHEN turn % 2 = 0 THEN text END) AS q, max(CASE WHEN turn % 2 = 1 THEN text END) AS a FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY ALL")
+@query("""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM t WHERE NOT (n = 1 AND role = 'system'))
+SELECT conv_id, (i // 2)::INTEGER AS i, max(CASE WHEN i % 2 = 0 THEN text END) AS q, max(CASE WHEN i % 2 = 1 THEN text END) AS a FROM b GROUP BY conv_id, i // 2""")
 def nrm10_history_pairs(table):
-    plain = conversations(table).where(~F.exists("messages", lambda m: m["role"] == "system"))
-    d = plain.select("conv_id", N.messages_to_history(F.col("messages")).alias("h"))
+    d = conversations(table).select("conv_id", N.messages_to_history(F.col("messages")).alias("h"))
     pairs = F.concat("h.history", F.array(F.array("h.query", "h.response")))
     return d.select("conv_id", F.posexplode(pairs).alias("i", "p")).select("conv_id", "i", F.col("p")[0].alias("q"), F.col("p")[1].alias("a"))
 
 
-@query(f"""SELECT conv_id, md5(CASE WHEN s IS NOT NULL THEN '<|im_start|>system' || chr(10) || s || '<|im_end|>' || chr(10) ELSE '' END || body) AS text FROM (
-SELECT conv_id, max(text) FILTER (role = 'system') AS s,
- string_agg(CASE WHEN role = 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
-   ELSE text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) FILTER (role <> 'system') AS body
-FROM conversations WHERE conv_id IN (SELECT conv_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system')
-  GROUP BY conv_id HAVING bool_and(role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) GROUP BY conv_id)""")
+@query(f"""{_CHAT} SELECT conv_id, md5(coalesce('<|im_start|>system' || chr(10) || system || '<|im_end|>' || chr(10), '') || coalesce(body, '')) AS text
+FROM {_SYSTEMS} LEFT JOIN (SELECT conv_id, {_RENDERED} AS body FROM l GROUP BY conv_id) USING (conv_id)""")
 def rnd05_chatml_render(table):
     d = conversations(table).select("conv_id", N.split_system(F.col("messages")).alias("p"))
-    alternate = F.forall(F.transform("p.messages", lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
-    pieces = R.segments(R.TEMPLATES["chatml"], F.col("p.system"), F.col("p.messages"))
-    return d.where(alternate).select("conv_id", F.md5(R.text_of(pieces)).alias("text"))
+    return d.select("conv_id", F.md5(R.text_of(R.segments(R.TEMPLATES["chatml"], F.col("p.system"), F.col("p.messages")))).alias("text"))
 
 
-@query("""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system'),
-ok AS (SELECT conv_id, max(CASE WHEN role = 'user' THEN i END) AS last FROM t GROUP BY conv_id HAVING bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END))
-SELECT conv_id, coalesce(sum(CASE WHEN role = 'assistant' AND i >= last THEN length(text) END), 0)::DOUBLE AS chars FROM t JOIN ok USING (conv_id) GROUP BY conv_id""")
+@query(f"""{_CHAT} SELECT conv_id, coalesce(sum(CASE WHEN j % 2 = 1 AND j - 1 >= last + lead THEN length(text) END), 0)::DOUBLE AS chars FROM t LEFT JOIN (SELECT conv_id, turn, j, last, lead FROM l) USING (conv_id, turn) GROUP BY conv_id""")
 def lsc01_supervised_chars(table):
     d = conversations(table).select("conv_id", N.split_system(F.col("messages")).alias("p"))
-    alternate = F.forall(F.transform("p.messages", lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
     pieces = R.segments(R.TEMPLATES["chatml"], F.col("p.system"), F.col("p.messages"), "last_round")
     answers = F.filter(pieces, lambda x: x["kind"] == "response")
-    return d.where(alternate).select("conv_id", F.aggregate(answers, F.lit(0.0), lambda s, x: s + x["weight"] * F.length(x["text"])).alias("chars"))
+    return d.select("conv_id", F.aggregate(answers, F.lit(0.0), lambda s, x: s + x["weight"] * F.length(x["text"])).alias("chars"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS role, text FROM conversations),
@@ -510,11 +520,12 @@ def rnd19_truncate(table):
     return d.select("doc_id", F.size("ws").cast("bigint").alias("n"), F.array_join(R.truncate(F.col("ws"), 64), " ").alias("right_side"), F.array_join(R.truncate(F.col("ws"), 64, "left"), " ").alias("left_side"), F.size(R.split_windows(F.col("ws"), 64)).cast("bigint").alias("windows"))
 
 
-@query("SELECT count(*) AS rows, sum(n_chars)::BIGINT AS total, 0 AS over FROM documents WHERE n_chars <= 8192")
+@query("SELECT count(*) AS rows, sum(n_chars)::BIGINT AS total, count(*) FILTER (n_chars > 8192) AS over FROM documents")
 def pck02_pack_best_fit(table):
-    packed = P.pack_table(table("documents").where("n_chars <= 8192"), "doc_id", "n_chars", 8192, shards=4)
+    """All documents in chunks of 1000 with carry: no pack is over the limit but those of one over-long document."""
+    packed = P.pack_table(table("documents"), "doc_id", "n_chars", 8192, shards=4)
     bins = packed.groupBy("shard", "pack").agg(F.sum("n_chars").alias("s"), F.count(F.lit(1)).alias("n"))
-    return bins.agg(F.sum("n").alias("rows"), F.sum("s").alias("total"), F.sum((F.col("s") > 8192).cast("int")).alias("over"))
+    return bins.agg(F.sum("n").alias("rows"), F.sum("s").alias("total"), F.sum((F.col("s") > 8192).cast("bigint")).alias("over"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents),
@@ -524,7 +535,8 @@ def rwd03_repetition(table):
     return table("documents").select("doc_id", (F.round(RW.repetition(F.col("text")), 6) + 0).alias("reward"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS reward FROM documents")
+@query(r"""SELECT doc_id, regexp_full_match(c, '<think>.*?</think>\s*<answer>.*?</answer>', 's')::INTEGER::DOUBLE AS reward FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>' || text || '</think>' || chr(10) || '<answer>x</answer>'
+WHEN 1 THEN 'x' || chr(10) || '<think>' || text || '</think><answer>x</answer>' ELSE text END AS c FROM documents)""")
 def rwd01_format(table):
     text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>\n<answer>x</answer>"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x\n<think>"), "text", F.lit("</think><answer>x</answer>"))).otherwise(F.col("text"))
     return table("documents").select("doc_id", RW.think_answer_format(text).alias("reward"))
@@ -536,10 +548,12 @@ def rwd04_cosine_overlong(table):
     return d.select("doc_id", F.round(RW.cosine_length(F.col("n_chars"), F.col("toxic") == 0, 20000), 6).alias("reward"), (F.round(RW.soft_overlong(F.col("n_chars"), 4000, 1000), 6) + 0).alias("overlong"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS reward FROM documents")
+@query("SELECT doc_id, ((doc_id * 4 + doc_id % 3) / 2.0 = doc_id * 2 + (n_chars % 2) / 2.0)::INTEGER::DOUBLE AS reward FROM documents")
 def rwd06_math_accuracy(table):
-    answer = F.concat(F.lit("so \\boxed{"), (F.col("doc_id") * 2).cast("string"), F.lit("}"))
-    wanted = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\boxed{"), (F.col("doc_id") * 4).cast("string"), F.lit("/2}"))).otherwise(F.lit("\\boxed{-1}"))
+    """Decimals against fractions."""
+    halves = F.when(F.col("n_chars") % 2 == 0, F.lit("")).otherwise(F.lit(".5"))
+    answer = F.concat(F.lit("so \\boxed{"), (F.col("doc_id") * 2).cast("string"), halves, F.lit("}"))
+    wanted = F.concat(F.lit("\\boxed{\\frac{"), (F.col("doc_id") * 4 + F.col("doc_id") % 3).cast("string"), F.lit("}{2}}"))
     return table("documents").select("doc_id", RW.math_accuracy(answer, wanted).alias("reward"))
 
 
@@ -601,3 +615,6 @@ def jon03_semi_join(table):
 def jon04_cache_rest(table):
     cache = table("labels").select("doc_id", F.array(F.lit("a"), F.lit("b")).alias("choices"))
     return S.cached_choices(table("documents").select("doc_id"), cache, "doc_id", 2)[1]
+
+
+from parley.plans import operator_queries  # noqa: E402, F401  (registers its queries)

@@ -170,3 +170,44 @@ def test_round_trips_of_own_arguments(spark):
         assert [c.format for c in got[i]] == list(A.FORMATS) and {c.name for c in got[i]} == {"lookup"}
         assert {c.arguments for c in got[i]} == {f'{{"k": {k}}}', f'{{"k": "{k}"}}'}
     assert got[3] is None
+
+
+def test_rows_with_null_keys_and_outliers_stay(spark):
+    from parley.operators import ordering as O
+
+    keys = [None, 1, 2, 3, None] + [10**15] + [i << 40 for i in range(4, 9)]
+    df = spark.createDataFrame([(k,) for k in keys], "id bigint")
+    for ranked in (O.hash_rank(df, "id"), O.key_rank(df, "id")):
+        assert sorted(r.rn for r in ranked.collect()) == list(range(1, len(keys) + 1))
+    assert [r.id for r in O.key_rank(df, "id").orderBy("rn").collect()] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert O.sample(df, 7, "id").count() == 7 and O.sample(df, 30, "id").count() == 30
+    train, val = O.train_val_split(df, 0.3, "id")
+    assert train.count() + val.count() == len(keys)
+
+
+def test_key_order_is_dealt_in_even_buckets(spark):
+    from parley.operators import ordering as O
+
+    df = spark.range(20000).selectExpr("CASE WHEN id < 19990 THEN id ELSE id << 40 END AS k").repartition(3)
+    buckets = [r["count"] for r in df.groupBy(O.quantile_bucket(df, "k").alias("b")).count().collect()]
+    assert len(buckets) > 4 and max(buckets) < 3 * 20000 / len(buckets)
+    ranked = O.key_rank(df, "k").collect()
+    assert [r.k for r in sorted(ranked, key=lambda r: r.rn)] == sorted(r.k for r in ranked)
+
+
+def test_packed_rows_join_several_arrays(spark):
+    from parley.operators import pack as P
+
+    packed = spark.createDataFrame([(1, 0, 0, 1), (2, 0, 0, 0)], "id long, shard int, pack long, pos long")
+    values = spark.createDataFrame([(1, [1, 2], ["a", "b"]), (2, [3], ["c"])], "id long, x array<int>, y array<string>")
+    row = P.packed_rows(packed, values, "id", ["x", "y"]).first()
+    assert (row.lengths, row.x, row.y) == ([1, 2], [3, 1, 2], ["c", "a", "b"])
+
+
+def test_boxed_answers_may_have_braces(spark):
+    from pyspark.sql import functions as F
+
+    from parley.operators import rewards as RW
+
+    df = spark.createDataFrame([(r"so \boxed{\frac{4}{2}}", r"\boxed{2}"), (r"\boxed{\sqrt{\frac{1}{2}}} or 3", r"\boxed{3}")], "a string, b string")
+    assert [r.x for r in df.select(RW.math_accuracy(F.col("a"), F.col("b")).alias("x")).collect()] == [1.0, 0.0]
