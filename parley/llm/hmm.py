@@ -29,7 +29,7 @@ from parley.llm.common import HELD, held_out, most_frequent, stage, tidy
 #: Parameters: states, words that are symbols, rounds of Baum-Welch.
 STATES, SYMBOL_WORDS, ROUNDS = 8, 30_000, 4
 #: Tokens that a segment of a long sequence has, and tokens of a batch of forward-backward, about; neither changes results.
-SEGMENT, BATCH_TOKENS = 512, 300_000
+SEGMENT, BATCH_TOKENS = 1024, 300_000
 #: Bounds of the broadcast head: words, bytes of a word, and bytes of a word that is a symbol.
 HEAD_WORDS, HEAD_BYTES, SYMBOL_BYTES = 400_000, 64, 1024
 #: Words that a counting task holds before it passes its counts on.
@@ -196,7 +196,7 @@ def transfers(ids: list[np.ndarray], model: Model) -> np.ndarray:
     order, flat, first, going = _layout(ids)
     out = np.tile(np.eye(STATES), (len(ids), 1, 1))
     for t, n in enumerate(going):
-        moved = (out[:n].reshape(-1, STATES) @ model.step).reshape(n, STATES, STATES) * model.emit[flat[first[:n] + t]][:, None, :]
+        moved = (out[:n] @ model.step) * model.emit[flat[first[:n] + t]][:, None, :]
         out[:n] = moved if t % 8 else moved / moved.sum((1, 2), keepdims=True)
     back = np.empty_like(out)
     back[order] = out / out.sum((1, 2), keepdims=True)

@@ -24,7 +24,7 @@ from parley.llm.common import held_out, release, stage, tidy, training_row
 ORDERS, BUCKET_BITS, SAMPLE_ROWS, TASKS = (4, 5, 6), 20, 12_000, 8
 #: Least z of a log ratio, smoothing in documents, strength of the L2 penalty per document, most steps, and the change of a
 #: score's exponent in a step under which descent ends.
-LEAST_Z, SMOOTH, PENALTY, STEPS, TOLERANCE = 3.0, 5.0, 1e-4, 300, 2e-3
+LEAST_Z, SMOOTH, PENALTY, STEPS, TOLERANCE = 3.0, 5.0, 1e-4, 300, 1e-2
 #: Characters of text that are hashed at once.
 CHUNK_CHARS = 1_000_000
 
