@@ -29,7 +29,7 @@ from parley.llm.common import HELD, held_out, most_frequent, stage, tidy
 #: Parameters: states, words that are symbols, rounds of Baum-Welch.
 STATES, SYMBOL_WORDS, ROUNDS = 8, 30_000, 4
 #: Tokens that a segment of a long sequence has, and tokens of a batch of forward-backward, about; neither changes results.
-SEGMENT, BATCH_TOKENS = 1024, 300_000
+SEGMENT, BATCH_TOKENS = 1024, 400_000
 #: Bounds of the broadcast head: words, bytes of a word, and bytes of a word that is a symbol.
 HEAD_WORDS, HEAD_BYTES, SYMBOL_BYTES = 400_000, 64, 1024
 #: Words that a counting task holds before it passes its counts on.
@@ -237,33 +237,36 @@ def expected_counts(whole: list[np.ndarray], model: Model, segment: int = SEGMEN
     pieces, opens, before, after = messages(whole, model, segment)
     order, flat, first, going = _layout(pieces)
     opens, before, after = opens[order], before[order], after[order]
-    alphas, scales = [], []
-    alpha = np.where(opens[:, None], model.start, before @ model.step) * model.emit[flat[first]]
+    alphas, emits, places = [], [], []
     for t, n in enumerate(going):
-        if t:
-            alpha = (alphas[-1][:n] @ model.step) * model.emit[flat[first[:n] + t]]
+        place = flat[first[:n] + t]
+        emit = model.emit[place]
+        alpha = ((alphas[-1][:n] @ model.step) if t else np.where(opens[:, None], model.start, before @ model.step)) * emit
         scale = alpha.sum(1, keepdims=True)
-        alphas.append(alpha / scale)
-        scales.append(scale)
-    steps, emit = np.zeros((STATES, STATES)), np.zeros_like(model.emit)
-    beta, gammas, places = np.zeros((0, STATES)), [], []
+        alpha /= scale
+        emit /= scale
+        alphas.append(alpha)
+        emits.append(emit)
+        places.append(place)
+    steps, emissions = np.zeros((STATES, STATES)), np.zeros_like(model.emit)
+    beta, gammas = np.zeros((0, STATES)), []
     for t in range(len(going) - 1, -1, -1):
         n, inner = going[t], len(beta)
-        # what follows a segment, scaled so that the states at its end have probabilities that add up to 1
-        here = after[:n] / (alphas[t] * after[:n]).sum(1, keepdims=True)
+        here = np.empty((n, STATES))
         if inner:
-            right = beta * model.emit[flat[first[:inner] + t + 1]] / scales[t + 1]
+            right = beta * emits[t + 1]
             here[:inner] = right @ model.step.T
             steps += alphas[t][:inner].T @ right
+        # what follows a segment, scaled so that the states at its end have probabilities that add up to 1
+        here[inner:] = after[inner:n] / (alphas[t][inner:] * after[inner:n]).sum(1, keepdims=True)
         beta = here
         gammas.append(alphas[t] * beta)
-        places.append(flat[first[:n] + t])
-    right = (beta * model.emit[flat[first]] / scales[0])[~opens]
+    right = (beta * emits[0])[~opens]
     steps += before[~opens].T @ right  # between segments
-    gamma, place = np.concatenate(gammas), np.concatenate(places)
+    gamma, place = np.concatenate(gammas), np.concatenate(places[::-1])
     for s in range(STATES):
-        emit[:, s] = np.bincount(place, gamma[:, s], len(emit))
-    return gammas[-1][opens].sum(0), steps * model.step, emit
+        emissions[:, s] = np.bincount(place, gamma[:, s], len(emissions))
+    return gammas[-1][opens].sum(0), steps * model.step, emissions
 
 
 def train(coded: DataFrame, head: Head, rounds: int = ROUNDS) -> Model:
