@@ -78,3 +78,19 @@ def media_type(name: Column) -> Column:
     for kind, known in kinds.items():
         out = F.when(ext.isin(*known), kind).otherwise(out)
     return out
+
+
+def first_scalar(c: Column, kind) -> Column:
+    """The first scalar of nested arrays and structs; null where one on the way is empty."""
+    from pyspark.sql import types as T
+
+    while isinstance(kind, (T.ArrayType, T.StructType)):
+        c, kind = (F.get(c, 0), kind.elementType) if isinstance(kind, T.ArrayType) else (c[kind.names[0]], kind.fields[0].dataType)
+    return c
+
+
+def lower_bound(values: Column, reached, most: int = 1 << 30) -> Column:
+    """The first index of an array at which reached(element) holds, given that it holds from some index on; the array's size
+    where it never does. Bisection: the steps are powers of two."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(values)) & ~F.coalesce(reached(F.get(values, at + step - 1)), F.lit(True)), at + step).otherwise(at))

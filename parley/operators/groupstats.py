@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.windows import last_per_key
@@ -102,13 +102,16 @@ def sequence_ratios(tokens: DataFrame, log_ratio: str, mask: str, sequence: str,
     """Importance weights of a token table. Log-ratios are held within 20; at sequence level the ratio is the geometric
     mean over unmasked tokens. truncate: at most the threshold; mask: 0 beyond it."""
     held = F.greatest(F.least(F.col(log_ratio), F.lit(20.0)), F.lit(-20.0))
+    kept = tokens.columns
     if level == "sequence":
-        mean = F.avg(F.when(F.col(mask) == 1, held)).over(Window.partitionBy(sequence))
-        ratio = F.exp(F.greatest(F.least(F.coalesce(mean, F.lit(0.0)), F.lit(20.0)), F.lit(-20.0)))
+        # aggregated and joined back, so that a long sequence is reduced where its rows lie
+        means = tokens.groupBy(F.col(sequence).alias("_sequence")).agg(F.avg(F.when(F.col(mask) == 1, held)).alias("_mean"))
+        tokens = tokens.join(means, F.col(sequence).eqNullSafe(F.col("_sequence")))
+        ratio = F.exp(F.greatest(F.least(F.coalesce("_mean", F.lit(0.0)), F.lit(20.0)), F.lit(-20.0)))
     else:
         ratio = F.exp(held)
     weight = F.least(ratio, F.lit(float(threshold))) if mode == "truncate" else F.when(ratio <= threshold, ratio).otherwise(0.0)
-    return tokens.withColumn("ratio", ratio).withColumn(out, weight)
+    return tokens.select(*kept, ratio.alias("ratio"), weight.alias(out))
 
 
 def off_policy_mask(tokens: DataFrame, old: str, new: str, mask: str, advantage: str, sequence: str, delta: float) -> DataFrame:
@@ -167,7 +170,30 @@ def mix_schedule(step: Column, warmup: int, decay: int, peak: float, valley: flo
     return F.when(step < warmup, step / warmup * peak).when(step >= warmup + decay, F.lit(valley)).otherwise(down)
 
 
+def exact_quantile(df: DataFrame, value: str, share: float) -> float | None:
+    """The exact quantile with linear interpolation, nulls left out; null of no values. Rows are counted in buckets of about
+    equal size, and only those that hold the two values around the quantile are sorted."""
+    from parley.operators.ordering import quantile_bucket
+
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("_v"))
+    counts = sorted((r["_b"], r["count"]) for r in d.groupBy(quantile_bucket(d, "_v").alias("_b")).count().collect())
+    n = sum(c for _, c in counts)
+    if not n:
+        return None
+    at = share * (n - 1)
+    places, start, bounds = (int(at), min(int(at) + 1, n - 1)), 0, []
+    for b, c in counts:
+        if any(start <= p < start + c for p in places):
+            bounds.append((b, start))
+        start += c
+    few = d.where(quantile_bucket(d, "_v").isin([b for b, _ in bounds])).orderBy("_v").limit(places[1] - bounds[0][1] + 1)
+    # what is taken is at most two buckets, the last values of which are wanted
+    values = [r["_v"] for r in few.orderBy(F.desc("_v")).limit(2).collect()][::-1]
+    low, high = (values[-1], values[-1]) if places[0] == places[1] or len(values) < 2 else values
+    return low + (at - int(at)) * (high - low)
+
+
 def top_entropy_tokens(tokens: DataFrame, value: str, share: float) -> DataFrame:
     """The tokens at or above the exact (1 - share) quantile of value."""
-    cut = tokens.agg(F.percentile(value, F.lit(1 - share)).alias("_cut"))
-    return tokens.join(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")
+    cut = exact_quantile(tokens, value, 1 - share)
+    return tokens.where(F.col(value) >= F.lit(cut)) if cut is not None else tokens.limit(0)

@@ -125,11 +125,11 @@ def paired_metrics(pairs: DataFrame, a: str, b: str, label: str) -> DataFrame:
     return d.agg(*[x for k in SIMILARITIES for x in (F.corr("label", k).alias(f"pearson_{k}"), F.corr("rank_label", f"rank_{k}").alias(f"spearman_{k}"))])
 
 
-def infonce_margins(queries: DataFrame, docs: DataFrame, query_vec: str, doc_vec: str, query_key: str, doc_key: str, block: str | None = None) -> DataFrame:
+def infonce_margins(queries: DataFrame, docs: DataFrame, query_vec: str, doc_vec: str, query_key: str, doc_key: str, block: str) -> DataFrame:
     """One row: mean positive, mean negative, and mean margin of the positive over the best negative, of normalised
     vectors. Pairs are formed within blocks (batches of bounded size), where a query's positive has its own key."""
-    q = queries.select(F.col(query_key).alias("_q"), F.col(query_vec).alias("_qv"), (F.col(block) if block else F.lit(0)).alias("_b"))
-    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_vec).alias("_dv"), (F.col(block) if block else F.lit(0)).alias("_b"))
+    q = queries.select(F.col(query_key).alias("_q"), F.col(query_vec).alias("_qv"), F.col(block).alias("_b"))
+    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_vec).alias("_dv"), F.col(block).alias("_b"))
     pairs = q.join(d, "_b").withColumn("s", cosine(F.col("_qv"), F.col("_dv")))
     per = pairs.groupBy("_b", "_q").agg(F.max(F.when(F.col("_q") == F.col("_d"), F.col("s"))).alias("pos"), F.max(F.when(F.col("_q") != F.col("_d"), F.col("s"))).alias("top"), F.sum(F.when(F.col("_q") != F.col("_d"), F.col("s"))).alias("sum_neg"), F.count(F.when(F.col("_q") != F.col("_d"), 1)).alias("n_neg"))
     return per.agg(F.avg(F.col("pos") - F.col("top")).alias("margin"), (F.sum("sum_neg") / F.sum("n_neg")).alias("mean_neg"), F.avg("pos").alias("mean_pos"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parley.functions.text import truthy
 from parley.schema import MEDIA, MESSAGES, OBJECTS, prune
@@ -295,3 +297,57 @@ def literal_frame(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             else:
                 out.append(None)
         yield pd.Series(out, dtype=object)
+
+
+literal_json = F.pandas_udf(literal_frame, T.StringType())
+
+
+def parallel_inputs(lists: Column, names: list[str]) -> Column:
+    """A struct of parallel lists as a list of structs, the i-th of the i-th elements; shorter lists end in nulls."""
+    return F.arrays_zip(*[lists[n].alias(n) for n in names])
+
+
+def columns_to_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each place of a row's parallel arrays, padded with nulls to the longest."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.arrays_zip(*[F.col(c).alias(c) for c in columns])))
+
+
+def rows_to_columns(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Arrays of a group's values in order; nulls keep their places."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    return df.groupBy(*by).agg(rows.alias("_r")).select(*by, *[F.col("_r").getField(c).alias(c) for c in columns])
+
+
+def map_rows(df: DataFrame, function: Callable[[dict], dict | list[dict] | None], schema: str | T.StructType, strict: bool = True) -> DataFrame:
+    """A row function that gives no row, one or several for each row. Unless strict, rows that it fails on go. Rows travel in
+    Arrow batches."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    made = function(row)
+                except Exception:
+                    if strict:
+                        raise
+                    continue
+                out += [] if made is None else made if isinstance(made, list) else [made]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def preprocess(df: DataFrame, layout: Callable[[DataFrame], DataFrame], columns: dict[str, str] | None = None, sample: int | None = None, key: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, seed: int = 42, remove_unused: bool = True) -> DataFrame:
+    """The steps that every preprocessor shares: an exact sample first, renames, a hook on the whole table, the layout, and
+    the canonical columns only."""
+    from parley.operators.ordering import sample as exact_sample
+
+    if sample is not None:
+        df = exact_sample(df, sample, key, seed).drop("copy")
+    df = safe_rename(df, columns or {})
+    made = cast_media(layout(prepare(df) if prepare else df))
+    return prune(made, (key,) if key else ()) if remove_unused else made

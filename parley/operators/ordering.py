@@ -281,3 +281,10 @@ def dense_ids_limit(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
     """The rows of n keys, chosen in pseudo-random order."""
     kept = hash_rank(df.select(key).distinct(), key, seed, "_rn").where(F.col("_rn") <= n).select(F.col(key).alias("_key"))
     return df.join(kept, F.col(key) == F.col("_key"), "left_semi")
+
+
+def step_seeds(seed: int, names: list[str]) -> dict[str, int]:
+    """A 31-bit seed for each named step. It depends on the step's name alone, not on which steps came before."""
+    import hashlib
+
+    return {n: int(hashlib.md5(f"{n}-{seed}".encode()).hexdigest()[:8], 16) & 0x7FFFFFFF for n in names}

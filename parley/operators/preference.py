@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from parley.operators.ordering import hash_key
 
 
-def scaled(values: Column, w) -> Column:
-    """Min-max over a window, with 1e-5 in the denominator; a constant v becomes min(1, v)."""
-    low, high = F.min(values).over(w), F.max(values).over(w)
+def scaled(values: Column, low: Column, high: Column) -> Column:
+    """Min-max between the extremes, with 1e-5 in the denominator; a constant v becomes min(1, v)."""
     return F.when(high > low, (values - low) / (high - low + 1e-5)).otherwise(F.least(F.lit(1.0), values.cast("double")))
 
 
@@ -20,11 +19,13 @@ def rejection_sample(df: DataFrame, key: str, prm: str, orm: str, order: str, ke
     The score is the scaled prm plus ten times the scaled orm. Keys without passing candidates are left out, and those
     with too many right answers if easy is a share. Adds score, rank and rejected, the order key of the minimum.
     """
-    w = Window.partitionBy(key)
-    d = df.withColumn("_p", scaled(F.col(prm), w)).withColumn("_o", scaled(F.col(orm), w))
+    # extremes are aggregated and joined back, so that a hot key is reduced where its rows lie
+    ends = df.groupBy(F.col(key).alias("_by")).agg(*[f(c).alias(f"_{n}{k}") for k, c in (("p", prm), ("o", orm)) for n, f in (("low", F.min), ("high", F.max))])
+    d = df.join(ends, F.col(key).eqNullSafe(F.col("_by")))
+    d = d.withColumn("_p", scaled(F.col(prm), F.col("_lowp"), F.col("_highp"))).withColumn("_o", scaled(F.col(orm), F.col("_lowo"), F.col("_higho"))).drop("_by", "_lowp", "_highp", "_lowo", "_higho")
     d = d.withColumn("score", F.col("_p") + 10 * F.col("_o")).withColumn("_ok", (F.col(prm) > prm_threshold) & (F.col(orm) > orm_threshold))
     low = d.groupBy(key).agg(F.min_by(order, F.struct("score", order)).alias("rejected"), F.count(F.lit(1)).alias("_n"), F.sum((F.col(orm) > orm_threshold).cast("int")).alias("_right")).withColumnRenamed(key, "_key")
-    d = d.join(low, F.col(key) == F.col("_key")).where(F.col("_ok") & (F.col(order) != F.col("rejected")))
+    d = d.join(low, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("_ok") & (F.col(order) != F.col("rejected")))
     if easy is not None:
         d = d.where(F.col("_right") - 1 < F.floor(F.col("_n") * easy))
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), order)))
@@ -99,3 +100,32 @@ def consistent_logps(masks: Column, logps: Column) -> Column:
     """Log-probabilities by turn, cleared where their number isn't that of the tokens whose mask is 1."""
     ones = F.aggregate(F.flatten(masks), F.lit(0), lambda s, x: s + x.cast("int"))
     return F.when(F.size(F.flatten(logps)) == ones, logps).otherwise(F.array().cast("array<array<double>>"))
+
+
+def positional_join(inputs: DataFrame, outputs: DataFrame, input_order: str, output_order: str) -> DataFrame:
+    """The i-th row of outputs beside the i-th of inputs; tables of different lengths raise. Adds place."""
+    from parley.operators.ordering import key_rank
+
+    if inputs.count() != outputs.count():
+        raise ValueError("inputs and outputs have different lengths")
+    return key_rank(inputs, input_order, "place").join(key_rank(outputs, output_order, "place"), "place")
+
+
+def preference_rows(chosen: Column, rejected: Column, margin: Column | None = None, label: Column | None = None) -> dict[str, Column]:
+    """Columns of an encoded pair: the fields of both sides under their prefixes; for KTO the rejected side may be null, and the
+    label is a boolean."""
+    out = {"chosen": chosen, "rejected": rejected}
+    if margin is not None:
+        out["margin"] = margin.cast("double")
+    if label is not None:
+        out["label"] = label.cast("boolean")
+    return out
+
+
+def preference_collate(df: DataFrame, batch: str, order: str, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """(batch, place, side, value): the chosen rows of a batch in order, then the rejected ones; null sides are left out."""
+    from pyspark.sql import Window
+
+    sides = F.array(F.struct(F.lit(0).alias("_s"), F.lit("chosen").alias("side"), F.col(chosen).alias("value")), F.struct(F.lit(1).alias("_s"), F.lit("rejected").alias("side"), F.col(rejected).alias("value")))
+    rows = df.select(batch, order, F.inline(sides)).where("value IS NOT NULL")
+    return rows.withColumn("place", (F.row_number().over(Window.partitionBy(batch).orderBy("_s", order)) - 1)).drop("_s")

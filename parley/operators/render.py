@@ -223,12 +223,26 @@ def parse_strategy(name: str) -> tuple[str, str | None]:
     return parts[0], parts[1]
 
 
-#: Weights by strategy: delimiters with weights of the key and of what follows, or patterns with one weight.
+#: Weights of responses by strategy, as delimiters with weights of the key and of what follows, or as patterns
+#: with one weight. Entries of other lengths are no delimiters.
 WEIGHT_MAPS: dict[str, dict[str, list[float]]] = {
     "react": {"Action:": [2.0, 2.0], "Action Input:": [2.0, 2.0], "Thought:": [1.0, 1.0], "Final Answer:": [1.0, 1.0], "Observation:": [2.0, 0.0]},
     "hermes": {r"<tool_call>.+?</tool_call>": [2.0]},
-    "ignore_empty_think": {r"<think>\s*</think>\s*": [0.0]},
-    "alpha_umi": {"Next:": [2.0, 2.0]},
+    "qwen": {"✿FUNCTION✿:": [2.0, 2.0], "✿ARGS✿:": [2.0, 2.0], "✿RETURN✿:": [1.0, 1.0], "✿RESULT✿:": [2.0, 0.0]},
+    "ignore_empty_think": {
+        r"^<think>\s*</think>\s*": [0.0],
+        r"^<seed:think><seed:cot_budget_reflect>The current thinking budget is 0, so I will directly start answering the question.</seed:cot_budget_reflect>\n</seed:think>\s*": [0.0],
+        r"^</think>\s*": [0.0],
+    },
+    "alpha_umi": {"Action:": [2.0, 2.0], "Action Input:": [2.0, 2.0], "Thought:": [1.0, 1.0], "Final Answer:": [1.0, 1.0], "Observation:": [2.0, 0.0], "Next:": [2, 0, 2.0]},
+    "agentflan": {
+        "Name:": [1.0, 3.0], "Action:": [1.0, 3.0], "ACTION:": [1.0, 3.0], "Tool:": [1.0, 3.0], "Command": [1.0, 3.0], "Arguments:": [1.0, 3.0],
+        "action input": [1.0, 3.0], "ACTION_INPUT:": [1.0, 3.0], "Action Input:": [1.0, 3.0], "Thought:": [1.0, 1.0], "Final Answer:": [1.0, 1.0], "Observation:": [2.0, 0.0],
+    },
+}
+#: The weight of a whole response where the query has one of these texts.
+QUERY_WEIGHTS: dict[str, dict[str, float]] = {
+    "agentflan": {"What is the tool you want to use": 3.0, "What are the required parameter names": 3.0, "What is the value of": 3.0, "What are the required parameter names for this tool": 3.0},
 }
 
 
@@ -272,15 +286,24 @@ def weighted_parts(text: str, weights: dict[str, list[float]]) -> list[tuple[str
     return [(t, w) for t, w in out if t]
 
 
-def response_weights(content: Column, weights: dict[str, list[float]]) -> Column:
-    """array<struct<text, weight>> of a response."""
+def response_weights(content: Column, weights: dict[str, list[float]], query: Column | None = None, by_query: dict[str, float] | None = None) -> Column:
+    """array<struct<text, weight>> of a response; one of whose query has a text of by_query is one piece of that weight."""
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("weight", T.DoubleType())])))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([[{"text": t, "weight": w} for t, w in weighted_parts(x or "", weights)] for x in s])
 
-    return run(content)
+    out = run(content)
+    if query is None or not by_query:
+        return out
+    hit = F.coalesce(*[F.when(F.contains(query, F.lit(k)), F.lit(float(w))) for k, w in by_query.items()])
+    return F.when(hit.isNotNull(), F.array(F.struct(content.alias("text"), hit.alias("weight")))).otherwise(out)
+
+
+def encoded_length(ids: Column, labels: Column) -> Column:
+    """The longer of ids and labels; null arrays count as empty."""
+    return F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.coalesce(F.size(labels), F.lit(0)), F.lit(0))
 
 
 # ---------------------------------------------------------------- token arrays

@@ -71,3 +71,34 @@ def replace_failures(df: DataFrame, ok: Column, key: str, seed: int = 42) -> Dat
     pool = hash_rank(good, key, seed, "_rn").withColumnRenamed(key, "source")
     failed = hash_rank(df.where(~F.coalesce(ok, F.lit(False))).select(key), key, seed + 1, "_f").withColumn("_rn", F.pmod(F.col("_f") - 1, F.lit(total)) + 1)
     return good.withColumn("source", F.col(key)).unionByName(failed.join(pool, "_rn").drop("_rn", "_f"))
+
+
+def drop_overlong(df: DataFrame, lengths: Column, most: int, strategy: str = "delete") -> DataFrame:
+    """Rows beyond the limit go under `delete`, and raise under `raise`."""
+    over = ~within_length(lengths, most)
+    if strategy == "raise":
+        return df.where(F.assert_true(~over, "a row is too long").isNull())
+    return df.where(~over)
+
+
+def without_truncated(mask: Column, truncated: Column) -> Column:
+    """A completion's token mask, all zeros where the completion was cut off."""
+    return F.transform(mask, lambda m: F.when(F.coalesce(truncated, F.lit(False)), F.lit(0)).otherwise(m.cast("int")))
+
+
+def refill(df: DataFrame, ok: Column, backup: DataFrame, backup_ok: Column, key: str, seed: int = 42, rounds: int = 10) -> DataFrame:
+    """Failing rows are replaced from a backup table in pseudo-random order, taken round and round: at most `rounds` times as
+    many of its rows as there are failures are looked at. source names the row that fills a slot; no filling row raises."""
+    from parley.operators.ordering import hash_rank
+
+    failed = hash_rank(df.where(~F.coalesce(ok, F.lit(False))).select(key), key, seed + 1, "_f")
+    wanted = failed.count()
+    if not wanted:
+        return df.withColumn("source", F.col(key))
+    looked = hash_rank(backup, key, seed, "_rn").where(F.col("_rn") <= wanted * rounds).drop("_rn").where(backup_ok)
+    pool = hash_rank(looked, key, seed, "_rn").withColumnRenamed(key, "source")
+    total = pool.count()
+    if not total:
+        raise ValueError("no row of the backup can fill in")
+    filled = failed.withColumn("_rn", F.pmod(F.col("_f") - 1, F.lit(total)) + 1).join(pool, "_rn").drop("_rn", "_f")
+    return df.where(ok).withColumn("source", F.col(key)).unionByName(filled)

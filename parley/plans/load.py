@@ -16,8 +16,8 @@ from parley.sources.readers import read_file, read_folder
 
 
 def load_one(spark: SparkSession, reference: Reference, dataset: Dataset, columns: dict[str, str] | None = None, strict: bool = False, remove_unused: bool = True) -> DataFrame:
-    """The valid canonical rows of one reference, with _ord, an ordinal of each row. Placement among files is by file name
-    and position, so it doesn't change between runs."""
+    """The valid canonical rows of one reference, with _ord, an ordinal of each row. It follows Spark's
+    splits of the files, so it is the same in every run as long as the files and the sizes of splits are."""
     import os
 
     path, parts = dataset.path or reference.name, []

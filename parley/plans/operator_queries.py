@@ -765,3 +765,190 @@ def adv06_request_advantages(table):
     """One row of each request counts in its group; all rows of a request get its advantage."""
     e = table("events").select("event_id", "user_id", F.concat_ws("-", "user_id", "event_type").alias("request"), F.length("event_type").cast("double").alias("reward"))
     return G.request_advantages(e, "reward", "user_id", "request", "event_id").select("event_id", r(F.col("advantage")).alias("advantage"))
+
+
+# ---------------------------------------------------------------- operators of round two
+
+Q = chr(39)
+
+
+@query("SELECT doc_id, place, CASE place WHEN 0 THEN lang WHEN 1 THEN source END AS a, CASE place WHEN 0 THEN doc_id WHEN 1 THEN n_chars ELSE doc_id + 1 END AS b FROM documents, range(0, 3) AS t(place)")
+def prj05_columns_to_rows(table):
+    """Shorter arrays are padded with nulls."""
+    longer = F.array("doc_id", "n_chars", F.col("doc_id") + 1)
+    d = N.columns_to_rows(table("documents").select("doc_id", F.array(*[F.lit(i).cast("bigint") for i in range(3)]).alias("place"), F.array("lang", "source").alias("a"), longer.alias("b")), ["place", "a", "b"])
+    return d.select("doc_id", "place", "a", "b")
+
+
+@query("SELECT user_id, string_agg(coalesce(v, 'null'), ',' ORDER BY event_id) AS joined FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS v FROM events) GROUP BY user_id")
+def prj05_rows_to_columns(table):
+    """Nulls keep their places."""
+    e = table("events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("v"))
+    d = N.rows_to_columns(e, ["user_id"], "event_id", ["v"])
+    return d.select("user_id", F.array_join("v", ",", "null").alias("joined"))
+
+
+@query("SELECT doc_id, [{'label': lang, 'length': 1}, {'label': source, 'length': NULL}] AS inputs FROM documents")
+def prj14_parallel_inputs(table):
+    lists = F.struct(F.array("lang", "source").alias("label"), F.array(F.lit(1)).alias("length"))
+    return table("documents").select("doc_id", N.parallel_inputs(lists, ["label", "length"]).alias("inputs"))
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars <= 1000")
+def flt05_drop_overlong(table):
+    return V.drop_overlong(table("documents"), F.array("n_chars"), 1000).select("doc_id")
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars < 2000 AS ok FROM documents),
+failed AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat(doc_id, '-43')), doc_id) - 1 AS f, count(*) OVER () AS n FROM d WHERE NOT ok),
+looked AS (SELECT page_id, length(html) > 1500 AS ok, row_number() OVER (ORDER BY md5(concat(page_id, '-42')), page_id) AS rn FROM pages),
+pool AS (SELECT page_id, row_number() OVER (ORDER BY rn) - 1 AS place, count(*) OVER () AS total FROM looked WHERE ok AND rn <= 10 * (SELECT max(n) FROM failed))
+SELECT doc_id, doc_id AS source FROM d WHERE ok UNION ALL SELECT f.doc_id, p.page_id FROM failed f JOIN pool p ON f.f % p.total = p.place""")
+def flt07_refill(table):
+    """Failing documents are filled from another table."""
+    backup = table("pages").select(F.col("page_id").alias("doc_id"), F.length("html").cast("bigint").alias("n_chars"))
+    return V.refill(table("documents").select("doc_id", "n_chars"), F.col("n_chars") < 2000, backup, F.col("n_chars") > 1500, "doc_id").select("doc_id", "source")
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN [0, 0, 0] ELSE [1, 0, 1] END AS mask FROM events")
+def flt15_overlong_mask(table):
+    return table("events").select("event_id", V.without_truncated(F.array(F.lit(1), F.lit(0), F.lit(1)), F.col("value") > 50).alias("mask"))
+
+
+@query(f"SELECT doc_id, {said(('user', 'lang'), ('assistant', 'upper(source)'))} AS messages FROM {{}} WHERE rn <= 100".format("(SELECT *, row_number() OVER (ORDER BY md5(concat(doc_id, '-42')), doc_id) AS rn FROM documents)"))
+def nrm01_preprocess(table):
+    """An exact sample, renames, a hook on the whole table, a layout."""
+    docs = table("documents").select("doc_id", F.col("lang").alias("Q"), "source")
+    d = N.preprocess(docs, N.query_response, {"q": "query", "source": "response"}, 100, "doc_id", lambda t: t.withColumn("response", F.upper("response")))
+    return d.select("doc_id", told("messages").alias("messages"))
+
+
+@query("SELECT doc_id, i::BIGINT AS i, repeat('x', i::INTEGER) AS text FROM documents, range(0, 3) AS t(i) WHERE i < doc_id % 3")
+def udx01_row_function(table):
+    """No row, one or two rows for each."""
+    def rows(row: dict):
+        n = row["doc_id"] % 3
+        made = [{"doc_id": row["doc_id"], "i": i, "text": "x" * i} for i in range(n)]
+        return None if not n else made[0] if n == 1 else made
+
+    return N.map_rows(table("documents").select("doc_id"), rows, "doc_id bigint, i bigint, text string")
+
+
+_HEX = "('0x' || substr(md5(concat(doc_id, '-{}')), 1, 8))::BIGINT"
+
+
+def _prompts(lang: str, side: int) -> str:
+    pairs = X.GROUNDING["grounding"][lang]
+    return "[" + ", ".join(f"'{p[side]}'" for p in pairs) + f"][{_HEX.format(42)} % {len(pairs)} + 1]"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_HEX.format(43)} % 1000 < 800 THEN {_prompts('en', 0)} ELSE {_prompts('zh', 0)} END AS query, '<bbox>' AS response FROM documents")
+def nrm09_grounding_prompt(table):
+    d = table("documents").select("doc_id", X.grounding_prompt("grounding", F.col("doc_id")).alias("p"))
+    return d.select("doc_id", "p.query", "p.response")
+
+
+@query(f"SELECT doc_id, {said(('user', 'lang'), ('assistant', 'source'))} AS messages FROM documents")
+def txt12_repaired_literals(table):
+    """Lists of dicts with each of the breaks that stand for a comma."""
+    gap = F.element_at(F.array(F.lit("\n"), F.lit("\n "), F.lit(""), F.lit("\n  ")), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("[{'role': 'user', 'content': '"), "lang", F.lit("'}"), gap, F.lit("{'role': 'assistant', 'content': '"), "source", F.lit("'}]"))
+    return X.repaired_literals(table("documents").select("doc_id", text.alias("conversations"))).select("doc_id", told("messages").alias("messages"))
+
+
+@query(f"SELECT doc_id, {said(('system', Q * 2), ('user', 'lang'), ('assistant', 'text'))} AS messages FROM documents WHERE doc_id % 3 = 0")
+def txt13_chat_room(table):
+    """Rows whose first turn isn't the user's have no query and go."""
+    turn = lambda a, b: F.struct(a.alias("from"), b.alias("value"))
+    first = turn(F.when(F.col("doc_id") % 3 == 0, "user").otherwise("system"), F.col("lang"))
+    d = table("documents").where("text <> ''").select("doc_id", F.array(first, turn(F.lit("ann"), F.col("source")), turn(F.lit("bob"), F.col("text"))).alias("conversations"))
+    return X.chat_room(d).select("doc_id", told("messages").alias("messages"))
+
+
+@query(f"SELECT doc_id, {said(('user', 'lang'), ('assistant', 'source'))} AS messages, text AS rejected_response FROM documents")
+def txt19_chosen_turn(table):
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    d = table("documents").select("doc_id", F.array(turn("user", "lang")).alias("messages"), turn("assistant", "source").alias("chosen"), F.struct("text").alias("rejected"))
+    return X.chosen_turn(d).select("doc_id", told("messages").alias("messages"), "rejected_response")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {said(('user', Q + 'a' + Q), ('assistant', Q + 'b' + Q), ('user', 'lang'), ('assistant', 'source'))} ELSE {said(('user', 'lang'), ('assistant', 'source'))} END AS messages FROM documents WHERE doc_id % 4 < 2")
+def txt21_speaker_turns(table):
+    """Turns that don't alternate, and empty ones, drop the row."""
+    kinds = [F.lit("User:aAssistant:b"), F.lit(""), F.lit("Assistant:bUser:a"), F.lit("User:Assistant：b")]
+    d = table("documents").select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % 4 + 1).cast("int")).alias("instruction"), F.concat(F.lit("User: "), "lang", F.lit(" ")).alias("input"), F.col("source").alias("output"))
+    return X.speaker_turns(d).select("doc_id", told("messages").alias("messages"))
+
+
+@query(f"SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN ['a', 'b'] END AS tools, md5(coalesce({_SPOKEN} FILTER (i > 0 OR role <> 'system'), '')) AS messages FROM {_TURNS} GROUP BY conv_id")
+def txt22_described_functions(table):
+    d = messages_of(table).withColumn("function_description", F.when(F.col("conv_id") % 2 == 0, "a\n\nb"))
+    return X.described_functions(d).select("conv_id", "tools", told("messages").alias("messages"))
+
+
+@query(f"SELECT url AS path, {said(('user', Q + '<image>' + Q))} AS anchor, {said(('user', 'page_id::VARCHAR'))} AS positive FROM pages")
+def mm08_caption_pair(table):
+    d = X.caption_pair(table("pages").select(F.col("url").alias("images"), F.array(F.col("page_id").cast("string"), F.lit("other")).alias("response")))
+    return d.select(F.col("images")[0]["path"].alias("path"), told("messages").alias("anchor"), told(F.col("positive_messages")[0]).alias("positive"))
+
+
+@query(f"SELECT doc_id, source AS solution, {said(('user', f'lang || {Q} Output the thinking process in <think> </think> and final answer (number) in <answer> </answer> tags.{Q}'), ('assistant', 'source'))} AS messages FROM documents")
+def mm14_counted_objects(table):
+    d = X.counted_objects(table("documents").select("doc_id", F.col("lang").alias("query"), F.col("source").alias("response")))
+    return d.select("doc_id", "solution", told("messages").alias("messages"))
+
+
+@query("SELECT name, ('0x' || substr(md5(name || '-42'), 1, 8))::BIGINT & 2147483647 AS seed FROM (SELECT DISTINCT event_type AS name FROM events)")
+def set08_step_seeds(table):
+    names = [row.name for row in table("events").select(F.col("event_type").alias("name")).distinct().collect()]
+    return table("events").sparkSession.createDataFrame(list(O.step_seeds(42, names).items()), "name string, seed bigint")
+
+
+@query("SELECT a.doc_id, b.doc_id AS other FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY n_chars * 1000000 + doc_id) AS p FROM documents) b USING (p)")
+def jon02_positional_join(table):
+    docs = table("documents")
+    other = docs.select(F.col("doc_id").alias("other"), (F.col("n_chars") * 1000000 + F.col("doc_id")).alias("o"))
+    return S.positional_join(docs.select("doc_id"), other, "doc_id", "o").select("doc_id", "other")
+
+
+@query("SELECT doc_id, greatest(n_chars % 5, doc_id % 7)::INTEGER AS length FROM documents")
+def rnd20_encoded_length(table):
+    def some(n):
+        return F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1))))
+
+    return table("documents").select("doc_id", R.encoded_length(some(F.col("n_chars") % 5), some(F.col("doc_id") % 7)).alias("length"))
+
+
+@query("SELECT doc_id, lang AS chosen, CASE WHEN doc_id % 2 = 0 THEN source END AS rejected, (doc_id % 3)::DOUBLE AS margin, doc_id % 5 > 0 AS label FROM documents")
+def rnd21_preference_rows(table):
+    made = S.preference_rows(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("doc_id") % 3, (F.col("doc_id") % 5).cast("int"))
+    return table("documents").select("doc_id", *[c.alias(n) for n, c in made.items()])
+
+
+@query("""SELECT batch, (row_number() OVER (PARTITION BY batch ORDER BY s, doc_id) - 1)::INTEGER AS place, CASE s WHEN 0 THEN 'chosen' ELSE 'rejected' END AS side, v AS value FROM (
+SELECT doc_id // 8 AS batch, doc_id, 0 AS s, lang AS v FROM documents UNION ALL SELECT doc_id // 8, doc_id, 1, source FROM documents WHERE doc_id % 3 > 0)""")
+def pck06_preference_collate(table):
+    docs = table("documents").select(F.floor(F.col("doc_id") / 8).alias("batch"), "doc_id", F.col("lang").alias("chosen"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("rejected"))
+    return S.preference_collate(docs, "batch", "doc_id").select("batch", "place", "side", "value")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS value FROM documents")
+def str02_first_scalar(table):
+    kind = "array<array<struct<lang:string,source:string>>>"
+    empty = F.when(F.col("doc_id") % 2 == 0, F.array(F.array(F.struct("lang", "source")))).otherwise(F.array().cast(kind))
+    d = table("documents").select("doc_id", empty.alias("x"))
+    return d.select("doc_id", T.first_scalar(F.col("x"), d.schema["x"].dataType).alias("value"))
+
+
+@query("SELECT p_partkey, least(p_size, 20)::INTEGER AS place FROM part")
+def str04_lower_bound(table):
+    values = F.sequence(F.lit(0), F.lit(19))
+    return table("part").select("p_partkey", T.lower_bound(values, lambda x: x >= F.col("p_size"), 64).alias("place"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [3.0] ELSE [1.0, 1.0, 3.0] END::DOUBLE[] AS weights FROM documents")
+def lsc04_query_weights(table):
+    """A query can set the weight of its whole response."""
+    asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("What is the value of "), "lang")).otherwise(F.col("lang"))
+    made = R.response_weights(F.lit("so Tool:x"), R.WEIGHT_MAPS["agentflan"], asked, R.QUERY_WEIGHTS["agentflan"])
+    return table("documents").select("doc_id", F.transform(made, lambda p: p["weight"]).alias("weights"))

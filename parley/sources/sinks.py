@@ -49,3 +49,23 @@ def lookup(df: DataFrame, order: str, index: int) -> DataFrame:
 def write_batch(df: DataFrame, path: str, batch: int) -> None:
     """A batch's own partition, overwritten when it is written again: a resumed run repeats a batch without harm."""
     df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def save_validation(val: DataFrame | None, folder: str) -> str | None:
+    """Keeps a validation set that was split off as val_dataset.jsonl in the folder; none of no set."""
+    if val is None:
+        return None
+    write_jsonl(val, f"{folder}/val_dataset.jsonl")
+    return f"{folder}/val_dataset.jsonl"
+
+
+def write_results(df: DataFrame, path: str, order: str, rows_a_shard: int, response: str = "response", labels: str | None = None) -> None:
+    """Inference results in shards of rows_a_shard rows in order, a folder each that a resumed run overwrites: response, labels
+    and the input's columns."""
+    from parley.operators.ordering import key_rank
+
+    lead = [F.col(response).alias("response"), *([F.col(labels).alias("labels")] if labels else [])]
+    rest = [c for c in df.columns if c not in (response, labels)]
+    placed = key_rank(df, order, "_rn").withColumn("shard", F.floor((F.col("_rn") - 1) / rows_a_shard))
+    rows = sanitize(placed.select(*lead, *rest, "shard"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("shard").json(path)

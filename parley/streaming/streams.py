@@ -94,11 +94,12 @@ def build_sessions(stream: DataFrame, by: str, order: str, starts: str, item: st
 
 
 def shuffle_batches(stream: DataFrame, key: str, seed: int, path: str, checkpoint: str):
-    """Each micro-batch in pseudo-random order: a buffered shuffle whose buffer is the micro-batch."""
+    """Each micro-batch in pseudo-random order, in a folder of its own that a replay overwrites: a buffered shuffle whose buffer
+    is the micro-batch."""
     from parley.operators.ordering import hash_key
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).orderBy(hash_key(F.col(key), seed), key).write.mode("append").parquet(path)
+        batch.orderBy(hash_key(F.col(key), seed), key).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -211,3 +211,47 @@ def test_boxed_answers_may_have_braces(spark):
 
     df = spark.createDataFrame([(r"so \boxed{\frac{4}{2}}", r"\boxed{2}"), (r"\boxed{\sqrt{\frac{1}{2}}} or 3", r"\boxed{3}")], "a string, b string")
     assert [r.x for r in df.select(RW.math_accuracy(F.col("a"), F.col("b")).alias("x")).collect()] == [1.0, 0.0]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from parley.operators import groupstats as G
+
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=9000).tolist(), [1.0], [2.0, 1.0], [3.0] * 5000 + [1e12]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        for share in (0.0, 0.2, 0.5, 0.973, 1.0):
+            assert abs(G.exact_quantile(df, "v", share) - np.quantile(values, share)) <= 1e-9 * max(1, abs(np.quantile(values, share)))
+    assert G.exact_quantile(df.where("false"), "v", 0.5) is None
+
+
+def test_row_functions_give_any_number_of_rows(spark):
+    import pytest
+
+    from parley.operators import normalize as N
+
+    df = spark.range(6)
+
+    def odd(row):
+        if row["id"] == 5:
+            raise ValueError("no")
+        return None if row["id"] % 2 else [{"x": row["id"], "y": None}] * row["id"]
+
+    got = N.map_rows(df, odd, "x bigint, y string", strict=False).collect()
+    assert sorted(r.x for r in got) == [2, 2, 4, 4, 4, 4]
+    with pytest.raises(Exception, match="no"):
+        N.map_rows(df, odd, "x bigint, y string").collect()
+
+
+def test_results_are_written_in_shards(spark, tmp_path):
+    from parley.sources import sinks
+
+    df = spark.range(10).selectExpr("id", "concat('r', id) AS answer", "id % 2 AS y")
+    for _ in range(2):  # a second run overwrites the shards
+        sinks.write_results(df, str(tmp_path / "out"), "id", 4, "answer", "y")
+    back = spark.read.json(str(tmp_path / "out"))
+    assert sorted((r.shard, r.id, r.response, r.labels) for r in back.collect()) == [(i // 4, i, f"r{i}", i % 2) for i in range(10)]
+    assert sinks.save_validation(None, str(tmp_path)) is None
+    at = sinks.save_validation(df, str(tmp_path))
+    assert at.endswith("val_dataset.jsonl") and spark.read.json(at).count() == 10
