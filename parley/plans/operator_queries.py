@@ -30,6 +30,20 @@ def said(*turns: tuple[str, str]) -> str:
     return "md5(" + " || '|' || ".join(f"'{role}:' || ({body})" for role, body in turns) + ")"
 
 
+def listed(columns: str, sql: str):
+    """A query of whose result the named arrays are shown as texts, items set apart by commas."""
+    names = columns.split()
+
+    def add(function):
+        def run(table):
+            return function(table).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in names})
+
+        run.__name__ = function.__name__
+        return query(f"SELECT * REPLACE ({', '.join(f'array_to_string({c}::VARCHAR[], {chr(39)},{chr(39)}) AS {c}' for c in names)}) FROM ({sql})")(run)
+
+    return add
+
+
 NL = "chr(10)"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -49,7 +63,7 @@ def prj03_rename_both(table):
     return d.select("doc_id", "query", "response", "solution")
 
 
-@query("SELECT page_id, url AS path, true AS empty, [url] AS videos FROM pages")
+@listed("videos", "SELECT page_id, url AS path, true AS empty, [url] AS videos FROM pages")
 def prj06_cast_media(table):
     d = N.cast_media(table("pages").select("page_id", F.col("url").alias("images"), F.col("url").alias("videos")))
     return d.select("page_id", F.col("images")[0]["path"].alias("path"), F.col("images")[0]["bytes"].isNull().alias("empty"), "videos")
@@ -237,7 +251,7 @@ def txt09_code_problem(table):
     return X.code_problem(d).select(told("messages").alias("messages"))
 
 
-@query(f"SELECT {said(('user', 'query'))} AS messages, [{said(('assistant', 'a'))}] AS positives, [{said(('assistant', 'b'))}, {said(('assistant', 'c'))}] AS negatives FROM (SELECT text AS query, lang AS a, source AS b, lang || source AS c FROM documents)")
+@listed("positives negatives", f"SELECT {said(('user', 'query'))} AS messages, [{said(('assistant', 'a'))}] AS positives, [{said(('assistant', 'b'))}, {said(('assistant', 'c'))}] AS negatives FROM (SELECT text AS query, lang AS a, source AS b, lang || source AS c FROM documents)")
 def txt11_rerank(table):
     d = X.rerank(table("documents").select(F.col("text").alias("query"), F.col("lang").alias("positive"), F.array("source", F.concat("lang", "source")).alias("negative")))
     return d.select(told("messages").alias("messages"), F.transform("positive_messages", told).alias("positives"), F.transform("negative_messages", told).alias("negatives"))
@@ -326,13 +340,13 @@ def mm05_options(table):
     return d.select(told("messages").alias("messages"))
 
 
-@query("SELECT p_name AS ref, [round_even(p_size + 0.5, 0), round_even(p_retailprice, 0)] AS box FROM part")
+@listed("box", "SELECT p_name AS ref, [round_even(p_size + 0.5, 0), round_even(p_retailprice, 0)] AS box FROM part")
 def mm09_referring_boxes(table):
     d = X.referring_boxes(table("part").select(F.col("p_name").alias("caption"), F.array(F.col("p_size") + F.lit(0.5).cast("double"), F.col("p_retailprice")).alias("bbox")))
     return d.select(F.col("objects.ref")[0].alias("ref"), F.col("objects.bbox")[0].alias("box"))
 
 
-@query(f"SELECT [CASE p_size % 2 WHEN 0 THEN 'cat' ELSE 'dog' END, 'cat'] AS ref, {said(('user', chr(39) + 'detect' + chr(39)), ('assistant', f'{chr(39)}<ref-object><bbox>{chr(39)} || {NL} || {chr(39)}<ref-object><bbox>{chr(39)}'))} AS messages FROM part")
+@listed("ref", f"SELECT [CASE p_size % 2 WHEN 0 THEN 'cat' ELSE 'dog' END, 'cat'] AS ref, {said(('user', chr(39) + 'detect' + chr(39)), ('assistant', f'{chr(39)}<ref-object><bbox>{chr(39)} || {NL} || {chr(39)}<ref-object><bbox>{chr(39)}'))} AS messages FROM part")
 def mm12_detections(table):
     d = X.detections(table("part").select(F.array((F.col("p_size") % 2).cast("bigint"), F.lit(0).cast("bigint")).alias("category"), F.array(F.array(F.lit(1.0), F.lit(2.0))).alias("bbox")), ["cat", "dog"])
     return d.select("objects.ref", told("messages").alias("messages"))
@@ -350,7 +364,7 @@ def mm11_solution_choice(table):
     return d.select(told("messages").alias("messages"))
 
 
-@query("SELECT doc_id, list_filter([0, 1, 2], lambda i: (doc_id // (1 << i)) % 2 = 1) AS label FROM documents")
+@listed("label", "SELECT doc_id, list_filter([0, 1, 2], lambda i: (doc_id // (1 << i)) % 2 = 1) AS label FROM documents")
 def mm15_multi_label(table):
     bits = F.array(*[F.floor(F.col("doc_id") / (1 << i)) % 2 for i in range(3)])
     return X.multi_label(table("documents").select("doc_id", bits.alias("npy"))).select("doc_id", "label")
@@ -461,7 +475,7 @@ def met11_pair_losses(table):
     return M.pair_losses(pairs, "a", "b", "y").select(r(F.col("cosine")).alias("cosine"), r(F.col("contrastive")).alias("contrastive"), r(F.col("online"), 3).alias("online"))
 
 
-@query("SELECT min(event_type) AS name, any_value(x) AS values FROM (SELECT 'best' AS event_type, [round(min(value), 4), round(max(value), 4), count(*)::DOUBLE] AS x FROM events)")
+@listed("values", "SELECT min(event_type) AS name, any_value(x) AS values FROM (SELECT 'best' AS event_type, [round(min(value), 4), round(max(value), 4), count(*)::DOUBLE] AS x FROM events)")
 def agg05_flattened_metrics(table):
     """Metrics of several values by name; those that are null are dropped."""
     row = table("events").agg(F.min("value"), F.max("value"), F.count(F.lit(1))).first()
@@ -531,20 +545,20 @@ def rnd14_default_tags(table):
     return table("documents").select("doc_id", R.default_tags(F.concat(F.lit("<image>"), "lang"), (F.col("doc_id") % 4).cast("int"), "<image>").alias("content"))
 
 
-@query("SELECT doc_id, '<image> and <image>' AS content, [lang, source] AS paths FROM documents")
+@listed("paths", "SELECT doc_id, '<image> and <image>' AS content, [lang, source] AS paths FROM documents")
 def rnd15_image_paths(table):
     d = table("documents").select("doc_id", R.image_paths(F.concat(F.lit("<img>"), "lang", F.lit("</img> and <img>"), "source", F.lit("</img>"))).alias("p"))
     return d.select("doc_id", "p.content", "p.paths")
 
 
-@query("SELECT p_partkey, [round_even(p_size / 640.0::DOUBLE * 1000, 0)::INTEGER, round_even(p_size / 480.0::DOUBLE * 1000, 0)::INTEGER] AS box, '[(' || p_size || ',' || p_size + 1 || '),(' || p_size + 2 || ',' || p_size + 3 || ')]' AS text FROM part")
+@listed("box", "SELECT p_partkey, [round_even(p_size / 640.0::DOUBLE * 1000, 0)::INTEGER, round_even(p_size / 480.0::DOUBLE * 1000, 0)::INTEGER] AS box, '[(' || p_size || ',' || p_size + 1 || '),(' || p_size + 2 || ',' || p_size + 3 || ')]' AS text FROM part")
 def rnd16_boxes(table):
     size = F.col("p_size").cast("double")
     box = R.scale_boxes(F.array(F.array(size, size)), F.lit(640.0).cast("double"), F.lit(480.0).cast("double"))[0]
     return table("part").select("p_partkey", box.alias("box"), R.box_text(F.array(*[F.col("p_size") + i for i in range(4)])).alias("text"))
 
 
-@query("SELECT doc_id, [-100, -100, 3, 7, 8] AS first, CASE WHEN doc_id % 2 = 0 THEN [-100, 2, 7, 8, -100, -100] ELSE [-100, -100, -100, -100, -100, -100] END AS second FROM documents")
+@listed("first second", "SELECT doc_id, [-100, -100, 3, 7, 8] AS first, CASE WHEN doc_id % 2 = 0 THEN [-100, 2, 7, 8, -100, -100] ELSE [-100, -100, -100, -100, -100, -100] END AS second FROM documents")
 def rnd18_end_tokens(table):
     """The suffix 7, 8 is unmasked where it directly follows a supervised token."""
     lits = lambda *xs: F.array(*[F.lit(x) for x in xs])
@@ -556,7 +570,7 @@ def rnd18_end_tokens(table):
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
 
-@query(f"SELECT doc_id, len(ws)::INTEGER AS n, list_transform(list_filter(range(1, len(ws) + 1), lambda i: i > 1 AND i % 2 = 0), lambda i: ws[i]) AS kept FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 0")
+@listed("kept", f"SELECT doc_id, len(ws)::INTEGER AS n, list_transform(list_filter(range(1, len(ws) + 1), lambda i: i > 1 AND i % 2 = 0), lambda i: ws[i]) AS kept FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 0")
 def rnd17_masked_labels(table):
     """Every other word is supervised; the first one never is."""
     d = table("documents").select("doc_id", T.words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
@@ -564,35 +578,36 @@ def rnd17_masked_labels(table):
     return d.select("doc_id", F.size("ws").alias("n"), F.transform(F.filter(labels, lambda x: x != -100), lambda i: F.get("ws", i - 1)).alias("kept"))
 
 
-@query("SELECT event_id, {'texts': [event_type, 'a', 'n1', 'n2'], 'labels': [CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE, 0, 0]} AS rows FROM events")
+@listed("texts labels", "SELECT event_id, [event_type, 'a', 'n1', 'n2'] AS texts, [CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END, 0, 0]::DOUBLE[] AS labels FROM events")
 def rnd22_embedding_rows(table):
     lits = lambda *xs: F.array(*[F.lit(x) for x in xs])
     made = S.embedding_rows(F.col("event_type"), lits("a", "b"), lits("n1", "n2"), F.when(F.col("event_id") % 2 == 0, 0.5))
-    return table("events").select("event_id", made.alias("rows"))
+    return table("events").select("event_id", made.alias("p")).select("event_id", "p.texts", "p.labels")
 
 
-@query("SELECT event_id, [{'messages': [event_type, 'p'], 'label': 1}, {'messages': [event_type, 'n'], 'label': 0}, {'messages': [event_type, props], 'label': 0}] AS rows FROM events")
+@listed("messages labels", "SELECT event_id, [event_type || '|p', event_type || '|n', event_type || '|' || props] AS messages, [1, 0, 0] AS labels FROM events")
 def rnd23_rerank_rows(table):
     made = S.rerank_rows(F.array("event_type"), F.array(F.array(F.lit("p"))), F.array(F.array(F.lit("n")), F.array("props")))
-    return table("events").select("event_id", made.alias("rows"))
+    d = table("events").select("event_id", made.alias("p"))
+    return d.select("event_id", F.transform("p", lambda x: F.array_join(x["messages"], "|")).alias("messages"), F.transform("p", lambda x: x["label"]).alias("labels"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 50 THEN 0 ELSE 1 END AS best, list_filter([0, 1], lambda i: CASE i WHEN 0 THEN value >= 50 ELSE value <= 60 END) AS several FROM events")
+@listed("several", "SELECT event_id, CASE WHEN value >= 50 THEN 0 ELSE 1 END AS best, list_filter([0, 1], lambda i: CASE i WHEN 0 THEN value >= 50 ELSE value <= 60 END) AS several FROM events")
 def rnd24_decode_classes(table):
     v = F.col("value")
     return table("events").select("event_id", R.decode_classes(F.array(v - 50, 50 - v)).alias("best"), R.decode_classes(F.array(v - 50, 60 - v), True).alias("several"))
 
 
-@query("SELECT p_partkey, [1, 5, 6, 5, 6, 2] AS ids, [1, -100, -100, -100, -100, p_size] AS labels FROM part")
+@listed("ids labels", "SELECT p_partkey, [1, 5, 6, 5, 6, 2] AS ids, [1, -100, -100, -100, -100, p_size] AS labels FROM part")
 def rnd25_extend_tokens(table):
     made = R.extend_tokens(F.array(*[F.lit(x) for x in (1, 9, 9, 2)]), F.array(F.lit(1), F.lit(9), F.lit(9), F.col("p_size")), 9, F.array(F.lit(5), F.lit(6)))
     return table("part").select("p_partkey", made.alias("m")).select("p_partkey", "m.ids", "m.labels")
 
 
-@query(f"SELECT doc_id, list_transform(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[1] AND ws[i + 1] = ws[2]), lambda i: (i - 1)::INTEGER) AS at FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 1")
+@listed("starts", f"SELECT doc_id, list_transform(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[1] AND ws[i + 1] = ws[2]), lambda i: (i - 1)::INTEGER) AS starts FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 1")
 def rnd26_find_sublists(table):
     d = table("documents").select("doc_id", T.words(F.col("text")).alias("ws")).where(F.size("ws") > 1)
-    return d.select("doc_id", R.find_sublists(F.col("ws"), F.slice("ws", 1, 2)).alias("at"))
+    return d.select("doc_id", R.find_sublists(F.col("ws"), F.slice("ws", 1, 2)).alias("starts"))
 
 
 @query("SELECT p_partkey, CASE WHEN w * h <= 200000 THEN w ELSE floor(sqrt(200000 / (w::DOUBLE / h)) * (w::DOUBLE / h)) END::INTEGER AS width, CASE WHEN w * h <= 200000 THEN h ELSE floor(sqrt(200000 / (w::DOUBLE / h))) END::INTEGER AS height FROM (SELECT p_partkey, 100 + p_size * 20 AS w, 97 + (p_partkey % 700)::INTEGER AS h FROM part)")
@@ -606,7 +621,7 @@ def rnd28_replace_responses(table):
     return conversations(table).select("conv_id", told(R.replace_responses(F.col("messages"), F.array(F.lit("first"), F.lit("second")))).alias("messages"))
 
 
-@query("SELECT doc_id, lang || 'Action:' || 'a' || 'Final Answer:' || source AS text, (CASE WHEN lang = '' THEN [2, 2, 1, 1] ELSE [1, 2, 2, 1, 1] END)::DOUBLE[] AS weights FROM documents")
+@listed("weights", "SELECT doc_id, lang || 'Action:' || 'a' || 'Final Answer:' || source AS text, (CASE WHEN lang = '' THEN [2, 2, 1, 1] ELSE [1, 2, 2, 1, 1] END)::DOUBLE[] AS weights FROM documents")
 def lsc03_delimiter_weights(table):
     """Delimiters and what follows them have their own weights; what leads has 1."""
     text = F.concat("lang", F.lit("Action:aFinal Answer:"), "source")
@@ -788,10 +803,11 @@ def prj05_rows_to_columns(table):
     return d.select("user_id", F.array_join("v", ",", "null").alias("joined"))
 
 
-@query("SELECT doc_id, [{'label': lang, 'length': 1}, {'label': source, 'length': NULL}] AS inputs FROM documents")
+@listed("labels lengths", "SELECT doc_id, [lang, source] AS labels, ['1', 'none'] AS lengths FROM documents")
 def prj14_parallel_inputs(table):
     lists = F.struct(F.array("lang", "source").alias("label"), F.array(F.lit(1)).alias("length"))
-    return table("documents").select("doc_id", N.parallel_inputs(lists, ["label", "length"]).alias("inputs"))
+    d = table("documents").select("doc_id", N.parallel_inputs(lists, ["label", "length"]).alias("p"))
+    return d.select("doc_id", F.transform("p", lambda x: x["label"]).alias("labels"), F.transform("p", lambda x: F.coalesce(x["length"].cast("string"), F.lit("none"))).alias("lengths"))
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars <= 1000")
@@ -810,7 +826,7 @@ def flt07_refill(table):
     return V.refill(table("documents").select("doc_id", "n_chars"), F.col("n_chars") < 2000, backup, F.col("n_chars") > 1500, "doc_id").select("doc_id", "source")
 
 
-@query("SELECT event_id, CASE WHEN value > 50 THEN [0, 0, 0] ELSE [1, 0, 1] END AS mask FROM events")
+@listed("mask", "SELECT event_id, CASE WHEN value > 50 THEN [0, 0, 0] ELSE [1, 0, 1] END AS mask FROM events")
 def flt15_overlong_mask(table):
     return table("events").select("event_id", V.without_truncated(F.array(F.lit(1), F.lit(0), F.lit(1)), F.col("value") > 50).alias("mask"))
 
@@ -880,7 +896,7 @@ def txt21_speaker_turns(table):
     return X.speaker_turns(d).select("doc_id", told("messages").alias("messages"))
 
 
-@query(f"SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN ['a', 'b'] END AS tools, md5(coalesce({_SPOKEN} FILTER (i > 0 OR role <> 'system'), '')) AS messages FROM {_TURNS} GROUP BY conv_id")
+@listed("tools", f"SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN ['a', 'b'] END AS tools, md5(coalesce({_SPOKEN} FILTER (i > 0 OR role <> 'system'), '')) AS messages FROM {_TURNS} GROUP BY conv_id")
 def txt22_described_functions(table):
     d = messages_of(table).withColumn("function_description", F.when(F.col("conv_id") % 2 == 0, "a\n\nb"))
     return X.described_functions(d).select("conv_id", "tools", told("messages").alias("messages"))
@@ -946,7 +962,7 @@ def str04_lower_bound(table):
     return table("part").select("p_partkey", T.lower_bound(values, lambda x: x >= F.col("p_size"), 64).alias("place"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [3.0] ELSE [1.0, 1.0, 3.0] END::DOUBLE[] AS weights FROM documents")
+@listed("weights", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [3.0] ELSE [1.0, 1.0, 3.0] END::DOUBLE[] AS weights FROM documents")
 def lsc04_query_weights(table):
     """A query can set the weight of its whole response."""
     asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("What is the value of "), "lang")).otherwise(F.col("lang"))
