@@ -85,6 +85,15 @@ def test_decontamination(spark, docs, rows, none):
     assert clean.where("n_hit > 0").count() == 0 and clean.count() == len(rows)
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch, docs, rows):
+    texts = [t for _, t in rows if t and len(t.split()) > 25]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:6])], "item_id bigint, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    whole = decontaminate.contamination_report(docs, bench).select(*columns).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    same([tuple(r) for r in decontaminate.contamination_report(docs, bench).select(*columns).collect()], [tuple(r) for r in whole])
+
+
 def test_leaks_are_cut(spark):
     docs = spark.createDataFrame([(1, "Before it, one two three four five six seven EIGHT! after it.", 9), (2, "clean words", 11), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
