@@ -1,4 +1,4 @@
-"""Tool-call formats: extraction of calls from responses, and rendering of calls, results and tool lists.
+"""Tool-call formats: extraction of calls from responses, and rendering of calls and results. Tool lists are in tools.py.
 
 Each format is a parser from text to [(name, arguments)] and a renderer. A format whose own parser finds nothing falls
 back to Action / Action Input pairs, except where noted.
@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,15 +36,6 @@ def dump(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def wrap_tool(tool):
-    """{type: function, function: ...} of a bare description."""
-    return tool if isinstance(tool, dict) and "function" in tool else {"type": "function", "function": tool}
-
-
-def unwrap_tool(tool):
-    return tool["function"] if isinstance(tool, dict) and isinstance(tool.get("function"), dict) else tool
-
-
 def react_calls(text: str) -> Calls:
     found = re.findall(r"Action:(.*?)Action Input:(.*?)(?=Observation:|Action:|\Z)", text, re.S)
     return [(a.strip(), b.strip()) for a, b in found]
@@ -64,14 +56,36 @@ def json_calls(pattern: str, arguments: str = "arguments") -> Callable[[str], Ca
     return parse
 
 
-def xml_calls(block: str, name: str, parameter: str, convert: bool) -> Callable[[str], Calls]:
+def object_calls(text: str) -> Calls:
+    """Calls as bare objects of name and parameters anywhere in a text; other objects are searched for calls within."""
+    decoder, out, at = json.JSONDecoder(), [], text.find("{")
+    while at >= 0:
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            value, end = None, at + 1
+        if isinstance(value, dict) and "name" in value and "parameters" in value:
+            out.append((str(value["name"]), dump(value["parameters"])))
+        else:
+            end = at + 1
+        at = text.find("{", end)
+    return out
+
+
+def fenced_calls(text: str) -> Calls:
+    """A name and a fenced JSON body in each <tool_call>; without any, JSON objects there."""
+    found = re.findall(r"<tool_call>([^`]+?)\s*```json(.+?)```\s*</tool_call>", text, re.S)
+    return [(n.strip(), dump(parse_value(a))) for n, a in found] or json_calls(r"<tool_call>(.+?)</tool_call>")(text)
+
+
+def xml_calls(block: str, name: str, parameter: str, convert: bool, strip: bool = True) -> Callable[[str], Calls]:
     """Calls as a named block of named parameters; values as texts, or as JSON where they parse."""
 
     def parse(text: str) -> Calls:
         out = []
         for body in re.findall(block, text, re.S):
             for n, inside in re.findall(name, body, re.S):
-                args = {k: v.strip() for k, v in re.findall(parameter, inside, re.S)}
+                args = {k.strip(): v.strip() if strip else v for k, v in re.findall(parameter, inside, re.S)}
                 if convert:
                     args = {k: v if (p := parse_value(v)) is None else p for k, v in args.items()}
                 out.append((n.strip(), json.dumps(args, ensure_ascii=False)))
@@ -93,7 +107,7 @@ def key_value_calls(text: str) -> Calls:
 def name_line_calls(text: str) -> Calls:
     """A name on a line of its own, and a JSON body, once for each assistant part."""
     out = []
-    for part in text.split("<|assistant|>"):
+    for part in text.replace("<|observation|>", "").split("<|assistant|>"):
         m = re.search(r"\A\s*([\w.-]+)\n(\{.*\})", part, re.S)
         if m and parse_value(m[2]) is not None:
             out.append((m[1], m[2].strip()))
@@ -114,16 +128,22 @@ def first_block_calls(text: str) -> Calls | None:
     whole = parse_value(f"[{m[1]}]")
     values = [whole] if whole is not None else [parse_value(f"[{line.strip().rstrip(',')}]") for line in m[1].splitlines()]
     items = [i for v in values if isinstance(v, list) for i in v]
-    return [(str(i["name"]), dump(i.get("arguments", {}))) for i in items if isinstance(i, dict) and "name" in i]
+    return [(str(i["name"]), dump(i["arguments"])) for i in items if isinstance(i, dict) and "name" in i and "arguments" in i]
 
 
 @dataclass(frozen=True)
 class ToolFormat:
+    """How calls are read and written: `call` writes one of a name and a parsed value, `head` and `tail` stand around all of
+    them; `result` writes one tool's answer, `answers` holds what stands before, between and after them."""
+
     name: str
     parse: Callable[[str], Calls | None]
-    call: Callable[[str, str], str]
+    call: Callable[[str, object], str]
     result: Callable[[str], str]
-    calls_sep: str = "\n"
+    sep: str = "\n"
+    head: str = ""
+    tail: str = ""
+    answers: tuple[str, str, str] = ("", "\n", "")
     fallback: bool = True
 
     def calls(self, text: str | None) -> Calls:
@@ -133,49 +153,80 @@ class ToolFormat:
         return react_calls(text or "")
 
     def render_calls(self, calls: Calls) -> str:
-        return self.calls_sep.join(self.call(n, a) for n, a in calls)
+        """One text of all calls; arguments that are neither JSON nor a literal stand as they are."""
+        values = [(n, a if (v := parse_value(a)) is None else v) for n, a in calls]
+        return self.head + self.sep.join(self.call(n, v) for n, v in values) + self.tail if calls else ""
+
+    def render_results(self, contents: list[str]) -> str:
+        """One text of the tools' answers to one turn."""
+        before, between, after = self.answers
+        return before + between.join(self.result(c) for c in contents) + after
+
 
+def _json_call(name: str, value, key: str = "arguments") -> str:
+    return json.dumps({"name": name, key: value}, ensure_ascii=False)
 
-def _json_call(name: str, arguments: str, key: str = "arguments") -> str:
-    return json.dumps({"name": name, key: parse_value(arguments) if parse_value(arguments) is not None else arguments}, ensure_ascii=False)
 
+def _nested(value) -> str:
+    """JSON with escapes of lists and objects, the literal of other values."""
+    return json.dumps(value) if isinstance(value, (dict, list)) else str(value)
 
-def _xml(open_: str, parameter: str, close: str) -> Callable[[str, str], str]:
-    def render(name: str, arguments: str) -> str:
-        args = parse_value(arguments)
-        return open_.format(name=name) + "".join(parameter.format(k=k, v=dump(v)) for k, v in (args.items() if isinstance(args, dict) else ())) + close
+
+def _xml(open_: str, parameter: str, close: str, text: Callable[[object], str] = dump, sep: str = "") -> Callable[[str, object], str]:
+    def render(name: str, args) -> str:
+        return open_.format(name=name) + sep.join(parameter.format(k=k, v=text(v)) for k, v in (args.items() if isinstance(args, dict) else ())) + close
 
     return render
 
 
-_REACT = (lambda n, a: f"Action: {n}\nAction Input: {a}", lambda r: f"Observation:{r}")
-_FUNCTION, _PARAMETER = r"<function=([^>]+)>(.*?)</function>", r"<parameter=([^>]+)>(.*?)</parameter>"
-
-FORMATS: dict[str, ToolFormat] = {
-    f.name: f
-    for f in (
-        ToolFormat("react_en", react_calls, *_REACT),
-        ToolFormat("react_zh", react_calls, *_REACT),
-        ToolFormat("react_grpo", react_calls, *_REACT),
-        ToolFormat("toolbench", react_calls, *_REACT),
-        ToolFormat("qwen_en", lambda t: [(a.strip(), b.strip()) for a, b in re.findall(r"✿FUNCTION✿:(.*?)✿ARGS✿:(.*?)(?=✿|\Z)", t, re.S)], lambda n, a: f"✿FUNCTION✿: {n}\n✿ARGS✿: {a}", lambda r: f"✿RESULT✿: {r}\n✿RETURN✿"),
-        ToolFormat("hermes", json_calls(r"<tool_call>(.+?)</tool_call>"), lambda n, a: f"<tool_call>\n{_json_call(n, a)}\n</tool_call>", lambda r: f"<tool_response>\n{r}\n</tool_response>"),
-        ToolFormat("hunyuan_hermes", json_calls(r"<tool_call>(.+?)</tool_call>"), lambda n, a: f"<tool_call>\n{_json_call(n, a)}\n</tool_call>", lambda r: f"<tool_response>\n{r}\n</tool_response>"),
-        ToolFormat("llama3", json_calls(r"(\{[^{]*?\"name\":.*?\"parameters\":\s*?\{.*?\}\s*?\})", "parameters"), lambda n, a: _json_call(n, a, "parameters"), lambda r: json.dumps({"output": r}, ensure_ascii=False)),
-        ToolFormat("llama4", json_calls(r"(\{[^{]*?\"name\":.*?\"parameters\":\s*?\{.*?\}\s*?\})", "parameters"), lambda n, a: _json_call(n, a, "parameters"), lambda r: json.dumps({"output": r}, ensure_ascii=False)),
-        ToolFormat("chatglm4", name_line_calls, lambda n, a: f"{n}\n{a}", lambda r: r),
-        ToolFormat("glm4", name_line_calls, lambda n, a: f"{n}\n{a}", lambda r: r, "<|assistant|>"),
-        ToolFormat("glm4_5", key_value_calls, _xml("<tool_call>{name}\n", "<arg_key>{k}</arg_key>\n<arg_value>{v}</arg_value>\n", "</tool_call>"), lambda r: f"<tool_response>\n{r}\n</tool_response>"),
-        ToolFormat("glm4_7", key_value_calls, _xml("<tool_call>{name}", "<arg_key>{k}</arg_key><arg_value>{v}</arg_value>", "</tool_call>"), lambda r: f"<tool_response>{r}</tool_response>", ""),
-        ToolFormat("qwen3_coder", xml_calls(r"<tool_call>\s*(<function=.*?</function>)\s*</tool_call>", _FUNCTION, _PARAMETER, False), _xml("<tool_call>\n<function={name}>\n", "<parameter={k}>\n{v}\n</parameter>\n", "</function>\n</tool_call>"), lambda r: f"<tool_response>\n{r}\n</tool_response>"),
-        ToolFormat("qwen3_5", xml_calls(r"<tool_call>\s*(<function=.*?</function>)\s*</tool_call>", _FUNCTION, _PARAMETER, False), _xml("<tool_call>\n<function={name}>\n", "<parameter={k}>\n{v}\n</parameter>\n", "</function>\n</tool_call>"), lambda r: f"<tool_response>\n{r}\n</tool_response>"),
-        ToolFormat("deepseek_v3_1", separator_calls, lambda n, a: f"<｜tool▁call▁begin｜>{n}<｜tool▁sep｜>{a}<｜tool▁call▁end｜>", lambda r: f"<｜tool▁output▁begin｜>{r}<｜tool▁output▁end｜>", ""),
-        ToolFormat("minimax_m2", xml_calls(r"<minimax:tool_call>(.*?)</minimax:tool_call>", r"<invoke name=\"([^\"]+)\">(.*?)</invoke>", r"<parameter name=\"([^\"]+)\">(.*?)</parameter>", True), _xml('<minimax:tool_call>\n<invoke name="{name}">\n', '<parameter name="{k}">{v}</parameter>\n', "</invoke>\n</minimax:tool_call>"), lambda r: f"<response>{r}</response>"),
-        ToolFormat("mistral", first_block_calls, lambda n, a: f"[TOOL_CALLS] [{_json_call(n, a)}]</s>", lambda r: f"[TOOL_RESULTS] {r}[/TOOL_RESULTS]"),
-        ToolFormat("seed_oss", xml_calls(r"<seed:tool_call>(.*?)</seed:tool_call>", _FUNCTION, _PARAMETER, False), _xml("<seed:tool_call>\n<function={name}>\n", "<parameter={k}>{v}</parameter>\n", "</function>\n</seed:tool_call>"), lambda r: r),
-        ToolFormat("youtu", json_calls(r"<tool_call>(.+?)</tool_call>"), lambda n, a: f"<tool_call>{_json_call(n, a)}</tool_call>", lambda r: f"<tool_response>{r}</tool_response>", ""),
+def keyword_calls(action: str, given: str, stop: str) -> Callable[[str], Calls]:
+    pattern = re.compile(f"{action}(.*?){given}(.*?)(?={stop}|\\Z)", re.S)
+    return lambda text: [(n.strip(), a.strip()) for n, a in pattern.findall(text)]
+
+
+def _line(text: str) -> str:
+    return text if text.endswith("\n") else text + "\n"
+
+
+def _formats() -> Iterator[ToolFormat]:
+    json_block, json_text = json_calls(r"<tool_call>(.+?)</tool_call>"), lambda n, v: f"<tool_call>\n{_json_call(n, v)}\n</tool_call>"
+    function, parameter = r"<function=([^>]+)>(.*?)</function>", r"<parameter=([^>]+)>(.*?)</parameter>"
+    for name in ("react_en", "react_zh", "react_grpo", "toolbench"):
+        yield ToolFormat(name, react_calls, lambda n, v: f"Action: {n}\nAction Input: {v}\n", _line, "", tail="Observation:", answers=("", "Observation:", ""))
+    for name in ("qwen_en", "qwen_zh", "qwen_en_parallel", "qwen_zh_parallel"):
+        yield ToolFormat(name, keyword_calls("✿FUNCTION✿:", "✿ARGS✿:", "✿"), lambda n, v: f"✿FUNCTION✿: {n}\n✿ARGS✿: {v}\n", _line, "", tail="✿RESULT✿:", answers=("", "✿RESULT✿:", ""))
+    yield ToolFormat("hermes", json_block, json_text, lambda r: f"<tool_response>\n{r}\n</tool_response>")
+    yield ToolFormat("hunyuan_hermes", fenced_calls, json_text, lambda r: f"<tool_response>{r}</tool_response>", head="<tool_calls>\n", tail="\n</tool_calls>", answers=("<tool_responses>", "\n", "</tool_responses>"))
+    for name, start, end, stop in (("llama3", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"), ("llama4", "<|header_start|>", "<|header_end|>", "<|eot|>")):
+        yield ToolFormat(name, object_calls, lambda n, v: _json_call(n, v, "parameters"), lambda r, b=f"{start}tool{end}\n\n", e=stop: f"{b}{r}{e}", answers=(stop, "", f"{start}assistant{end}\n\n"))
+    for name in ("chatglm4", "glm4"):
+        yield ToolFormat(name, name_line_calls, lambda n, v: f"{n}\n{v}", lambda r: r, "<|assistant|>", tail="<|observation|>", answers=("\n", "<|observation|>\n", "<|assistant|>\n"))
+    yield ToolFormat("glm4_5", key_value_calls, _xml("<tool_call>{name}\n", "<arg_key>{k}</arg_key>\n<arg_value>{v}</arg_value>\n", "</tool_call>", str), lambda r: f"\n<tool_response>\n{r}\n</tool_response>", tail="<|observation|>", answers=("", "", "<|assistant|>\n"))
+    yield ToolFormat("glm4_7", key_value_calls, _xml("<tool_call>{name}", "<arg_key>{k}</arg_key><arg_value>{v}</arg_value>", "</tool_call>", str), lambda r: f"<tool_response>{r}</tool_response>", "", tail="<|observation|>", answers=("", "", "<|assistant|>"))
+    coder = xml_calls(r"<tool_call>\s*(<function=.*?</function>)\s*</tool_call>", function, parameter, False), _xml("<tool_call>\n<function={name}>\n", "<parameter={k}>\n{v}\n</parameter>\n", "</function>\n</tool_call>", _nested)
+    yield ToolFormat("qwen3_coder", *coder, lambda r: f"<tool_response>\n{r}\n</tool_response>\n", answers=("", "", ""))
+    yield ToolFormat("qwen3_5", *coder, lambda r: f"<tool_response>\n{r}\n</tool_response>")
+    yield ToolFormat("deepseek_v3_1", separator_calls, lambda n, v: f"<｜tool▁call▁begin｜>{n}<｜tool▁sep｜>{json.dumps(v, ensure_ascii=False)}<｜tool▁call▁end｜>", lambda r: f"<｜tool▁output▁begin｜>{r}<｜tool▁output▁end｜>", "", "<｜tool▁calls▁begin｜>", "<｜tool▁calls▁end｜>", ("", "", ""))
+    yield ToolFormat(
+        "minimax_m2",
+        xml_calls(r"<minimax:tool_call>(.*?)</minimax:tool_call>", r"<invoke name=\"([^\"]+)\">(.*?)</invoke>", r"<parameter name=\"([^\"]+)\">(.*?)</parameter>", True),
+        _xml('<invoke name="{name}">\n', '<parameter name="{k}">{v}</parameter>', "\n</invoke>", sep="\n"),
+        lambda r: f"<response>{r}</response>",
+        head="<minimax:tool_call>\n",
+        tail="\n</minimax:tool_call>",
+    )
+    yield ToolFormat("mistral", first_block_calls, _json_call, lambda r: f"[TOOL_RESULTS]{json.dumps({'content': r}, ensure_ascii=False)}[/TOOL_RESULTS]", head="[TOOL_CALLS][\n", tail="\n]</s>")
+    yield ToolFormat(
+        "seed_oss",
+        xml_calls(r"<seed:tool_call>(.*?)</seed:tool_call>", function, parameter, False, False),
+        _xml("<seed:tool_call>\n<function={name}>\n", "<parameter={k}>{v}</parameter>\n", "</function>\n</seed:tool_call>"),
+        lambda r: f"<seed:bos>tool\n{r}<seed:eos>",
+        answers=("<seed:eos>", "", "<seed:bos>assistant\n"),
     )
-}
+    yield ToolFormat("youtu", json_block, lambda n, v: f"<tool_call>{_json_call(n, v)}</tool_call>", lambda r: f"<tool_response>{r}</tool_response>", "")
+
+
+FORMATS: dict[str, ToolFormat] = {f.name: f for f in _formats()}
 
 
 def extract_calls(text: Column, form: str) -> Column:
@@ -218,7 +269,9 @@ def extract_react(text: Column) -> Column:
 
 
 def merge_calls(messages: Column, form: str) -> Column:
-    """Consecutive tool_call turns as one assistant turn in the format; the fold is done in Python because calls parse."""
+    """Consecutive tool_call turns as one assistant turn in the format, and consecutive answers of tools as one turn; the fold
+    is done in Python because calls parse. A content that is no call becomes the
+    arguments of an empty name."""
     kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
     tool = FORMATS[form]
 
@@ -228,18 +281,15 @@ def merge_calls(messages: Column, form: str) -> Column:
             out = []
             for ms in s:
                 made: list[dict] = []
-                calls: Calls = []
-                for m in [*(ms if ms is not None else []), None]:
-                    if m is not None and m["role"] == "tool_call":
-                        value = parse_value(m["content"]) or {}
-                        calls.append((str(value.get("name", "")), dump(value.get("arguments", {}))))
-                        continue
-                    if calls:
+                for kind, turns in groupby(ms if ms is not None else (), lambda m: {"tool": "tool_response"}.get(m["role"], m["role"])):
+                    if kind == "tool_call":
+                        values = [(m["content"] or "", parse_value(m["content"] or "")) for m in turns]
+                        calls = [(str(v["name"]), dump(v.get("arguments", v.get("parameters", {})))) if isinstance(v, dict) and "name" in v else ("", x) for x, v in values]
                         made.append({"role": "assistant", "content": tool.render_calls(calls)})
-                        calls = []
-                    if m is not None:
-                        content = tool.result(m["content"]) if m["role"] in ("tool", "tool_response") else m["content"]
-                        made.append({"role": m["role"], "content": content})
+                    elif kind == "tool_response":
+                        made.append({"role": kind, "content": tool.render_results([m["content"] or "" for m in turns])})
+                    else:
+                        made += [{"role": m["role"], "content": m["content"]} for m in turns]
                 out.append(made)
             yield pd.Series(out)
 

@@ -12,6 +12,7 @@ from parley.operators import metrics as M
 from parley.operators import ordering as O
 from parley.operators import windows as W
 from parley.operators import agent as A
+from parley.operators import tools as TL
 from parley.operators import normalize as N
 from parley.operators import pack as P
 from parley.operators import preference as S
@@ -596,16 +597,47 @@ def agt07_all_formats(table):
 
 
 _TEXT_VALUES = "('glm4_5', 'glm4_7', 'qwen3_coder', 'qwen3_5', 'seed_oss')"
+_LITERALS = "('react_en', 'react_zh', 'react_grpo', 'toolbench', 'qwen_en', 'qwen_zh', 'qwen_en_parallel', 'qwen_zh_parallel', 'chatglm4', 'glm4')"
 
 
-@query(f"""SELECT event_id, format, 'lookup' AS name, CASE WHEN format IN {_TEXT_VALUES} THEN regexp_replace(props, ': (-?[0-9.]+)', ': "\\1"', 'g') ELSE props END AS arguments
+@query(f"""SELECT event_id, format, 'lookup' AS name,
+  CASE WHEN format IN {_TEXT_VALUES} THEN regexp_replace(props, ': (-?[0-9.]+)', ': "\\1"', 'g') WHEN format IN {_LITERALS} THEN replace(props, '"', '''') ELSE props END AS arguments
 FROM events, (SELECT unnest([{", ".join(f"'{f}'" for f in A.FORMATS)}]) AS format)""")
 def agt07_all_events(table):
-    """The call of every event, rendered and extracted in every format; some formats have all values as texts."""
+    """The call of every event, rendered and extracted in every format; some formats have all values as texts, some write literals."""
     calls = table("events").select("event_id", F.explode(A.round_trips("lookup", F.col("props"))).alias("c"))
     return calls.select("event_id", "c.format", "c.name", "c.arguments")
 
 
+_SHOWN = {
+    "react_en": "n || ': Call this tool to interact with the ' || n || ' API. What is the ' || n || ' API useful for? ' || d || ' Parameters: ' || props || ' Format the arguments as a JSON object.'",
+    "hermes": "'{\"type\": \"function\", \"function\": ' || t || '}'",
+    "mistral": "'{\"type\": \"function\", \"function\": ' || t || '}'",
+    "toolbench": "t",
+    "glm4_5": "t",
+    "deepseek_v3_1": "'### ' || n || chr(10) || 'Description: ' || d || chr(10) || chr(10) || 'Parameters: ' || props",
+    "minimax_m2": "'<tool>' || t || '</tool>'",
+    "llama3": "'{' || chr(10) || '    \"name\": \"' || n || '\",' || chr(10) || '    \"description\": \"' || d || '\",' || chr(10) || '    \"parameters\": {' || chr(10) || '        ' || substr(props, 2, length(props) - 2) || chr(10) || '    }' || chr(10) || '}'",
+}  # the tool in each format
+_FILLED = "replace(replace(replace({p}, '{{{{NAMES}}}}', n), '{{{{TOOLS}}}}', {t}), '{{{{{s}}}}}', {v})"
+
+
+def _tool_prompts_sql() -> str:
+    branch = {f: _FILLED.format(p="'" + TL.PROMPTS[f].prompt.replace("'", "''") + "'", t=t, s="QUERY" if f == "llama3" else "SYSTEM", v="event_type" if f == "llama3" else "'<|system|>' || chr(10) || 'S' || user_id" if f == "glm4_5" else "'S' || user_id") for f, t in _SHOWN.items()}
+    return f"""WITH e AS (SELECT event_id, user_id, event_type, props, 'f' || user_id AS n, 'About ' || event_type AS d FROM events),
+x AS (SELECT *, '{{"name": "' || n || '", "description": "' || d || '", "parameters": ' || props || '}}' AS t FROM e)
+{" UNION ALL ".join(f"SELECT event_id, '{f}' AS format, md5({'chr(83) || user_id' if f == 'llama3' else s}) AS system, md5({s if f == 'llama3' else 'event_type'}) AS query FROM x" for f, s in branch.items())}"""
+
+
+@query(_tool_prompts_sql())
+def agt13_tool_prompts(table):
+    """A tool of every event's own name, description and parameters, shown in the system prompt or query of formats."""
+    tools = F.concat(F.lit('[{"name": "f'), F.col("user_id").cast("string"), F.lit('", "description": "About '), "event_type", F.lit('", "parameters": '), "props", F.lit("}]"))
+    system = F.concat(F.lit("S"), F.col("user_id").cast("string"))
+    made = table("events").select("event_id", F.explode(F.array(*[F.struct(F.lit(f).alias("format"), TL.tool_prompt(tools, system, F.col("event_type"), f).alias("p")) for f in _SHOWN])).alias("c"))
+    return made.select("event_id", "c.format", F.md5("c.p.system").alias("system"), F.md5("c.p.query").alias("query"))
+
+
 @query("SELECT doc_id, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def jon03_semi_join(table):
     return table("labels").join(table("documents").where("lang = 'en'"), "doc_id", "left_semi").select("doc_id", "toxic")

@@ -1,11 +1,13 @@
 """Goldens and invariants of rendering, packing, rewards, agents, metrics and streams."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import agent as A
+from parley.operators import tools as TL
 from parley.operators import groupstats as G
 from parley.operators import metrics as M
 from parley.operators import normalize as N
@@ -87,6 +89,56 @@ def test_merge_calls(spark):
     ms = chat(("user", "u"), ("tool_call", '{"name": "f", "arguments": {"a": 1}}'), ("tool_response", "ok"), ("assistant", "done"))
     got = value(spark, A.merge_calls(ms, "hermes"))
     assert [m.role for m in got] == ["user", "assistant", "tool_response", "assistant"] and '"name": "f"' in got[1].content
+    two = chat(("tool_call", '{"name": "f", "parameters": {"a": 1}}'), ("tool_call", '{"name": "g", "arguments": {}}'), ("tool", "x"), ("tool_response", "y"))
+    assert [(m.role, m.content) for m in value(spark, A.merge_calls(two, "minimax_m2"))] == [
+        ("assistant", '<minimax:tool_call>\n<invoke name="f">\n<parameter name="a">1</parameter>\n</invoke>\n<invoke name="g">\n\n</invoke>\n</minimax:tool_call>'),
+        ("tool_response", "<response>x</response>\n<response>y</response>"),
+    ]
+    assert [m.content for m in value(spark, A.merge_calls(two, "react_en"))] == ["Action: f\nAction Input: {'a': 1}\nAction: g\nAction Input: {}\nObservation:", "x\nObservation:y\n"]
+    assert [m.content for m in value(spark, A.merge_calls(chat(("tool_call", "not a call")), "hermes"))] == ['<tool_call>\n{"name": "", "arguments": "not a call"}\n</tool_call>']
+
+
+def test_bare_objects_with_nested_arguments():
+    said = 'Sure. {"name": "f", "parameters": {"a": {"b": "}{"}, "c": [1, {}]}} and {"x": {"name": "g", "parameters": {}}} {"name": "h"} {'
+    assert A.FORMATS["llama3"].calls(said) == [("f", '{"a": {"b": "}{"}, "c": [1, {}]}'), ("g", "{}")]
+    assert A.FORMATS["hunyuan_hermes"].calls('<tool_calls>\n<tool_call>f\n```json\n{"a": 1}\n```</tool_call>\n</tool_calls>') == [("f", '{"a": 1}')]
+    assert A.FORMATS["seed_oss"].calls("<seed:tool_call><function=f><parameter=a> 1 </parameter></function></seed:tool_call>") == [("f", '{"a": " 1 "}')]
+
+
+TOOLS = [
+    {"type": "function", "function": {"name": "tides", "description": "High water at a port", "parameters": {"type": "object", "properties": {"port": {"type": "string", "description": " Its name "}, "day": {"type": "integer", "minimum": 1}}, "required": ["port"]}}},
+    {"name": "knots", "description": "Speed", "returns": {"properties": {"speed": {"type": "number", "description": "in knots"}}}},
+]
+
+
+FIXED_LENGTHS = {"react_en": 530, "react_zh": 254, "react_grpo": 987, "toolbench": 1427, "qwen_en": 389, "qwen_zh": 147, "qwen_en_parallel": 522, "qwen_zh_parallel": 258, "hermes": 374, "hunyuan_hermes": 436, "llama3": 270, "llama4": 270, "chatglm4": 85, "glm4": 8, "glm4_5": 445, "glm4_7": 439, "qwen3_coder": 890, "qwen3_5": 888, "deepseek_v3_1": 506, "minimax_m2": 414, "mistral": 35, "seed_oss": 0, "youtu": 356}
+
+
+def test_tool_prompts():
+    """The lengths are of the fixed texts; each format shows every tool and the system prompt where it has a place."""
+    import re
+
+    fixed = {k: len(re.sub(r"\{\{[A-Z]+\}\}", "", p.prompt)) for k, p in TL.PROMPTS.items()}
+    assert fixed == FIXED_LENGTHS
+    assert set(TL.PROMPTS) == set(A.FORMATS)
+    for form in TL.PROMPTS:
+        system, query = TL.fill_prompt(form, TOOLS, "Be {{TOOLS}} brief.", "When?")
+        both = system + query
+        assert both.count("tides") and both.count("knots") and both.count("When?") == 1
+        assert ("Be {{TOOLS}} brief." in system) == (form not in ("react_en", "react_zh", "react_grpo", "toolbench", "chatglm4", "glm4")) or form in ("chatglm4", "glm4")
+    assert TL.fill_prompt("glm4_7", TOOLS)[0].startswith("\n# Tools") and TL.fill_prompt("qwen3_coder", TOOLS)[0].startswith("You are Qwen")
+    assert "def tides(port: str,day: int):" in TL.fill_prompt("seed_oss", TOOLS)[0] and "    - speed (int): in knots" in TL.fill_prompt("seed_oss", TOOLS)[0]
+    coder = TL.fill_prompt("qwen3_coder", TOOLS)[0]
+    assert "<name>day</name>\n<type>integer</type>\n<minimum>1</minimum>\n</parameter>\n<required>[\"port\"]</required>\n</parameters>" in coder
+
+
+def test_tool_prompts_of_rows(spark):
+    rows = [(1, json.dumps(TOOLS), "S", "q"), (2, None, "S", "q"), (3, "[]", None, None), (4, '[{"description": "nameless"}]', "S", "q"), (5, "no list", "S", "q"), (6, json.dumps([json.dumps(t) for t in TOOLS]), None, "q")]
+    d = spark.createDataFrame(rows, "i int, t string, s string, q string")
+    got = {r.i: r.p for r in d.select("i", TL.tool_prompt(F.col("t"), F.col("s"), F.col("q"), "react_en").alias("p")).collect()}
+    assert got[1].system == got[6].system and "one of [tides,knots]" in got[1].system and got[1].query == "q"
+    assert (got[2].system, got[2].query) == ("S", "q") and (got[3].system, got[3].query) == (None, None)
+    assert (got[4].system, got[4].query) == (None, None) and (got[5].system, got[5].query) == ("S", "q")
 
 
 def test_sampling_counts(spark):
@@ -168,7 +220,7 @@ def test_round_trips_of_own_arguments(spark):
     got = {r.i: r.c for r in d.select("i", A.round_trips("lookup", F.col("a")).alias("c")).collect()}
     for i, k in ((1, 7), (2, 88)):
         assert [c.format for c in got[i]] == list(A.FORMATS) and {c.name for c in got[i]} == {"lookup"}
-        assert {c.arguments for c in got[i]} == {f'{{"k": {k}}}', f'{{"k": "{k}"}}'}
+        assert {c.arguments for c in got[i]} == {f'{{"k": {k}}}', f'{{"k": "{k}"}}', f"{{'k': {k}}}"}
     assert got[3] is None
 
 
