@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import ngrams, words
+from parley.operators.ordering import running
 from parley.operators.windows import groups_at
 
 
@@ -102,18 +104,10 @@ def manhattan(a: Column, b: Column) -> Column:
 SIMILARITIES = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b), "manhattan": lambda a, b: -manhattan(a, b)}
 
 
-def average_rank(df: DataFrame, value: str, out: str, buckets: int = 4096) -> DataFrame:
-    """Ranks with ties averaged. Ties are aggregated first; running counts are taken within buckets of the value and over
-    the bucket totals, of which there are at most `buckets`."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    span = float(high - low) if low is not None and high > low else 1.0
+def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Ranks with ties averaged. Ties are aggregated first; counts run within quantile buckets of the distinct values."""
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_b", F.floor((F.col("_v") - F.lit(low or 0)) / span * (buckets - 1)))
-    so_far = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.groupBy("_b").agg(F.sum("_n").alias("_t")).select(F.col("_b").alias("_c"), F.coalesce(F.sum("_t").over(so_far), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_inside", inside).join(F.broadcast(starts), F.col("_b").eqNullSafe(F.col("_c")))
-    ranks = ranks.select("_v", (F.col("_start") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(out))
+    ranks = running(counts, F.col("_n"), [], "_v", "_up").select("_v", (F.col("_up") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
@@ -138,19 +132,30 @@ def infonce_margins(queries: DataFrame, docs: DataFrame, query_vec: str, doc_vec
 def infonce_loss(pairs: DataFrame, query: str, positive: str, score: str, temperature: float = 0.01, false_negative_margin: float | None = None) -> DataFrame:
     """One row: mean of -log softmax of the positive over all scores of its query. A negative whose score exceeds the
     positive's by the margin is left out as a false negative."""
-    d = pairs.withColumn("_p", F.max(F.when(F.col(positive) == 1, F.col(score))).over(Window.partitionBy(query)))
+    # a query's scores are reduced where they lie: its ends first, then a sum of powers
+    ends = pairs.groupBy(F.col(query).alias("_by")).agg(F.max(F.when(F.col(positive) == 1, F.col(score))).alias("_p"), F.max(score).alias("_m"))
+    d = pairs.join(ends, F.col(query).eqNullSafe(F.col("_by")))
+    top = F.col("_m")
     if false_negative_margin is not None:
         d = d.where((F.col(positive) == 1) | (F.col(score) <= F.col("_p") + false_negative_margin))
-    per = d.groupBy(query).agg(F.max("_p").alias("p"), F.max(score).alias("m"), F.collect_list(score).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp((x - F.col("m")) / temperature))
-    return per.agg(F.avg(F.ln(total) - (F.col("p") - F.col("m")) / temperature).alias("loss"))
+        top = F.least(top, F.col("_p") + false_negative_margin)
+    return _softmax_loss(d, [query], score, top, F.col("_p"), temperature)
+
+
+def _softmax_loss(df: DataFrame, by: list[str], score: str, top: Column, positive: Column, temperature: float) -> DataFrame:
+    """One row: mean over groups of -log softmax of the positive's score; top is at least the scores and near to one."""
+    d = df.withColumns({"_top": top, "_positive": positive})
+    per = d.groupBy(*by).agg(F.sum(F.exp((F.col(score) - F.col("_top")) / temperature)).alias("z"), F.max("_top").alias("m"), F.max("_positive").alias("p"))
+    return per.agg(F.avg(F.ln("z") - (F.col("p") - F.col("m")) / temperature).alias("loss"))
 
 
 def listwise_loss(df: DataFrame, score: str, label: str, order: str, by: list[str] = (), temperature: float = 1.0, least: int = 2) -> DataFrame:
     """One row: mean over groups that begin at label 1 of -log softmax of the first member."""
-    g = groups_at(df, F.col(label) == 1, by, order).where("grp > 0").groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("m"), F.min_by(score, order).alias("p"), F.collect_list(score).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp((x - F.col("m")) / temperature))
-    return g.where(F.col("n") >= least).agg(F.avg(F.ln(total) - (F.col("p") - F.col("m")) / temperature).alias("loss"))
+    g = groups_at(df, F.col(label) == 1, by, order).where("grp > 0")
+    ends = g.groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("_n"), F.max(score).alias("_m"), F.min_by(score, order).alias("_p")).where(F.col("_n") >= least)
+    ends = ends.withColumnsRenamed({c: f"_by_{c}" for c in [*by, "grp"]})
+    d = g.join(ends, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_by_{c}")), by, F.col("grp") == F.col("_by_grp")))
+    return _softmax_loss(d, [*by, "grp"], score, F.col("_m"), F.col("_p"), temperature)
 
 
 def pair_losses(df: DataFrame, a: str, b: str, label: str, margin: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most buckets (a power of two), and rows that a bucket of key order should have at least.
 BUCKETS, BUCKET_ROWS = 4096, 2000
@@ -43,10 +44,16 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rn", by: lis
 def quantile_bucket(df: DataFrame, key: str) -> Column:
     """The number of the approximate quantile that a numeric key is in: buckets have about equal rows however the keys are
     spread. Null is before all others. Quantiles come from one pass with mergeable sketches; a row's is found by bisection."""
+    found = _bucket(df, key)
+    return F.lit(0) if found is None else found
+
+
+def _bucket(df: DataFrame, key: str) -> Column | None:
+    """quantile_bucket, or None where a single bucket holds all rows."""
     rows = df.count()
     levels = min(BUCKETS, 1 << max(0, (rows // BUCKET_ROWS).bit_length()))
     if levels < 2:
-        return F.lit(0)
+        return None
     points = df.agg(F.percentile_approx(key, [(i + 1) / levels for i in range(levels - 1)], 4 * levels).alias("p")).first()["p"]
     kind = df.schema[key].dataType.simpleString()
     bounds = F.split(F.lit(",".join(map(str, points or []))), ",").cast(f"array<{kind}>")
@@ -54,6 +61,46 @@ def quantile_bucket(df: DataFrame, key: str) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= F.col(key), F.lit(False)), at + step).otherwise(at))
 
 
+def _match(names: list[str]) -> Column:
+    """Equality of columns with those of the other side of a join, which are named alike behind a mark."""
+    return reduce(lambda a, c: a & F.col(f"`{c}`").eqNullSafe(F.col(f"`_by_{c}`")), names, F.lit(True))
+
+
+def running(df: DataFrame, value: Column, by: list[str], order: str, out: str, previous: str | None = None) -> DataFrame:
+    """df with out: the sum of value over the rows up to each one in the order, within `by`.
+
+    Sums are taken within buckets of the order and over the buckets' totals, so neither a whole table nor a hot group is one
+    task's. An order that isn't numeric has one bucket. With `previous`, value may use the column _before: a struct of that
+    column of the row before, null in the first row.
+    """
+    numeric = isinstance(df.schema[order].dataType, T.NumericType)
+    bucket = _bucket(df, order) if numeric else None
+    slot = [] if bucket is None else ["_slot"]
+    d = df if bucket is None else df.withColumn("_slot", bucket)
+    ordered = Window.partitionBy(*by, *slot).orderBy(order)
+    earlier = Window.partitionBy(*by).orderBy("_slot")
+
+    def per_slot(total: Column, name: str, before: Column) -> DataFrame:
+        """A row for each bucket of each group with what the buckets before it come to."""
+        sums = d.groupBy(*by, "_slot").agg(total.alias("_t")).withColumn(name, before)
+        return sums.select(*[F.col(f"`{c}`").alias(f"_by_{c}") for c in [*by, "_slot"]], name)
+
+    marks = [f"_by_{c}" for c in [*by, "_slot"]]
+    if previous is not None:
+        d = d.withColumn("_before", F.lag(F.struct(F.col(previous).alias("v"))).over(ordered))
+        if slot:
+            ends = per_slot(F.max_by(F.struct(F.col(previous).alias("v")), F.struct(order)), "_end", F.lag("_t").over(earlier))
+            d = d.join(ends, _match([*by, "_slot"])).withColumn("_before", F.coalesce("_before", "_end")).drop("_end", *marks)
+    d = d.withColumn("_addend", value)
+    d = d.withColumn(out, F.sum("_addend").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    if slot:
+        so_far = F.sum("_t").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+        starts = per_slot(F.sum("_addend"), "_start", so_far)
+        # a null sum has no values so far; it stays null where none came before either
+        d = d.join(starts, _match([*by, "_slot"])).withColumn(out, F.coalesce(F.col(out) + F.col("_start"), F.col(out), F.col("_start"))).drop("_start", *marks)
+    return d.drop("_slot", "_addend", "_before")
+
+
 def key_rank(df: DataFrame, key: str, name: str = "rn", by: list[str] = ()) -> DataFrame:
     """Rank by a numeric key."""
     return global_rank(df, [F.col(key)], quantile_bucket(df, key), name, by)

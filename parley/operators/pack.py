@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ def best_fit(items: list[tuple[int, int]], most: int, finished: bool = True) ->
     key. An item beyond the limit has a bin of its own. Unless finished, the last bin is carried."""
     bins: list[list[tuple[int, int]]] = []
     room: list[tuple[int, int]] = []  # (room left, -bin)
-    for key, length in sorted(items, key=lambda x: (-x[1], x[0])):
+    for key, length in sorted(items, key=lambda x: (-x[1], x[0] is not None, x[0])):
         at = bisect_right(room, (length, -len(bins) - 1))
         if at < len(room):
             left, b = room.pop(at)
@@ -29,31 +29,51 @@ def best_fit(items: list[tuple[int, int]], most: int, finished: bool = True) ->
     return bins[:-1], bins[-1]
 
 
-def pack_table(df: DataFrame, key: str, length: str, most: int, shards: int = 1, chunk: int = 1000) -> DataFrame:
+#: Rows of a shard where the number of shards isn't given.
+SHARD_ROWS = 1_000_000
+
+
+def pack_table(df: DataFrame, key: str, length: str, most: int, shards: int | None = None, chunk: int = 1000) -> DataFrame:
     """(key, length, shard, pack, pos): rows dealt to contiguous shards, packed in chunks whose last bin is carried over.
-    More shards pack in parallel and change the packs at their edges only; a task holds one chunk and its carry."""
+    More shards pack in parallel and change the packs at their edges only; without a number, there is one for a million
+    rows. A null length is 0. A task reads its shards in order of the key and holds one chunk
+    and its carry."""
     from parley.operators.ordering import shard_contiguous
 
-    dealt = shard_contiguous(df.select(key, length), shards, key, "shard")
+    if shards is None:
+        shards = max(1, -(-df.count() // SHARD_ROWS))
+    dealt = shard_contiguous(df.select(F.col(key).alias("key"), F.coalesce(F.col(length).cast("bigint"), F.lit(0)).alias("length")), shards, "key", "shard")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, made, rows, carry, kind = None, 0, [], [], None
+
+        def pack(finished: bool) -> list[tuple]:
+            nonlocal made, rows, carry
+            bins, carry = best_fit(carry + rows, most, finished)
+            out = [(k, x, shard, made + i, j) for i, b in enumerate(bins) for j, (k, x) in enumerate(b)]
+            made, rows = made + len(bins), []
+            return out
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            types = {"key": kind, "length": pa.int64(), "shard": pa.int32(), "pack": pa.int64(), "pos": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types.values())], list(types))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            shard = int(p["shard"].iloc[0])
-            rows = sorted(zip(p[key].tolist(), p[length].tolist()))
-            carry: list[tuple[int, int]] = []
-            out, n = [], 0
-            for at in range(0, max(len(rows), 1), chunk):
-                bins, carry = best_fit(carry + rows[at : at + chunk], most, at + chunk >= len(rows))
-                for b in bins:
-                    out += [(k, x, shard, n, i) for i, (k, x) in enumerate(b)]
-                    n += 1
-            yield pd.DataFrame(out, columns=["key", "length", "shard", "pack", "pos"])
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        return next(run(iter([p])))
+            out, kind = [], p.schema.field("key").type
+            for s, k, x in zip(*[p.column(c).to_pylist() for c in ("shard", "key", "length")]):
+                if s != shard:
+                    out += pack(True)
+                    shard, made = s, 0
+                elif len(rows) == chunk:  # more of the shard follows
+                    out += pack(False)
+                rows.append((k, x))
+            yield batch(out)
+        if rows or carry:
+            yield batch(pack(True))
 
     kind = df.schema[key].dataType.simpleString()
-    return dealt.groupBy("shard").applyInPandas(one, f"key {kind}, length bigint, shard int, pack bigint, pos bigint").withColumnsRenamed({"key": key, "length": length})
+    placed = dealt.repartition("shard").sortWithinPartitions("shard", "key")
+    return placed.mapInArrow(run, f"key {kind}, length bigint, shard int, pack bigint, pos bigint").withColumnsRenamed({"key": key, "length": length})
 
 
 def packed_rows(packed: DataFrame, values: DataFrame, key: str, arrays: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.ordering import key_rank, running
+
 
 def previous_in_batch(df: DataFrame, value: str, batch: str, order: str, out: str = "rejected_response") -> DataFrame:
     """Each row gets the value of the row before it in its batch, the first one that of the batch's last row."""
@@ -48,8 +50,6 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def dense_ids(df: DataFrame, key: str, order: str, out: str = "prompt_id") -> DataFrame:
     """Dense ids of key in order of first appearance, from 0. Distinct keys are ranked, not rows."""
-    from parley.operators.ordering import key_rank
-
     first = key_rank(df.groupBy(key).agg(F.min(order).alias("_first")), "_first", "_rank")
     named = first.select(F.col(key).alias("_key"), (F.col("_rank") - 1).alias(out))
     return df.join(named, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
@@ -57,8 +57,7 @@ def dense_ids(df: DataFrame, key: str, order: str, out: str = "prompt_id") -> Da
 
 def groups_at(df: DataFrame, starts: Column, by: list[str], order: str, out: str = "grp") -> DataFrame:
     """Number of rows so far, within `by`, at which a group starts; 0 before the first one."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    return running(df, F.when(starts, 1).otherwise(0), by, order, out)
 
 
 def sessions(df: DataFrame, starts: Column, by: list[str], order: str, items: list[str]) -> DataFrame:
@@ -69,8 +68,7 @@ def sessions(df: DataFrame, starts: Column, by: list[str], order: str, items: li
 
 def running_boundaries(df: DataFrame, length: str, by: list[str], order: str) -> DataFrame:
     """start and end of each row in the concatenation of its group."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("end", F.sum(length).over(w)).withColumn("start", F.col("end") - F.col(length))
+    return running(df, F.col(length), by, order, "end").withColumn("start", F.col("end") - F.col(length))
 
 
 def position_ids(lengths: Column) -> Column:
@@ -86,13 +84,13 @@ def shifted_pairs(labels: Column, preds: Column) -> Column:
 
 def runs(df: DataFrame, value: str, by: list[str], order: str, out: str = "run") -> DataFrame:
     """Number of the run of equal values that a row is in."""
-    w = Window.partitionBy(*by).orderBy(order)
-    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
-    return df.withColumn("_changed", changed.cast("int")).withColumn(out, F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+    same = F.col("_before").isNotNull() & F.col(value).eqNullSafe(F.col("_before.v"))
+    return running(df, F.when(same, 0).otherwise(1), by, order, out, value)
 
 
 def early_stop(df: DataFrame, metric: str, order: str, by: list[str] = (), patience: int = 3, greater: bool = True) -> DataFrame:
-    """stale: evaluations since the best metric last improved strictly; stop where it reaches the patience."""
+    """stale: evaluations since the best metric last improved strictly; stop where it reaches the patience. A row is an
+    evaluation of a training run, so a group is short."""
     w = Window.partitionBy(*by).orderBy(order)
     best = (F.max if greater else F.min)(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
     better = best.isNull() | ((F.col(metric) > best) if greater else (F.col(metric) < best))

@@ -61,6 +61,38 @@ def test_pack_table(spark):
     packed = P.pack_table(df, "id", "n", 100, shards=3)
     assert packed.select("id").distinct().count() == 2500
     assert packed.groupBy("shard", "pack").agg(F.sum("n").alias("s")).agg(F.max("s")).first()[0] <= 100
+    rows = [(i, i * 37 % 50 + 1) for i in range(2500)]
+    carry, bins = [], []
+    for at in range(0, 2500, 1000):
+        made, carry = P.best_fit(carry + rows[at : at + 1000], 100, at + 1000 >= 2500)
+        bins += made
+    got = P.pack_table(df, "id", "n", 100).collect()  # a single shard, as one sequential run over chunks
+    assert {(r.id, r["pack"], r.pos) for r in got} == {(k, i, j) for i, b in enumerate(bins) for j, (k, _) in enumerate(b)}
+    odd = spark.createDataFrame([(1, None), (None, 7), (2, 500)], "id int, n int")
+    assert sorted((r.id or 0, r.n) for r in P.pack_table(odd, "id", "n", 100).collect()) == [(0, 7), (1, 0), (2, 500)]
+    assert P.pack_table(df.limit(0), "id", "n", 100).count() == 0
+
+
+def test_running_sums_and_runs_over_buckets(spark):
+    """Buckets of the order, with a hot group, an outlier, nulls and ties of no groups, give what one pass gives."""
+    n = 9000
+    rows = [(None if i == 5 else 10**15 if i == n - 1 else i, i % 3 if i % 2 else None, None if i % 7 == 0 else i % 5 // 2) for i in range(n)]
+    df = spark.createDataFrame(rows, "o bigint, g int, v int")
+    for by in ([], ["g"]):
+        sums, before, want, runs = {}, {}, {}, {}
+        for o, g, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+            k = g if by else 0
+            if v is not None:
+                sums[k] = sums.get(k, 0) + v
+            fresh = k not in before or before[k][0] != v
+            before[k] = (v, before.get(k, (0, 0))[1] + fresh)
+            want[o], runs[o] = sums.get(k), before[k][1]
+        assert {r.o: r.s for r in O.running(df, F.col("v"), by, "o", "s").collect()} == want
+        assert {r.o: r["run"] for r in W.runs(df, "v", by, "o").collect()} == runs
+        assert W.runs(df, "v", by, "o").columns == ["o", "g", "v", "run"]
+    text = spark.createDataFrame([("b", 1), ("a", 2)], "o string, v int")
+    assert {r.o: r.s for r in O.running(text, F.col("v"), [], "o", "s").collect()} == {"a": 2, "b": 3}
+
 
 
 def test_rewards(spark):
