@@ -104,19 +104,20 @@ def manhattan(a: Column, b: Column) -> Column:
 SIMILARITIES = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b), "manhattan": lambda a, b: -manhattan(a, b)}
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks with ties averaged. Ties are aggregated first; counts run within quantile buckets of the distinct values."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running(counts, F.col("_n"), [], "_v", "_up").select("_v", (F.col("_up") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(_value, out): the rank of each distinct value with ties averaged. Ties are aggregated first; counts run within
+    quantile buckets of the distinct values."""
+    counts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    return running(counts, F.col("_n"), [], "_value", "_up").select("_value", (F.col("_up") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
 
 
 def paired_metrics(pairs: DataFrame, a: str, b: str, label: str) -> DataFrame:
     """One row: Pearson and Spearman correlation of the label with each similarity of the pair."""
     d = pairs.select(F.col(label).cast("double").alias("label"), *[f(F.col(a), F.col(b)).alias(k) for k, f in SIMILARITIES.items()])
+    ranked = d
     for k in ("label", *SIMILARITIES):
-        d = average_rank(d, k, f"rank_{k}")
-    return d.agg(*[x for k in SIMILARITIES for x in (F.corr("label", k).alias(f"pearson_{k}"), F.corr("rank_label", f"rank_{k}").alias(f"spearman_{k}"))])
+        ranked = ranked.join(value_ranks(d, k, f"rank_{k}"), F.col(k).eqNullSafe(F.col("_value"))).drop("_value")
+    return ranked.agg(*[x for k in SIMILARITIES for x in (F.corr("label", k).alias(f"pearson_{k}"), F.corr("rank_label", f"rank_{k}").alias(f"spearman_{k}"))])
 
 
 def infonce_margins(queries: DataFrame, docs: DataFrame, query_vec: str, doc_vec: str, query_key: str, doc_key: str, block: str) -> DataFrame:
