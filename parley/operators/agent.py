@@ -216,9 +216,11 @@ def _formats() -> Iterator[ToolFormat]:
         tail="\n</minimax:tool_call>",
     )
     yield ToolFormat("mistral", first_block_calls, _json_call, lambda r: f"[TOOL_RESULTS]{json.dumps({'content': r}, ensure_ascii=False)}[/TOOL_RESULTS]", head="[TOOL_CALLS][\n", tail="\n]</s>")
+    block = re.compile(r"<seed:tool_call>.+?</seed:tool_call>", re.S)
+    seed = xml_calls(r"<seed:tool_call>(.*?)</seed:tool_call>", function, parameter, False, False)
     yield ToolFormat(
         "seed_oss",
-        xml_calls(r"<seed:tool_call>(.*?)</seed:tool_call>", function, parameter, False, False),
+        lambda t: (seed(t) or None) if block.search(t) else [],  # a block without calls means none
         _xml("<seed:tool_call>\n<function={name}>\n", "<parameter={k}>{v}</parameter>\n", "</function>\n</seed:tool_call>"),
         lambda r: f"<seed:bos>tool\n{r}<seed:eos>",
         answers=("<seed:eos>", "", "<seed:bos>assistant\n"),

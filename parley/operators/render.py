@@ -54,7 +54,7 @@ TEMPLATES = {
         Template("chatml", "", "<|im_start|>user\n{{QUERY}}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>\n", "<|im_end|>\n", "<|im_start|>system\n{{SYSTEM}}<|im_end|>\n", stop_words=("<|im_end|>",)),
         Template("chatml_default", "", "<|im_start|>user\n{{QUERY}}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>\n", "<|im_end|>\n", "<|im_start|>system\n{{SYSTEM}}<|im_end|>\n", "You are a helpful assistant.", ("<|im_end|>",)),
         Template("header", "<|begin_of_text|>", "<|start_header_id|>user<|end_header_id|>\n\n{{QUERY}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>", "<|eot_id|>", "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{{SYSTEM}}<|eot_id|>", stop_words=("<|eot_id|>",)),
-        Template("inst", "<s>", "[INST] {{QUERY}} [/INST]", "</s>", "</s>", "<s>[INST] <<SYS>>\n{{SYSTEM}}\n<</SYS>>\n\n", stop_words=("</s>",)),
+        Template("inst", "<s>[INST] ", "{{QUERY}} [/INST]", "</s><s>[INST] ", "</s>", "<s>[INST] <<SYS>>\n{{SYSTEM}}\n<</SYS>>\n\n", stop_words=("</s>",)),
     )
 }
 

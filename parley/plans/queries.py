@@ -649,4 +649,4 @@ def jon04_cache_rest(table):
     return S.cached_choices(table("documents").select("doc_id"), cache, "doc_id", 2)[1]
 
 
-from parley.plans import operator_queries  # noqa: E402, F401  (registers its queries)
+from parley.plans import format_queries, operator_queries  # noqa: E402, F401  (they register their queries)
