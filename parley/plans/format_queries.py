@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import agent as A
+from parley.operators import encode as E
 from parley.operators import normalize as N
 from parley.operators import render as R
 from parley.plans.load import load
-from parley.plans.queries import _CHAT, _SYSTEMS, ORACLE_SQL, QUERIES, conversations, query
+from parley.plans.queries import _CHAT, _RENDERED, _SYSTEMS, ORACLE_SQL, QUERIES, conversations, query
 from parley.sources.readers import read_file, read_folder
 
 # ---------------------------------------------------------------- calls and answers of tools
@@ -162,3 +163,59 @@ def _load_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     train, val = load(spark, [path, path], ratio=0.05, columns={"source": "query", "text": "response"})
     return train.select(F.lit(1).alias("t"), F.lit(0).alias("v")).unionAll(val.select(F.lit(0), F.lit(1))).agg(F.sum("t").alias("train"), F.sum("v").alias("val"))
+
+
+# ---------------------------------------------------------------- encoding
+
+
+def _bytes_digest():
+    return F.md5(F.array_join(F.transform("input_ids", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("ids")
+
+
+_BYTES = f"""{_CHAT}, x AS (SELECT conv_id, {_RENDERED} AS body, coalesce(sum(CASE WHEN j % 2 = 1 THEN octet_length(encode(text)) END), 0) + CASE WHEN max(j) % 2 = 1 THEN 11 ELSE 0 END AS trained FROM l GROUP BY conv_id),
+h AS (SELECT conv_id, coalesce(trained, 0)::BIGINT AS trained, hex(encode(coalesce('<|im_start|>system' || chr(10) || system || '<|im_end|>' || chr(10), '') || coalesce(body, ''))) AS hex FROM {_SYSTEMS} LEFT JOIN x USING (conv_id))"""
+
+
+@query(f"{_BYTES} SELECT conv_id, (length(hex) // 2)::INTEGER AS length, md5(hex) AS ids, trained FROM h")
+def rnd01_encode(table):
+    """Whole conversations as ids and labels, of a tokenizer of bytes."""
+    d = E.encode(conversations(table), R.TEMPLATES["chatml"], E.Encoder())
+    return d.select("conv_id", "length", _bytes_digest(), F.size(F.filter("labels", lambda y: y != E.IGNORE)).cast("bigint").alias("trained"))
+
+
+@query(f"{_BYTES} SELECT conv_id, least(length(hex) // 2, 512)::INTEGER AS length, md5(right(hex, 1024)) AS ids FROM h")
+def rnd19_encode_left(table):
+    """Cut to the last 512 tokens."""
+    return E.encode(conversations(table), R.TEMPLATES["chatml"], E.Encoder(most=512, strategy="left")).select("conv_id", "length", _bytes_digest())
+
+
+@query(f"{_BYTES} SELECT conv_id, md5(substr(hex, 1 + w * 1024, 1024)) AS ids, (length(substr(hex, 1 + w * 1024, 1024)) // 2)::INTEGER AS length FROM (SELECT *, unnest(range(greatest((length(hex) + 1023) // 1024, 1))) AS w FROM h)")
+def rnd19_encode_split(table):
+    """Windows of 512 tokens."""
+    return E.encode(conversations(table), R.TEMPLATES["chatml"], E.Encoder(most=512, strategy="split")).select("conv_id", _bytes_digest(), "length")
+
+
+@query(f"{_BYTES} SELECT conv_id, (length(hex) // 2)::INTEGER AS length FROM h WHERE length(hex) <= 4096")
+def flt05_encode_delete(table):
+    """What is longer than 2,048 tokens goes."""
+    return E.encode(conversations(table), R.TEMPLATES["chatml"], E.Encoder(most=2048)).select("conv_id", "length")
+
+
+@query(f"{_BYTES} SELECT conv_id, (length(hex) // 2)::INTEGER AS chosen_length, (length(hex) // 2)::INTEGER AS rejected_length, trained AS chosen_trained FROM h")
+def rnd21_encode_preference(table):
+    """A pair of equal conversations."""
+    d = conversations(table).withColumn("rejected_messages", F.col("messages"))
+    d = E.encode_preference(d, R.TEMPLATES["chatml"], E.Encoder())
+    return d.select("conv_id", "chosen_length", "rejected_length", F.size(F.filter("chosen_labels", lambda y: y != E.IGNORE)).cast("bigint").alias("chosen_trained"))
+
+
+@query()
+def rnd01_encode_bpe(table):
+    """Every document as the answer to its source, in ids of a public byte-level tokenizer; tests hold the ids against the
+    tokenizer's own library."""
+    import public_tokenizers
+
+    spec = E.Tokenizer("ranks", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    d = table("documents").select("doc_id", F.array(N.message("user", F.coalesce("source", F.lit(""))), N.message("assistant", F.coalesce("text", F.lit("")))).alias("messages"))
+    d = E.encode(d, R.TEMPLATES["chatml"], E.Encoder(spec))
+    return d.select("doc_id", "length", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids"), F.size(F.filter("labels", lambda y: y != E.IGNORE)).alias("trained"))
