@@ -47,8 +47,9 @@ ENCODINGS = (
 )
 #: Changes of class per character in general successions, false-discovery rate, least p of the battery, bins.
 CHANGE_RATE, FALSE_DISCOVERIES, LEAST_RANDOM_P, MOST_BIN = 0.15, 0.01, 1e-3, 80
-#: Rows whose words make the null, about; weight of the general successions beside a character's own.
-WORD_ROWS, PRIOR = 4000, 200
+#: Weight of the general successions beside a character's own: pairs, and share of its own where that is more, so that
+#: changes of class, as in names of several words, stay possible however many words a table has.
+PRIOR, PRIOR_SHARE = 200, 0.03
 #: All token characters; the general succession stays in a class but for CHANGE_RATE, letters by their frequency in 10,000.
 SYMBOLS = _UPPER + _LOWER + _DIGITS + "+/_=-"
 _LETTERS = dict(zip(_LOWER, (820, 150, 280, 430, 1270, 220, 200, 610, 700, 20, 80, 400, 240, 670, 750, 190, 10, 600, 630, 910, 280, 100, 240, 20, 200, 10)))
@@ -156,27 +157,28 @@ def succession_table(counts: dict[str, int]) -> list[float]:
     """For encoding e and symbols a, b, at (e * symbols + a) * symbols + b: log of uniform over words' probability of b
     after a, in the encoding; 0 where either isn't in it. counts has pairs of characters in words."""
     at = {c: i for i, c in enumerate(SYMBOLS)}
-    weights = [[PRIOR * p for p in row] for row in _general()]
+    own = dict.fromkeys(SYMBOLS, 0)
+    for pair, n in counts.items():
+        own[pair[0]] += n
+    weights = [[max(PRIOR, PRIOR_SHARE * own[a]) * p for p in row] for a, row in zip(SYMBOLS, _general())]
     for pair, n in counts.items():
         weights[at[pair[0]]][at[pair[1]]] += n
     out = []
     for _, _, alphabet in ENCODINGS:
-        own = [at[c] for c in alphabet]
+        places = [at[c] for c in alphabet]
         table = [[0.0] * len(SYMBOLS) for _ in SYMBOLS]
-        for a in own:
-            total = sum(weights[a][b] for b in own)
-            for b in own:
-                table[a][b] = math.log(total / (weights[a][b] * len(own)))
+        for a in places:
+            total = sum(weights[a][b] for b in places)
+            for b in places:
+                table[a][b] = math.log(total / (weights[a][b] * len(places)))
         out += [x for row in table for x in row]
     return out
 
 
 def word_pairs(docs: DataFrame, text_col: str) -> dict[str, int]:
-    """How many distinct words, runs of token characters too short for a candidate, have each pair of characters, by
-    place. Words come from a hash sample of about WORD_ROWS texts; what is tested is every candidate of every text."""
-    every = max(1, docs.count() // WORD_ROWS)
-    some = docs.where(F.pmod(F.xxhash64(docs[f"`{text_col}`"]), F.lit(every)) == 0)
-    words = some.select(F.explode(F.regexp_extract_all(docs[f"`{text_col}`"], F.lit("[A-Za-z0-9+/_=-]{2,}"), 0)).alias("w")).where("length(w) < 20").distinct()
+    """How many distinct words of all texts, runs of token characters too short for a candidate, have each pair of
+    characters, by place. Words are made distinct by a shuffle; a row for each pair reaches the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(docs[f"`{text_col}`"], F.lit("[A-Za-z0-9+/_=-]{2,}"), 0)).alias("w")).where("length(w) < 20").distinct()
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("pair"))
     return {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}
 

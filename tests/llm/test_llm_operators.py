@@ -494,6 +494,20 @@ def test_random_decimals_are_tested(spark):
     assert len(found) == 300 and sum(c.random and c.bin > 0 for c in found) > 100
 
 
+def test_words_of_all_texts_make_the_null(spark):
+    """9,000 texts: of each distinct word of fewer than 20 characters, all pairs count once, whichever text has it."""
+    texts = [f"w{i * 7919 % 9000:x}=é {'Ab' * (i % 9 + 2)} common" for i in range(9000)] + [None, ""]
+    words = {w for t in texts for w in re.findall("[A-Za-z0-9+/_=-]{2,}", t or "") if len(w) < 20}
+    rows = spark.createDataFrame([(t,) for t in texts], "`a.b` string").repartition(3)
+    assert secrets.word_pairs(rows, "a.b") == Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+
+
+def test_class_changes_stay_possible_however_many_words_there_are():
+    at = (next(i for i, e in enumerate(secrets.ENCODINGS) if e[0] == "letters") * len(secrets.SYMBOLS) + secrets.SYMBOLS.index("e")) * len(secrets.SYMBOLS) + secrets.SYMBOLS.index("W")
+    few, many = (secrets.succession_table({"he": n, "es": n, "en": n})[at] for n in (10**5, 10**9))
+    assert few == pytest.approx(many, abs=0.01)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdef0123 x", 5), (2, "nothing", 7), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: tuple(r) for r in secrets.redact_secrets(docs).collect()}
