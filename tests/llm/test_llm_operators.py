@@ -515,6 +515,20 @@ def test_redaction(spark):
     assert got == {1: (1, "é [SECRET] x", 12), 2: (2, "nothing", 7), 3: (3, None, None)}
 
 
+def test_redaction_knows_the_words_of_all_texts(spark):
+    """Names that go on as words do which only texts with an odd hash have are no secrets, random tokens are."""
+    rng = random.Random(13)
+    cycle = rng.sample("abcdefghijklmnopqrstuvwxyz", 26)
+    walk = lambda at, n: "".join(cycle[(at + k) % 26] for k in range(n))
+    words = spark.createDataFrame([(i, f"{walk(i, 8)}{i}") for i in range(18000)], "doc_id bigint, text string").where("pmod(xxhash64(text), 2) = 1")
+    more = [(-1 - i, walk(i, 24)) for i in range(26)] + [(-100 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))) for i in range(20)]
+    docs = words.union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    assert 8000 <= docs.count() < 12000
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(docs.repartition(3)).where("doc_id < 0").collect()}
+    assert [got[-1 - i] for i in range(26)] == [walk(i, 24) for i in range(26)]
+    assert sum(got[-100 - i] == "[SECRET]" for i in range(20)) >= 18
+
+
 def test_redaction_keeps_odd_rows_and_columns(docs):
     got = secrets.redact_secrets(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
