@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the tables that stage_alone's innermost make() has staged so far.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again.
 
@@ -34,9 +39,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/parley/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    passing = _PASSING.get()
+    if passing is not None:
+        passing.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def stage_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stage(make(), name), after which the tables that make has staged on the way are deleted, and the driver's garbage is
+    collected, so that Spark drops the shuffles that made them. What make stages mustn't be read elsewhere.
+
+    Calls may be nested, and threads don't touch each other's tables. If make fails, its tables stay.
+    """
+    made: list[str] = []
+    token = _PASSING.set(made)
+    try:
+        out = stage(make(), name)
+    finally:
+        _PASSING.reset(token)
+    outer = _PASSING.get()
+    if outer is not None:
+        outer.append(made[-1])
+    spark = out.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for at in made[:-1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def training_row(doc_id: Column, folds: int) -> Column:
     """True where crc32 of the id's decimal text isn't 0 modulo folds; a null id counts as the empty text."""
     return held_out(doc_id, folds) == F.lit(False)

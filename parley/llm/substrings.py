@@ -19,7 +19,7 @@ found, and what is reported is always verified; equal passages are told by a 64-
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from parley.llm.common import stage, tidy
+from parley.llm.common import stage, stage_alone, tidy
 from parley.llm.ngram_join import _FACTORS, _powers, grams_of, hashed_words, link_sets, mix, set_hash, sketch
 
 #: Bands and minima per band; shingles whose minima are taken at once.
@@ -133,28 +133,33 @@ def describe_paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def repeats(held: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """rid with lines, the numbers of the lines to remove, and gone and kept, the places of repeated passages to remove and to
     keep, for the rows of held (rid, id, text) that have some."""
-    rows = stage(describe_paragraphs(held, least), "paragraphs")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "pos")
     # aggregated where the rows lie, so that a hot paragraph leaves a task once
     firsts = F.min(first).alias("first"), F.count(F.lit(1)).alias("times")
 
-    lines = rows.where("n is not null")
-    linked = link_sets(held.select(F.explode(F.split("text", "\n", -1)).alias("text")), lines, ordered=False)
-    each = stage(lines.groupBy("sid").agg(*firsts), "paragraph-firsts")
-    classed = each.join(linked, each["sid"] == linked["node"], "left").select("sid", "first", "times", F.coalesce("component", "sid").alias("class"))
-    classed = stage(classed, "paragraph-classes")
-    several = classed.groupBy("class").agg(F.min("first").alias("least"), F.sum("times").alias("times")).where("times > 1")
-    several = classed.select("sid", "class").join(stage(several, "paragraph-least"), "class").select("sid", F.col("least.rid").alias("keep_rid"), F.col("least.pos").alias("keep_pos"))
+    def line_keepers(lines: DataFrame) -> DataFrame:
+        texts = held.select(F.explode(F.split("text", "\n", -1)).alias("text"))
+        linked = stage_alone(lambda: link_sets(texts, lines, ordered=False), "paragraph-links")
+        each = stage(lines.groupBy("sid").agg(*firsts), "paragraph-firsts")
+        classed = each.join(linked, each["sid"] == linked["node"], "left").select("sid", "first", "times", F.coalesce("component", "sid").alias("class"))
+        classed = stage(classed, "paragraph-classes")
+        several = classed.groupBy("class").agg(F.min("first").alias("least"), F.sum("times").alias("times")).where("times > 1")
+        return classed.select("sid", "class").join(stage(several, "paragraph-least"), "class").select("sid", F.col("least.rid").alias("keep_rid"), F.col("least.pos").alias("keep_pos"))
 
-    spots = rows.where("n is null")
-    twice = spots.groupBy("sid").agg(*firsts).where("times > 1").select("sid", F.col("first.rid").alias("keep_rid"), F.col("first.pos").alias("keep_pos"))
+    def passage_keepers(spots: DataFrame) -> DataFrame:
+        return spots.groupBy("sid").agg(*firsts).where("times > 1").select("sid", F.col("first.rid").alias("keep_rid"), F.col("first.pos").alias("keep_pos"))
 
-    def placed(some: DataFrame, keepers: DataFrame, kind: str) -> DataFrame:
+    def placed(some: DataFrame, keepers: Callable[[DataFrame], DataFrame], kind: str) -> DataFrame:
         # keepers are staged, so that the join may split a hot paragraph's rows
-        met = some.select("rid", "pos", "sid").join(stage(keepers, f"{kind}-keepers"), "sid")
+        met = some.select("rid", "pos", "sid").join(stage_alone(lambda: keepers(some), f"{kind}-keepers"), "sid")
         return met.select("rid", "pos", F.lit(kind).alias("kind"), ((F.col("rid") == F.col("keep_rid")) & (F.col("pos") == F.col("keep_pos"))).alias("keep"))
 
-    found = stage(placed(lines, several, "line").where("NOT keep").union(placed(spots, twice, "passage")), "paragraphs-found")
+    def find() -> DataFrame:
+        rows = stage(describe_paragraphs(held, least), "paragraphs")
+        lines, spots = rows.where("n is not null"), rows.where("n is null")
+        return placed(lines, line_keepers, "line").where("NOT keep").union(placed(spots, passage_keepers, "passage"))
+
+    found = stage_alone(find, "paragraphs-found")
 
     def places(test: str, name: str):
         return F.collect_list(F.when(F.expr(test), F.col("pos"))).alias(name)

@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import bpe, components, decontaminate, hmm, jpeg, ngram_join, secrets, sharding, substrings, toxicity, warc
+from parley.llm.common import shared_dir, stage, stage_alone
 
 ODD = "_id bigint, _text string, _row string, sid string, component string, node string, a string, score string, a.b string, text.x int"
 
@@ -255,6 +257,46 @@ def test_substring_dedup_of_odd_rows(spark, docs, none):
     assert substrings.drop_repeats(same_words).first().text == "a " * 5000
 
 
+def staged(spark):
+    """The names of the tables that lie in the shared folder."""
+    found = Path(shared_dir(spark).removeprefix("file://"), "parley")
+    return Counter(p.name.rsplit("-", 1)[0] for p in found.iterdir()) if found.exists() else Counter()
+
+
+def test_substring_dedup_keeps_no_table_that_its_result_does_not_read(spark):
+    """Lines and passages that repeat, exactly and nearly: what was staged to find them is gone, and the result can be read twice."""
+    line = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*line[:39], "changed"] if i % 2 else line) + "\n" + " ".join(f"{i}x{k}" for k in range(30))) for i in range(40)]
+    rows += [(100 + i, " ".join([f"{i}y", *(f"p{k}" for k in range(60)), f"{i}z"])) for i in range(3)]
+    before = staged(spark)
+    got = substrings.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sum(r.n_removed > 0 for r in got.collect()) == 41
+    assert staged(spark) - before == Counter(["paragraph-docs", "paragraphs-found"])
+    assert got.count() == len(rows)
+
+
+def test_stage_alone_keeps_the_last_table_only(spark):
+    def inner():
+        return stage(stage(spark.range(5), "alone-a").where("id > 1"), "alone-b").where("id > 2")
+
+    def outer():
+        twice = stage_alone(inner, "alone-c")
+        assert staged(spark) - before == Counter(["alone-c"])
+        return twice.union(stage(twice, "alone-d"))
+
+    def fails():
+        stage(spark.range(1), "alone-e")
+        raise ZeroDivisionError
+
+    before = staged(spark)
+    out = stage_alone(outer, "alone-f")
+    with pytest.raises(ZeroDivisionError):
+        stage_alone(fails, "alone-g")
+    stage(spark.range(1), "alone-h")
+    assert staged(spark) - before == Counter(["alone-f", "alone-e", "alone-h"])
+    assert sorted(r.id for r in out.collect()) == [3, 3, 4, 4]
+
+
 # ---------------------------------------------------------------- 4
 
 
