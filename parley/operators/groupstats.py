@@ -6,8 +6,9 @@ Rewards that don't apply are null; a group of one row has standard deviation 0.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.windows import last_per_key
@@ -172,11 +173,12 @@ def mix_schedule(step: Column, warmup: int, decay: int, peak: float, valley: flo
 
 def exact_quantile(df: DataFrame, value: str, share: float) -> float | None:
     """The exact quantile with linear interpolation, nulls left out; null of no values. Rows are counted in buckets of about
-    equal size, and only those that hold the two values around the quantile are sorted."""
+    equal size, and only those that hold the two values around the quantile are sorted, each value once."""
     from parley.operators.ordering import quantile_bucket
 
     d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("_v"))
-    counts = sorted((r["_b"], r["count"]) for r in d.groupBy(quantile_bucket(d, "_v").alias("_b")).count().collect())
+    bucket = quantile_bucket(d, "_v")  # once: sketches merge in the order in which tasks end, so another one may cut elsewhere
+    counts = sorted((r["_b"], r["count"]) for r in d.groupBy(bucket.alias("_b")).count().collect())
     n = sum(c for _, c in counts)
     if not n:
         return None
@@ -186,11 +188,12 @@ def exact_quantile(df: DataFrame, value: str, share: float) -> float | None:
         if any(start <= p < start + c for p in places):
             bounds.append((b, start))
         start += c
-    few = d.where(quantile_bucket(d, "_v").isin([b for b, _ in bounds])).orderBy("_v").limit(places[1] - bounds[0][1] + 1)
-    # what is taken is at most two buckets, the last values of which are wanted
-    values = [r["_v"] for r in few.orderBy(F.desc("_v")).limit(2).collect()][::-1]
-    low, high = (values[-1], values[-1]) if places[0] == places[1] or len(values) < 2 else values
-    return low + (at - int(at)) * (high - low)
+    few = d.where(bucket.isin([b for b, _ in bounds])).groupBy("_v").count()
+    # the running sum is over the distinct values of at most two buckets
+    ends = few.withColumn("_end", F.sum("count").over(Window.orderBy("_v")) + bounds[0][1])
+    there = reduce(lambda a, c: a | c, [(F.col("_end") > p) & (F.col("_end") - F.col("count") <= p) for p in places])
+    values = sorted(r["_v"] for r in ends.where(there).collect())
+    return values[0] + (at - int(at)) * (values[-1] - values[0])
 
 
 def top_entropy_tokens(tokens: DataFrame, value: str, share: float) -> DataFrame:

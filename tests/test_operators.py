@@ -310,6 +310,21 @@ def test_exact_quantiles(spark):
     assert G.exact_quantile(df.where("false"), "v", 0.5) is None
 
 
+def test_quantiles_are_exact_whatever_a_second_sketch_would_say(spark, monkeypatch):
+    """Sketches of the same rows differ with the order in which tasks end; here each call cuts elsewhere."""
+    from itertools import count
+
+    from pyspark.sql import functions as F
+
+    from parley.operators import groupstats as G
+    from parley.operators import ordering as O
+
+    widths = count(7)
+    monkeypatch.setattr(O, "quantile_bucket", lambda df, key: F.floor(F.col(key) / next(widths)))
+    df = spark.range(100).selectExpr("CAST(id AS double) AS v").repartition(3)
+    assert [G.exact_quantile(df, "v", share) for share in (0.0, 0.25, 0.5, 1.0)] == [0.0, 24.75, 49.5, 99.0]
+
+
 def test_row_functions_give_any_number_of_rows(spark):
     import pytest
 
