@@ -1,19 +1,21 @@
 """Conversations as token arrays: rendered, tokenised, labelled and cut to a length.
 
-The pieces of a conversation become texts of one weight each and are tokenised one by one, a batch of rows at a time. A
-tokenizer is a file that every worker can read, named by a path.
+The pieces of a conversation become texts of one weight each and are tokenised one by one, about a megabyte of rows at a time,
+so that a worker's memory doesn't follow the size of its batches. A tokenizer is a file that every worker can read, named by
+a path.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ from parley.operators.render import Template, is_binary, segments, weighted_part
 
 IGNORE = -100
 STRATEGIES = ("delete", "left", "right", "split")
+#: Bytes of text that are tokenised together, or one row that has more.
+SLICE_BYTES = 1 << 20
 #: ids and weights of a row or of a part of it.
 Form = tuple[np.ndarray, np.ndarray]
 FIELDS = {"input_ids": T.ArrayType(T.IntegerType()), "labels": T.ArrayType(T.IntegerType()), "loss_scale": T.ArrayType(T.FloatType()), "length": T.IntegerType()}
@@ -38,10 +42,10 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=4)
-def batch_encoder(spec: Tokenizer) -> Callable[[list[str]], list[list[int]]]:
+def batch_encoder(spec: Tokenizer) -> Callable[[list[str]], list[Sequence[int]]]:
     """A function from texts to ids without special tokens."""
     if spec.kind == "bytes":
-        return lambda texts: [list(t.encode()) for t in texts]
+        return lambda texts: [np.frombuffer(t.encode(), np.uint8) for t in texts]
     if spec.kind == "ranks":
         import tiktoken
 
@@ -108,7 +112,7 @@ class Encoder:
         return ((w, "".join(t for t, _ in same)) for w, same in groupby(fine, lambda p: p[1]))
 
     def rows(self, pieces: pa.Array) -> list[list[Form] | None]:
-        """The forms of each row; None of a null one. All texts of a batch are tokenised together."""
+        """The forms of each row; None of a null one. All texts of the rows are tokenised together."""
         rows = [None if row is None else list(self.parts(row)) for row in pieces.to_pylist()]
         tokens = iter(batch_encoder(self.tokenizer)([t for row in rows for _, t in row or ()]))
         out: list[list[Form] | None] = []
@@ -117,7 +121,7 @@ class Encoder:
                 out.append(None)
                 continue
             mine = [next(tokens) for _ in row]
-            ids = np.fromiter((i for t in mine for i in t), np.int32)
+            ids = np.concatenate([np.empty(0, np.int32), *[np.asarray(t, np.int32) for t in mine]])
             scale = np.repeat(np.asarray([w for w, _ in row], np.float32), [len(t) for t in mine])
             out.append(windows_of(ids, scale, self.most, self.strategy, self.protected))
         return out
@@ -141,6 +145,20 @@ class Encoder:
         return [lists(ids, True), lists(labels, self.training), lists(scale, scaled), pa.array(lengths, mask=absent.to_numpy(False))]
 
 
+def slices(batch: pa.RecordBatch, *pieces: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, as many at a time as hold SLICE_BYTES of text in the columns of pieces, and at least one."""
+    ends = np.zeros(batch.num_rows + 1, np.int64)  # the first is where row 0 begins
+    for name in pieces:
+        column = batch.column(name)
+        sizes = pc.fill_null(pc.binary_length(column.values.field("text")), 0).to_numpy(zero_copy_only=False)
+        ends += np.concatenate([[0], np.cumsum(sizes)])[column.offsets.to_numpy()]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encode(df: DataFrame, template: Template, encoder: Encoder, base: str = "default", messages: str = "messages") -> DataFrame:
     """df without messages, with input_ids, labels, loss_scale and length of each form of a row. Without training the response
     behind the last query is left out. Null messages have no form, empty ones one of no tokens."""
@@ -171,7 +189,7 @@ def encode_preference(df: DataFrame, template: Template, encoder: Encoder, base:
     source = df.select(*kept, *sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "_chosen", "_rejected")):
             pairs = list(zip(encoder.rows(b.column("_chosen")), encoder.rows(b.column("_rejected"))))
             stay = [i for i, (c, r) in enumerate(pairs) if c and (r or (r is None and not rejected))]
             rest = b.drop_columns(["_chosen", "_rejected"]).take(pa.array(stay, pa.int64()))

@@ -2,6 +2,7 @@
 
 import base64
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,25 @@ def test_libraries(spark):
             assert got[i].input_ids == query + answer and got[i].labels[len(query) or 1 :] == answer[0 if query else 1 :]
     with pytest.raises(ValueError):
         E.batch_encoder(E.Tokenizer("none"))
+
+
+@pytest.mark.parametrize("pair", [True])
+def test_a_batch_is_worked_on_in_parts(spark, monkeypatch, pair):
+    """However many rows a batch has, about SLICE_BYTES of text are tokens at a time; nothing is lost or moved."""
+    monkeypatch.setattr(E, "SLICE_BYTES", 100, raising=False)
+    told = [None, [], *[[("user", "q" * n), ("assistant", "a")] for n in (250, 30, 30, 30, 0, 99, 20)], None]
+    d, held = rows(spark, *told), []
+    if pair:
+        d = d.withColumn("rejected_messages", F.col("messages"))
+
+    def local(source, run, schema):
+        held.extend(run(iter([pa.concat_batches(source.orderBy("_0").toArrow().to_batches()).slice(1)])))
+        return source.limit(0).mapInPandas(lambda parts: parts, source.schema).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    monkeypatch.setattr(type(d), "mapInArrow", local)
+    E.encode_preference(d, PLAIN, E.Encoder()) if pair else E.encode(d, PLAIN, E.Encoder())
+    ids_at = [i for i, n in enumerate(held[0].schema.names) if n.endswith("input_ids")]
+    made = [[len(x) for x in b.column(i).to_pylist()] for i in ids_at for b in held]
+    assert [i for b in held for i in b.column(0).to_pylist()] == list(range(1, 9))
+    assert sum(made, []) == [0, 251, 31, 31, 31, 1, 100, 21] * len(ids_at)
+    assert len(held) > 3 and all(sum(b) <= 100 or sum(n > 0 for n in b) == 1 for b in made)
