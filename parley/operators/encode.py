@@ -170,7 +170,7 @@ def encode(df: DataFrame, template: Template, encoder: Encoder, base: str = "def
     source = df.select(*kept, _pieces(told, template, base, encoder.training).alias("_pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "_pieces")):
             rows = encoder.rows(b.column("_pieces"))
             owner = pa.array([i for i, row in enumerate(rows) for _ in row or ()], pa.int64())
             rest = b.drop_columns(["_pieces"]).take(owner)

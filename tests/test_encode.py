@@ -95,7 +95,7 @@ def test_libraries(spark):
         E.batch_encoder(E.Tokenizer("none"))
 
 
-@pytest.mark.parametrize("pair", [True])
+@pytest.mark.parametrize("pair", [False, True])
 def test_a_batch_is_worked_on_in_parts(spark, monkeypatch, pair):
     """However many rows a batch has, about SLICE_BYTES of text are tokens at a time; nothing is lost or moved."""
     monkeypatch.setattr(E, "SLICE_BYTES", 100, raising=False)
