@@ -35,20 +35,27 @@ def rejection_sample(df: DataFrame, key: str, prm: str, orm: str, order: str, ke
 def negatives(df: DataFrame, key: str, value: str, k: int = 7, seed: int = 42) -> DataFrame:
     """k other values of the table for each row, in pseudo-random order and without its own: pairs (key, negative, rank).
 
-    Distinct values lie on a ring in hash order; a row takes the k that follow its own hash, skipping its value. So every
-    row joins k + 1 places of the ring and no pair table of all values is made.
+    Distinct values lie on a ring in hash order; a row takes the k that follow its own hash, skipping its value. Places and
+    ranks are found with digests in place of values, so values are shuffled once, each distinct one to the rows that take it.
+    Values of equal SHA-256 are taken for equal.
     """
-    from parley.operators.ordering import hash_rank
+    from parley.operators.ordering import global_rank
 
-    pool = hash_rank(df.select(F.col(value).alias("negative")).where("negative IS NOT NULL").distinct(), "negative", seed, "_at")
-    n = pool.count()
+    order = hash_key(F.col(value), seed)
+    name = F.unhex(F.sha2(F.col(value).cast("string").cast("binary"), 256))
+    named = df.select(key, F.unhex(order).alias("_order"), F.when(F.col(value).isNotNull(), name).alias("_name"))
+    distinct = named.where("_name IS NOT NULL").select("_order", "_name").distinct()
+    n = distinct.count()
     if not n:
         return df.select(key, F.lit(None).cast("string").alias("negative"), F.lit(0).alias("rank")).limit(0)
+    ring = global_rank(distinct, [F.col("_order"), F.col("_name")], F.conv(F.substring(F.hex("_order"), 1, 3), 16, 10).cast("int"), "_at").select("_at", "_name")
     start = F.pmod(F.conv(F.substring(hash_key(F.col(key), seed), 1, 8), 16, 10).cast("bigint"), F.lit(n))
-    seats = df.select(key, F.col(value).alias("_own"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(k, n - 1))), lambda i: F.pmod(start + i, F.lit(n)) + 1)).alias("_i", "_at"))
-    found = seats.join(pool, "_at").where(~F.col("negative").eqNullSafe(F.col("_own")))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_i")))
-    return ranked.where(F.col("rank") <= k).select(key, "negative", "rank")
+    own = named.drop("_order").join(ring.withColumnRenamed("_at", "_own"), "_name", "left")
+    places = F.transform(F.sequence(F.lit(0), F.lit(min(k, n - 1))), lambda i: F.pmod(start + i, F.lit(n)) + 1)
+    others = F.slice(F.filter(places, lambda at: ~at.eqNullSafe(F.col("_own"))), 1, k)
+    seats = own.select(key, F.posexplode(others).alias("_i", "_at")).join(ring, "_at").select(key, "_name", (F.col("_i") + 1).alias("rank"))
+    values = df.where(F.col(value).isNotNull()).groupBy(name.alias("_name")).agg(F.first(value).alias("negative"))
+    return seats.join(values, "_name").select(key, "negative", "rank")
 
 
 def embedding_rows(anchor: Column, positives: Column, negatives_: Column, label: Column | None = None) -> Column:

@@ -354,3 +354,32 @@ def test_results_are_written_in_shards(spark, tmp_path):
     assert sinks.save_validation(None, str(tmp_path)) is None
     at = sinks.save_validation(df, str(tmp_path))
     assert at.endswith("val_dataset.jsonl") and spark.read.json(at).count() == 10
+
+
+def test_values_of_negatives_are_shuffled_once(spark, tmp_path):
+    """Shuffles hold about one copy of the values, not one for each negative; rows are those of the ring written out."""
+    import hashlib
+    import random
+
+    from parley.operators import preference as S
+
+    made = random.Random(1)
+    texts = [made.randbytes(4000).hex() for _ in range(300)]
+    rows = [(i, None if i == 7 else texts[i % 250]) for i in range(300)]
+    spark.createDataFrame(rows, "id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+
+    def written():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    got = {(r.id, r.rank): r.negative for r in S.negatives(spark.read.parquet(f"{tmp_path}/t"), "id", "text", 3).collect()}
+    assert written() - before < 2.5 * sum(len(t or "") for _, t in rows)
+    digest = lambda x: hashlib.md5(f"{x}-42".encode()).hexdigest()
+    ring = sorted({t for _, t in rows if t}, key=digest)
+    want = {}
+    for i, own in rows:
+        at = int(digest(i)[:8], 16) % len(ring)
+        others = [t for t in (ring[(at + j) % len(ring)] for j in range(4)) if t != own][:3]
+        want |= {(i, j + 1): t for j, t in enumerate(others)}
+    assert got == want
