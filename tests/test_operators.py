@@ -383,3 +383,15 @@ def test_values_of_negatives_are_shuffled_once(spark, tmp_path):
         others = [t for t in (ring[(at + j) % len(ring)] for j in range(4)) if t != own][:3]
         want |= {(i, j + 1): t for j, t in enumerate(others)}
     assert got == want
+
+
+def test_calls_are_made_once_for_each_distinct_text_of_a_part(monkeypatch):
+    import pyarrow as pa
+
+    from parley.operators import agent as A
+
+    monkeypatch.setattr(A, "PART_BYTES", 6, raising=False)
+    made = []
+    parts = list(A.by_distinct(pa.array(["aa", None, "aa", "b", "long long", "aa", "aa", None]), pa.list_(pa.string()), lambda t: made.append(t) or [t, t]))
+    assert [x for p in parts for x in p.to_pylist()] == [t and [t, t] for t in ("aa", None, "aa", "b", "long long", "aa", "aa", None)]
+    assert made == ["aa", "b", "long long", "aa"]
