@@ -636,8 +636,8 @@ def agt13_tool_prompts(table):
     """A tool of every event's own name, description and parameters, shown in the system prompt or query of formats."""
     tools = F.concat(F.lit('[{"name": "f'), F.col("user_id").cast("string"), F.lit('", "description": "About '), "event_type", F.lit('", "parameters": '), "props", F.lit("}]"))
     system = F.concat(F.lit("S"), F.col("user_id").cast("string"))
-    made = table("events").select("event_id", F.explode(F.array(*[F.struct(F.lit(f).alias("format"), TL.tool_prompt(tools, system, F.col("event_type"), f).alias("p")) for f in _SHOWN])).alias("c"))
-    return made.select("event_id", "c.format", F.md5("c.p.system").alias("system"), F.md5("c.p.query").alias("query"))
+    made = table("events").select("event_id", F.explode(TL.tool_prompts(tools, system, F.col("event_type"), list(_SHOWN))).alias("c"))
+    return made.select("event_id", "c.format", F.md5("c.system").alias("system"), F.md5("c.query").alias("query"))
 
 
 @query("SELECT doc_id, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")

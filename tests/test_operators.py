@@ -395,3 +395,19 @@ def test_calls_are_made_once_for_each_distinct_text_of_a_part(monkeypatch):
     parts = list(A.by_distinct(pa.array(["aa", None, "aa", "b", "long long", "aa", "aa", None]), pa.list_(pa.string()), lambda t: made.append(t) or [t, t]))
     assert [x for p in parts for x in p.to_pylist()] == [t and [t, t] for t in ("aa", None, "aa", "b", "long long", "aa", "aa", None)]
     assert made == ["aa", "b", "long long", "aa"]
+
+
+def test_prompts_of_several_formats_are_one_worker_s(spark):
+    from pyspark.sql import functions as F
+
+    from parley.operators import tools as TL
+
+    tool = '[{"name": "f", "description": "d", "parameters": {}}]'
+    rows = [(tool, "s", "q"), (None, "s", None), ("[{}]", None, "q"), ('[{"description": 1}]', "s", "q")]
+    df = spark.createDataFrame(rows, "t string, s string, q string").coalesce(1)
+    told, forms = [F.col(c) for c in "tsq"], list(TL.PROMPTS)
+    got = df.select(TL.tool_prompts(*told, forms).alias("p"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = df.select(*[TL.tool_prompt(*told, f).alias(f) for f in forms[::4]]).collect()
+    for made, row in zip(got.collect(), want):
+        assert [p.format for p in made.p] == forms and {p.format: (p.system, p.query) for p in made.p if p.format in row} == {f: tuple(row[f]) for f in forms[::4]}
